@@ -19,8 +19,9 @@ LATE_COST_RATE = 0.03
 CONSOLIDATION_RATE = 0.06
 SUMMARY_CONSOLIDATION_RATE = 0.05
 
-UNDERPERFORMS = ((F.col("on_time_delivery_pct") < 80) | (F.col("quality_incidents") > 2)) & (F.col("total_orders") > 5)
-REPLACEABLE = (F.col("on_time_delivery_pct") < 70) & (F.col("quality_incidents") > 3)
+# Which suppliers underperform and which should be replaced.
+UNDERPERFORMS = "(on_time_delivery_pct < 80 OR quality_incidents > 2) AND total_orders > 5"
+REPLACEABLE = "on_time_delivery_pct < 70 AND quality_incidents > 3"
 
 
 def consolidation(t: Tables, *, max_suppliers: int = 8) -> DataFrame:

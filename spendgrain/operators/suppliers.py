@@ -10,7 +10,9 @@ from spendgrain.operators.ranking import largest_first, top_n
 from spendgrain.plans import marts
 from spendgrain.tables import Tables
 
-LATE = F.count_if(F.col("actual_delivery_date") > F.col("expected_delivery_date"))
+
+def late_lines() -> Column:
+    return F.count_if(F.col("actual_delivery_date") > F.col("expected_delivery_date"))
 
 
 def scorecard_grade(on_time: Column, incidents: Column) -> Column:
@@ -100,8 +102,8 @@ def late_delivery(t: Tables, *, min_deliveries: int = 5, limit: int | None = 15)
         .groupBy("supplier_name", "category")
         .agg(
             F.count("*").alias("total_deliveries"),
-            LATE.alias("late_deliveries"),
-            half_up(percent(LATE, F.count("*")), 2).alias("late_delivery_pct"),
+            late_lines().alias("late_deliveries"),
+            half_up(percent(late_lines(), F.count("*")), 2).alias("late_delivery_pct"),
             half_up(ratio(F.sum(delay), F.count(delay)), 1).alias("avg_delay_days"),
         )
         .where(F.col("total_deliveries") > min_deliveries)
@@ -112,8 +114,8 @@ def late_delivery(t: Tables, *, min_deliveries: int = 5, limit: int | None = 15)
 def late_delivery_rate(t: Tables) -> DataFrame:
     """Late lines overall, as a count and in percent of all delivered lines."""
     return t.orders("actual_delivery_date", "expected_delivery_date").agg(
-        LATE.alias("late_deliveries"),
-        half_up(percent(LATE, marts.DELIVERED), 2).alias("late_delivery_pct"),
+        late_lines().alias("late_deliveries"),
+        half_up(percent(late_lines(), marts.delivered_lines()), 2).alias("late_delivery_pct"),
     )
 
 

@@ -13,8 +13,13 @@ from spendgrain.functions.dates import month_number, year_label
 from spendgrain.functions.numeric import as_double, half_up, mean, money, percent, ratio
 from spendgrain.tables import Tables
 
-ON_TIME = F.count_if(F.col("actual_delivery_date") <= F.col("expected_delivery_date"))
-DELIVERED = F.count("actual_delivery_date")
+
+def on_time_lines() -> Column:
+    return F.count_if(F.col("actual_delivery_date") <= F.col("expected_delivery_date"))
+
+
+def delivered_lines() -> Column:
+    return F.count("actual_delivery_date")
 
 
 def total_spend(t: Tables) -> DataFrame:
@@ -39,8 +44,8 @@ def supplier_orders(t: Tables) -> DataFrame:
             F.count("*").alias("order_rows"),
             F.sum("total_amount_ngn").alias("spend"),
             F.count("total_amount_ngn").alias("priced_rows"),
-            ON_TIME.alias("on_time"),
-            DELIVERED.alias("delivered"),
+            on_time_lines().alias("on_time"),
+            delivered_lines().alias("delivered"),
         )
     )
 
@@ -182,8 +187,8 @@ def supplier_category(t: Tables) -> DataFrame:
         .agg(
             F.sum("quantity").alias("quantity"),
             F.sum("total_amount_ngn").alias("spend"),
-            ON_TIME.alias("on_time"),
-            DELIVERED.alias("delivered"),
+            on_time_lines().alias("on_time"),
+            delivered_lines().alias("delivered"),
         )
     )
     incidents = (
