@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendgrain.sources.star import StarTables, cents
+from spendgrain.sources.star import StarTables
 
 
 def _text(value: Column) -> Column:
@@ -59,6 +59,7 @@ def _materials(star: StarTables) -> DataFrame:
 
 def _orders(star: StarTables) -> DataFrame:
     number, line = F.col("l_orderkey"), F.col("l_linenumber")
+    price = (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5) / 100).cast("decimal(18,2)")
     lines = (
         star.table("lineitem")
         .join(star.table("orders"), number == F.col("o_orderkey"), "left")
@@ -72,7 +73,7 @@ def _orders(star: StarTables) -> DataFrame:
         F.when(number % 89 == 0, "X").otherwise(_text(F.col("l_partkey"))).alias("SKU"),
         F.when(number % 3 == 2, F.concat("p_type", F.lit(" custom"))).when(number % 3 == 1, "").alias("spend_category"),
         F.when(number % 41 == 0, "abc").otherwise(_text(F.col("l_quantity"))).alias("Qty"),
-        F.when(number % 37 != 0, _text(cents(F.col("l_extendedprice") / F.col("l_quantity")))).alias("Unit Price"),
+        F.when(number % 37 != 0, _text(price)).alias("Unit Price"),
         F.when(line % 2 == 0, _text(F.col("l_extendedprice"))).alias("Line Amount"),
         F.when(number % 5 != 0, "usd").alias("po_currency"),
         F.when(F.col("l_linestatus") == "F", _iso(F.col("l_shipdate"))).alias("Receipt Date"),

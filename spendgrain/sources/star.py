@@ -2,64 +2,112 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendgrain.model import MONEY, PURCHASE_ORDERS, QUALITY_INCIDENTS
+from spendgrain.model import DATASETS
 from spendgrain.tables import Tables
 
+# Columns of the star tables. Given schemas spare a look into the files.
+STAR_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+}
 
-def cents(value: Column) -> Column:
+
+def _cents(value: str) -> str:
     """A double as money, rounded half up."""
-    return (F.floor(value * 100 + 0.5) / 100).cast(MONEY)
+    return f"cast(floor({value} * 100 + 0.5) / 100 AS decimal(18,2))"
+
 
+_CURRENCY = "CASE WHEN r_name = 'AFRICA' THEN 'NGN' ELSE 'USD' END"
 
-def _usd_account(region: Column) -> Column:
-    return F.when(region == "AFRICA", F.lit("NGN")).otherwise(F.lit("USD"))
+_SUPPLIER_COLUMNS = {
+    "supplier_id": "s_suppkey",
+    "supplier_name": "s_name",
+    "category": "r_name",
+    "country": "n_name",
+    "payment_terms": "CASE s_suppkey % 3 WHEN 0 THEN 'Net 30' WHEN 1 THEN 'Net 45' ELSE 'Net 60' END",
+    "currency": _CURRENCY,
+    "quality_rating": "3.0D + (s_suppkey % 21) / 10.0D",
+    "is_approved": "s_acctbal >= 0",
+    "risk_level": "CASE WHEN s_acctbal < 1000 THEN 'High' WHEN s_acctbal < 5000 THEN 'Medium' ELSE 'Low' END",
+}
 
+_MATERIAL_COLUMNS = {
+    "material_id": "p_partkey",
+    "material_name": "p_name",
+    "category": "p_type",
+    "unit_of_measure": "CASE p_size % 4 WHEN 0 THEN 'PCS' WHEN 1 THEN 'KG' WHEN 2 THEN 'LTR' ELSE 'BOX' END",
+    "standard_price_ngn": "cast(p_retailprice AS decimal(18,2))",
+    "lead_time_days": "p_size",
+}
 
 # Canonical order columns: the dimensions each needs and its expression.
 # Dimensions: header (orders), customer, part, vendor (supplier with its region).
-_ORDER_COLUMNS: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
-    "po_number": ((), lambda: F.col("l_orderkey")),
-    "po_date": (("header",), lambda: F.col("h_date")),
-    "supplier_id": ((), lambda: F.col("l_suppkey")),
-    "supplier_name": (("vendor",), lambda: F.col("v_name")),
-    "material_id": ((), lambda: F.col("l_partkey")),
-    "material_name": (("part",), lambda: F.col("p_name")),
-    "category": (("part",), lambda: F.col("p_type")),
-    "quantity": ((), lambda: F.col("l_quantity").cast(PURCHASE_ORDERS.types["quantity"])),
-    "unit_price_ngn": ((), lambda: cents(F.col("l_extendedprice") / F.nullif("l_quantity", F.lit(0.0)))),
-    "total_amount_ngn": ((), lambda: F.col("l_extendedprice").cast(MONEY)),
+_ORDER_COLUMNS: dict[str, tuple[tuple[str, ...], str]] = {
+    "po_number": ((), "l_orderkey"),
+    "po_date": (("header",), "cast(o_orderdate AS date)"),
+    "supplier_id": ((), "l_suppkey"),
+    "supplier_name": (("vendor",), "v_name"),
+    "material_id": ((), "l_partkey"),
+    "material_name": (("part",), "p_name"),
+    "category": (("part",), "p_type"),
+    "quantity": ((), "cast(l_quantity AS decimal(18,3))"),
+    "unit_price_ngn": ((), _cents("l_extendedprice / nullif(l_quantity, 0)")),
+    "total_amount_ngn": ((), "cast(l_extendedprice AS decimal(18,2))"),
     "total_amount_usd": (
         ("vendor",),
-        lambda: F.when(
-            F.col("v_currency") == "USD", cents(F.col("l_extendedprice") / (800 + F.col("l_orderkey") % 801))
-        ),
-    ),
-    "currency": (("vendor",), lambda: F.col("v_currency")),
-    "expected_delivery_date": (("header", "part"), lambda: F.date_add("h_date", F.col("p_size"))),
-    "actual_delivery_date": (
-        (),
-        lambda: F.when(F.col("l_linestatus") == "F", F.col("l_shipdate").cast("date")),
-    ),
-    "delivery_status": (
-        (),
-        lambda: F.when(F.col("l_linestatus") == "F", F.lit("Delivered")).otherwise(F.lit("Pending")),
+        f"CASE WHEN v_currency = 'USD' THEN {_cents('l_extendedprice / (800 + l_orderkey % 801)')} END",
     ),
+    "currency": (("vendor",), "v_currency"),
+    "expected_delivery_date": (("header", "part"), "date_add(cast(o_orderdate AS date), p_size)"),
+    "actual_delivery_date": ((), "CASE WHEN l_linestatus = 'F' THEN cast(l_shipdate AS date) END"),
+    "delivery_status": ((), "CASE WHEN l_linestatus = 'F' THEN 'Delivered' ELSE 'Pending' END"),
     "payment_status": (
         ("header",),
-        lambda: F.when(F.col("h_status") == "F", F.lit("Paid"))
-        .when(F.col("h_status") == "O", F.lit("Pending"))
-        .when(F.col("h_status") == "P", F.lit("Overdue")),
+        "CASE o_orderstatus WHEN 'F' THEN 'Paid' WHEN 'O' THEN 'Pending' WHEN 'P' THEN 'Overdue' END",
     ),
-    "buyer": (("header", "customer"), lambda: F.col("c_segment")),
-    "plant_location": (("header", "customer"), lambda: F.col("c_region")),
+    "buyer": (("header", "customer"), "c_mktsegment"),
+    "plant_location": (("header", "customer"), "c_region"),
+}
+
+_INCIDENT_COLUMNS = {
+    "incident_id": "concat_ws('-', 'QI', l_orderkey, l_partkey, l_suppkey)",
+    "po_number": "l_orderkey",
+    "supplier_id": "l_suppkey",
+    "incident_type": (
+        "CASE l_linenumber % 3 WHEN 0 THEN 'Quality Defect' WHEN 1 THEN 'Contamination' ELSE 'Wrong Spec' END"
+    ),
+    "severity": "CASE WHEN l_discount >= 0.07 THEN 'High' WHEN l_discount >= 0.03 THEN 'Medium' ELSE 'Low' END",
+    "cost_impact_ngn": _cents("l_extendedprice * l_discount"),
+}
+
+# Order in which dimensions are joined, with the join condition of each.
+_JOINS = {
+    "header": "l_orderkey = o_orderkey",
+    "customer": "o_custkey = c_custkey",
+    "part": "l_partkey = p_partkey",
+    "vendor": "l_suppkey = v_key",
 }
 
 
+def _shown(expressions: dict[str, str], names: tuple[str, ...]) -> list[str]:
+    return [f"{expressions[name]} AS {name}" for name in names or expressions]
+
+
 class StarTables(Tables):
     """Line items as order lines, joined only to the dimensions a query asks for.
 
@@ -71,113 +119,54 @@ class StarTables(Tables):
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self._session = spark
         self._folder = folder
+        self._built: dict[str, DataFrame] = {}
 
     @property
     def spark(self) -> SparkSession:
         return self._session
 
     def table(self, name: str) -> DataFrame:
-        return self._session.read.parquet(f"{self._folder}/{name}.parquet")
+        if name not in self._built:
+            reader = self._session.read.schema(STAR_SCHEMAS[name])
+            self._built[name] = reader.parquet(f"{self._folder}/{name}.parquet")
+        return self._built[name]
 
-    def _geography(self) -> DataFrame:
-        nation = self.table("nation")
-        region = self.table("region")
-        return nation.join(region, nation.n_regionkey == region.r_regionkey, "left").select(
-            "n_nationkey", "n_name", "r_name"
+    def _placed(self, name: str, nation_key: str) -> DataFrame:
+        """Suppliers or customers with their nation and region."""
+        return (
+            self.table(name)
+            .join(self.table("nation"), F.expr(f"{nation_key} = n_nationkey"), "left")
+            .join(self.table("region"), F.expr("n_regionkey = r_regionkey"), "left")
         )
 
-    def _dimension(self, name: str) -> tuple[DataFrame, str, str]:
-        """A dimension frame, its key, and the line column the key is matched to."""
+    def _dimension(self, name: str) -> DataFrame:
         if name == "header":
-            header = self.table("orders").select(
-                "o_orderkey",
-                "o_custkey",
-                F.col("o_orderdate").cast("date").alias("h_date"),
-                F.col("o_orderstatus").alias("h_status"),
-            )
-            return header, "o_orderkey", "l_orderkey"
+            return self.table("orders")
+        if name == "part":
+            return self.table("part")
         if name == "customer":
-            customer = self.table("customer").join(
-                self._geography(), F.col("c_nationkey") == F.col("n_nationkey"), "left"
-            )
-            return (
-                customer.select(
-                    "c_custkey", F.col("c_mktsegment").alias("c_segment"), F.col("r_name").alias("c_region")
-                ),
-                "c_custkey",
-                "o_custkey",
+            return self._placed("customer", "c_nationkey").selectExpr(
+                "c_custkey", "c_mktsegment", "r_name AS c_region"
             )
-        if name == "part":
-            return self.table("part").select("p_partkey", "p_name", "p_type", "p_size"), "p_partkey", "l_partkey"
-        vendor = self.suppliers("supplier_id", "supplier_name", "currency")
-        return (
-            vendor.select(
-                F.col("supplier_id").alias("v_key"),
-                F.col("supplier_name").alias("v_name"),
-                F.col("currency").alias("v_currency"),
-            ),
-            "v_key",
-            "l_suppkey",
+        return self._placed("supplier", "s_nationkey").selectExpr(
+            "s_suppkey AS v_key", "s_name AS v_name", f"{_CURRENCY} AS v_currency"
         )
 
     def suppliers(self, *columns: str) -> DataFrame:
-        key = F.col("s_suppkey")
-        balance = F.col("s_acctbal")
-        built = (
-            self.table("supplier")
-            .join(self._geography(), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-            .select(
-                key.alias("supplier_id"),
-                F.col("s_name").alias("supplier_name"),
-                F.col("r_name").alias("category"),
-                F.col("n_name").alias("country"),
-                F.when(key % 3 == 0, "Net 30").when(key % 3 == 1, "Net 45").otherwise("Net 60").alias("payment_terms"),
-                _usd_account(F.col("r_name")).alias("currency"),
-                (F.lit(3.0) + (key % 21) / F.lit(10.0)).alias("quality_rating"),
-                (balance >= 0).alias("is_approved"),
-                F.when(balance < 1000, "High").when(balance < 5000, "Medium").otherwise("Low").alias("risk_level"),
-            )
-        )
-        return built.select(*columns) if columns else built
+        return self._placed("supplier", "s_nationkey").selectExpr(*_shown(_SUPPLIER_COLUMNS, columns))
 
     def materials(self, *columns: str) -> DataFrame:
-        size = F.col("p_size")
-        built = self.table("part").select(
-            F.col("p_partkey").alias("material_id"),
-            F.col("p_name").alias("material_name"),
-            F.col("p_type").alias("category"),
-            F.when(size % 4 == 0, "PCS")
-            .when(size % 4 == 1, "KG")
-            .when(size % 4 == 2, "LTR")
-            .otherwise("BOX")
-            .alias("unit_of_measure"),
-            F.col("p_retailprice").cast(MONEY).alias("standard_price_ngn"),
-            size.alias("lead_time_days"),
-        )
-        return built.select(*columns) if columns else built
+        return self.table("part").selectExpr(*_shown(_MATERIAL_COLUMNS, columns))
 
     def orders(self, *columns: str) -> DataFrame:
-        names = columns or tuple(PURCHASE_ORDERS.columns)
-        frame = self.table("lineitem")
+        names = columns or tuple(DATASETS["purchase_orders"].columns)
         wanted = {dimension for name in names for dimension in _ORDER_COLUMNS[name][0]}
-        for name in ("header", "customer", "part", "vendor"):
+        frame = self.table("lineitem")
+        for name, condition in _JOINS.items():
             if name in wanted:
-                dimension, key, line_key = self._dimension(name)
-                frame = frame.join(dimension, F.col(line_key) == F.col(key), "left")
-        return frame.select(*(_ORDER_COLUMNS[name][1]().alias(name) for name in names))
+                frame = frame.join(self._dimension(name), F.expr(condition), "left")
+        return frame.selectExpr(*(f"{_ORDER_COLUMNS[name][1]} AS {name}" for name in names))
 
     def incidents(self, *columns: str) -> DataFrame:
-        number, discount = F.col("l_linenumber"), F.col("l_discount")
-        built = {
-            "incident_id": F.concat_ws("-", F.lit("QI"), "l_orderkey", "l_partkey", "l_suppkey"),
-            "po_number": F.col("l_orderkey"),
-            "supplier_id": F.col("l_suppkey"),
-            "incident_type": F.when(number % 3 == 0, "Quality Defect")
-            .when(number % 3 == 1, "Contamination")
-            .otherwise("Wrong Spec"),
-            "severity": F.when(discount >= 0.07, "High").when(discount >= 0.03, "Medium").otherwise("Low"),
-            "cost_impact_ngn": cents(F.col("l_extendedprice") * discount),
-        }
-        names = columns or tuple(QUALITY_INCIDENTS.columns)
         returned = self.table("lineitem").where("l_returnflag = 'R' AND l_tax >= 0.08")
-        return returned.select(*(built[name].alias(name) for name in names))
+        return returned.selectExpr(*_shown(_INCIDENT_COLUMNS, columns))
