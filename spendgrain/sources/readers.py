@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 from collections import defaultdict
 from functools import reduce
 from pathlib import PurePosixPath
@@ -40,39 +41,37 @@ def read_path(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_csv(spark, path)
 
 
-def list_paths(spark: SparkSession, folder: str) -> list[str]:
-    """Paths of the files below a folder. Only names are read, not contents."""
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
-    )
-    return sorted(row.path for row in listing.toLocalIterator())
+# Scheme and authority in front of a path.
+_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def list_entries(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files and folders directly below a folder.
+
+    Only paths are read, not contents, and only distinct names reach the driver.
+    """
+    base = re.sub(_AUTHORITY, "", folder.rstrip("/")).lstrip("/")
+    path = F.ltrim(F.regexp_replace("path", _AUTHORITY, ""), F.lit("/"))
+    child = F.split(F.substring(path, len(base) + 2, 4096), "/")[0]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return sorted(row.entry for row in files.select(child.alias("entry")).distinct().toLocalIterator())
 
 
 def load_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Load whichever canonical datasets the folder holds, as ``<name>.csv`` or ``<name>.parquet``."""
     base = folder.rstrip("/")
-    entries = {PurePosixPath(entry).name: f"{base}/{entry}" for entry in _entries(spark, base)}
+    entries = set(list_entries(spark, base))
     tables = {}
     for name in DATASETS:
         for suffix in (".parquet", ".csv"):
             if name + suffix in entries:
-                tables[name] = read_path(spark, entries[name + suffix])
+                tables[name] = read_path(spark, f"{base}/{name}{suffix}")
                 break
     if not tables:
         raise FileNotFoundError(f"No canonical datasets found in {folder}")
     return tables
 
 
-def _entries(spark: SparkSession, base: str) -> list[str]:
-    """Names of the direct children of a folder, files and folders alike."""
-    names = set()
-    root = base.split(":", 1)[-1].lstrip("/")
-    for path in list_paths(spark, base):
-        below = path.split(":", 1)[-1].lstrip("/")[len(root) :].lstrip("/")
-        names.add(below.split("/", 1)[0])
-    return sorted(names)
-
-
 def _has_word(tokens: list[str], hint: str) -> bool:
     """Whether the hint appears as whole words, singular or plural."""
     words = hint.split("_")
@@ -105,7 +104,7 @@ def load_landing(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     base = folder.rstrip("/")
     groups: dict[str, dict[tuple[str, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
     parquet: dict[str, list[str]] = defaultdict(list)
-    for entry in _entries(spark, base):
+    for entry in list_entries(spark, base):
         name = route_dataset(entry)
         path = f"{base}/{entry}"
         if name is None:
