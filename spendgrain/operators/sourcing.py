@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spendgrain.functions.numeric import exact_sum, half_up, lookup, percent
 from spendgrain.model import RISK_RANK_OTHER, RISK_RANKS, RISK_SCORE_OTHER, RISK_SCORES
-from spendgrain.operators.ranking import first_per_group
+from spendgrain.operators.ranking import first_per_group, join_group_values
 from spendgrain.params import PRESETS, AllocationPolicy, SourcingRules
 from spendgrain.plans import marts
 from spendgrain.tables import Tables
@@ -40,7 +40,7 @@ def scored_suppliers(t: Tables, policy: AllocationPolicy = AllocationPolicy()) -
         )
         for name, column in measures.items()
     }
-    scored = metrics.join(bounds, "category").select(
+    scored = join_group_values(metrics, bounds, ["category"], "supplier_id").select(
         *metrics.columns,
         *(score.alias(name) for name, score in scores.items()),
         lookup(F.col("risk_level"), RISK_SCORES, RISK_SCORE_OTHER).alias("risk_score"),
@@ -152,7 +152,7 @@ def _sourcing(t: Tables, rules: SourcingRules) -> DataFrame:
         .agg((high - (1.0 - rules.price_percentile) * spread).alias("price_limit"))
     )
     tier = F.when(F.col("eligible") & (cost <= F.col("price_limit")), 0).when(F.col("eligible"), 1).otherwise(2)
-    tiered = metrics.join(bands, "category", "left").withColumn("tier", tier)
+    tiered = join_group_values(metrics, bands, ["category"], "supplier_id", "left").withColumn("tier", tier)
     # A supplier may trade under several names; its best row stands for it.
     best_rows = first_per_group(tiered, ["category", "supplier_id"], 1, "tier", cost, "supplier_name")
     ranked = first_per_group(best_rows, ["category"], 2, "tier", cost, "supplier_id")
