@@ -28,8 +28,10 @@ from spendgrain.operators import (  # noqa: E402
 )
 from spendgrain.params import PRESETS, SourcingRules  # noqa: E402
 from spendgrain.plans import marts  # noqa: E402
-from spendgrain.sinks.writers import register_views  # noqa: E402
+from spendgrain.session import shared_folder  # noqa: E402
+from spendgrain.sinks.writers import read_tables, register_views, write_marts, write_tables  # noqa: E402
 from spendgrain.sources.normalize import normalize  # noqa: E402
+from spendgrain.sources.readers import load_landing  # noqa: E402
 from spendgrain.sources.star import StarTables  # noqa: E402
 from spendgrain.tables import Tables  # noqa: E402
 
@@ -79,6 +81,25 @@ def _sql_over_views(t: Tables) -> DataFrame:
     )
 
 
+# File names an upstream system might use.
+LANDING_NAMES = {
+    "suppliers": "vendor_master_extract.csv",
+    "materials": "item_master.csv",
+    "purchase_orders": "PO_LINES.csv",
+    "quality_incidents": "non_conformance_log.csv",
+}
+
+
+def _files_to_mart(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw tables out to CSV files, back in by their names, normalized, stored by month, aggregated."""
+    work = shared_folder(spark, "spendgrain")
+    landed = {LANDING_NAMES[name]: frame for name, frame in raw_tables(spark, folder).items()}
+    write_marts(landed, f"{work}/landing")
+    clean, _ = normalize(load_landing(spark, f"{work}/landing"))
+    write_tables(clean, f"{work}/tables")
+    return marts.category_month(read_tables(spark, f"{work}/tables"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "executive_summary": _star(spend.executive_summary),
@@ -132,6 +153,7 @@ def queries() -> dict[str, Query]:
         "insights_display": _star(lambda t: summary.displayed(summary.insights_summary(t))),
         "filtered_kpis": _star(summary.filtered_kpis, FILTER_CATEGORIES, *FILTER_RANGE),
         "sql_over_views": _star(_sql_over_views),
+        "files_to_mart": _files_to_mart,
         "normalized_suppliers": _normalized(lambda t: _plain(t.suppliers())),
         "normalized_materials": _normalized(lambda t: _plain(t.materials())),
         "normalized_orders": _normalized(lambda t: _plain(t.orders())),

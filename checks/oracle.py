@@ -650,6 +650,11 @@ FROM view""",
 SELECT p.category, count(*) AS suppliers, {up("sum(CAST(total_spend_ngn AS DECIMAL(28,2)))", 2)} AS total_spend_ngn,
   (SELECT count(*) FROM opportunities) AS opportunities
 FROM perf p WHERE total_orders > 0 GROUP BY p.category""",
+    "files_to_mart": f"""{CLEAN}
+SELECT category, {YEAR} AS year, {MM} AS month, count(DISTINCT po_number) AS total_orders,
+  {cash("sum(total_amount_ngn)")} AS total_spend_ngn, {up(avg("total_amount_ngn"), 2)} AS avg_order_value,
+  count(DISTINCT supplier_id) AS unique_suppliers
+FROM n_po WHERE po_date IS NOT NULL GROUP BY category, year, month""",
     "normalized_suppliers": f"""{CLEAN}
 {plain("n_sup")}""",
     "normalized_materials": f"""{CLEAN}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Sizes decide joins at run time, hot keys are split, and clocks agree.
@@ -16,6 +19,20 @@ SETTINGS = {
 }
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that every executor can reach.
+
+    It lies below ``spark.checkpoint.dir``. Only a local session without
+    that setting falls back to a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder shared by all executors")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

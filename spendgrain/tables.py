@@ -49,6 +49,10 @@ class Tables:
             "quality_incidents": self.incidents(),
         }
 
+    def preview(self, name: str, rows: int = 200) -> DataFrame:
+        """Some rows of a table, for a look at its contents."""
+        return self.frames()[name].limit(rows)
+
     def where_orders(self, condition: Column, *uses: str) -> Tables:
         """The same tables with the order lines filtered on the named columns."""
         return _FilteredTables(self, condition, uses)
