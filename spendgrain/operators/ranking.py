@@ -17,18 +17,22 @@ def top_n(df: DataFrame, n: int | None, measure: str, *keys: str) -> DataFrame:
 
 
 def join_group_values(
-    rows: DataFrame, values: DataFrame, keys: list[str], spread_by: str, how: str = "inner", parts: int = 32
+    rows: DataFrame, values: DataFrame, keys: list[str], spread_by: str, parts: int = 32
 ) -> DataFrame:
     """Join one row of ``values`` per group back onto the rows of the group.
 
     The few group values are repeated ``parts`` times and the rows of a group
     are spread over as many parts, so that a group holding most of the rows
     is joined by many tasks. Meant for groups far fewer than rows.
+
+    The join keeps all rows: an inner join would push a test of its salted
+    key down to the scan and keep Spark from reusing the shuffle that rows
+    and values have in common.
     """
     part = F.pmod(F.xxhash64(spread_by), F.lit(parts))
     each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
     repeated = values.withColumn("group_part", each)
-    return rows.withColumn("group_part", part).join(repeated, [*keys, "group_part"], how).drop("group_part")
+    return rows.withColumn("group_part", part).join(repeated, [*keys, "group_part"], "left").drop("group_part")
 
 
 def first_per_group(df: DataFrame, groups: list[str], n: int, *order: Column | str) -> DataFrame:

@@ -152,7 +152,7 @@ def _sourcing(t: Tables, rules: SourcingRules) -> DataFrame:
         .agg((high - (1.0 - rules.price_percentile) * spread).alias("price_limit"))
     )
     tier = F.when(F.col("eligible") & (cost <= F.col("price_limit")), 0).when(F.col("eligible"), 1).otherwise(2)
-    tiered = join_group_values(metrics, bands, ["category"], "supplier_id", "left").withColumn("tier", tier)
+    tiered = join_group_values(metrics, bands, ["category"], "supplier_id").withColumn("tier", tier)
     # A supplier may trade under several names; its best row stands for it.
     best_rows = first_per_group(tiered, ["category", "supplier_id"], 1, "tier", cost, "supplier_name")
     ranked = first_per_group(best_rows, ["category"], 2, "tier", cost, "supplier_id")

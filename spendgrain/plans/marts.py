@@ -176,13 +176,15 @@ def supplier_category(t: Tables) -> DataFrame:
 
     Lines are first reduced to one row per category, supplier and order.
     That grain counts orders without a distinct and meets the incidents of
-    the same order and supplier exactly once per category.
+    the same order and supplier exactly once per category. Lines without a
+    category take no part.
     """
     keys = ["category", "supplier_id", "supplier_name"]
     per_order = (
         t.orders(
             *keys, "po_number", "quantity", "total_amount_ngn", "actual_delivery_date", "expected_delivery_date"
         )
+        .where("category IS NOT NULL")
         .groupBy(*keys, "po_number")
         .agg(
             F.sum("quantity").alias("quantity"),

@@ -74,6 +74,19 @@ def test_top_n_needs_no_full_sort(spark):
     assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
 
 
+def test_lines_are_shuffled_once_for_both_uses(spark, tmp_path):
+    """Scores and the bounds they are measured against share the shuffle of the lines."""
+    from spendgrain.sinks.writers import read_tables, write_tables
+
+    write_tables(StarTables(spark, FOLDER), str(tmp_path))
+    stored = read_tables(spark, str(tmp_path))
+    for query in (sourcing.supplier_optimization, sourcing.constrained_sourcing):
+        result = query(stored)
+        result.collect()
+        final = physical(result).split("Initial Plan")[0]
+        assert len(re.findall(r"FileScan parquet \[po_number[^\]]*quantity", final)) == 1
+
+
 def test_group_limits_run_before_the_shuffle(spark):
     star = StarTables(spark, FOLDER)
     for query, limits in ((sourcing.constrained_sourcing, 2), (sourcing.supplier_optimization, 1)):
