@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendgrain.functions.numeric import as_double, half_up, ratio
-from spendgrain.plans import marts
 from spendgrain.tables import Tables
 
 # The percentiles reported.
