@@ -35,6 +35,14 @@ from spendgrain.sources.readers import load_landing  # noqa: E402
 from spendgrain.sources.star import StarTables  # noqa: E402
 from spendgrain.tables import Tables  # noqa: E402
 
+try:  # the training-data operators are an optional part
+    import corpus_pipeline
+    from spendgrain.llm import registry as llm
+except ImportError as missing:
+    if not (missing.name or "").startswith(("corpus_pipeline", "spendgrain.llm")):
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Thresholds at which the given tables reach every branch of the rules.
@@ -101,6 +109,13 @@ def _files_to_mart(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    own = _own_queries()
+    if llm is not None:
+        own |= llm.queries() | {"pipeline": corpus_pipeline.run}
+    return own
+
+
+def _own_queries() -> dict[str, Query]:
     return {
         "executive_summary": _star(spend.executive_summary),
         "category_spend": _star(spend.category_spend),
@@ -166,7 +181,12 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql()
+    own = oracle.oracle_sql()
+    if llm is not None:
+        own |= llm.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL is not None:
+            own["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return own
 
 
 def entry(spark: SparkSession) -> DataFrame:

