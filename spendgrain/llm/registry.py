@@ -5,13 +5,66 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spendgrain.llm import setsketch
-from spendgrain.llm.common import table
+from spendgrain.llm import chat, grammar, language, mixing, near_vectors, ordinal, pieces, secret_scan, setsketch, topk
+from spendgrain.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a public vocabulary file. The operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_link_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    calls, results = chat.tool_events(table(spark, folder, "conversations"))
+    return chat.link_tool_calls(calls, results, chat.TOOLS)
+
+
+def op2_recurrent_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language.identify(docs, language.fit(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op3_re_pair_shards(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    shards = stored(grammar.encode_shards(docs, tokenizer_path("byte_bpe_50k.json")), "shards")
+    return grammar.decode_shards(shards)
+
+
+def op4_hypergeometric_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_offset_preserving_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256")
+    return pieces.encode(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"), outputs)
+
+
+def op6_secret_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, folder, "documents"))
+
+
+def op7_pca_tiled_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, folder, "embeddings"), threshold=0.95)
+
+
+def op8_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = ordinal.fit(docs, ordinal.rated(table(spark, folder, "labels")))
+    return ordinal.grade(docs, model).withColumn("held_out", ordinal.held_out())
+
+
+def op9_ball_tree_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), k=20, every=20)
+
+
 def op10_setsketch_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, folder, "documents"), percent=85).drop("text_hash")
 
@@ -22,4 +75,30 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_hypergeometric_mix": MIX_SQL}
+
+
+# The order of a source's stream is that of the first 60 bits of an MD5, which both engines have.
+MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, substr(md5('0|' || coalesce(doc_id::VARCHAR, '')), 1, 15) AS place,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS s FROM sized GROUP BY source),
+weighed AS (SELECT *, CASE (s - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2.0::DOUBLE * source_size AS room FROM sources),
+levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+      - coalesce(sum(room) OVER (ORDER BY room / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY room / weight, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+targets AS (SELECT source, source_size, least(room, weight * max(level) OVER ()) AS target FROM levels),
+plan AS (
+  SELECT *, least(round(target)::BIGINT, 2 * source_size) AS amount, least(round(target)::BIGINT, 2 * source_size) // greatest(source_size, 1) AS whole
+  FROM targets),
+placed AS (
+  SELECT d.*, p.source_size, p.target, p.whole, p.amount - p.whole * p.source_size AS part,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, size, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, part - start)))::BIGINT AS taken FROM placed
+"""
