@@ -24,6 +24,9 @@ _CLASS = np.zeros(256, np.uint64)
 _CLASS[[*range(65, 91)]], _CLASS[[*range(97, 123)]], _CLASS[[*range(48, 58)]] = 1, 2, 3
 _CLASS[128:] = 4
 _CLASS[[*b".,"]] = 5
+_KINDS = np.zeros((4, 256), bool)
+_KINDS[0, 65:91], _KINDS[1, 48:58], _KINDS[3, 10] = True, True, True
+_KINDS[2, [b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 
 @dataclass(frozen=True)
@@ -45,7 +48,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
     A word falls into a bucket by its letters, whatever their case, and into
     another by its shape: the kinds of its first two and last bytes and its
-    length.
+    length. A text with words falls into buckets by its shares, in steps: of
+    capitals, digits, other signs and line ends among its bytes, and of distinct
+    ones among its words.
     """
     starts, ends, counts = word_spans(data, offsets)
     words = word_hashes(data, starts, ends)
@@ -54,8 +59,17 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     shape = _CLASS[data[starts]] * np.uint64(1000) + _CLASS[second] * np.uint64(100) + _CLASS[data[ends - 1]] * np.uint64(10)
     shape = mixed(shape + np.minimum(n, 24).astype(np.uint64) * np.uint64(10007) + np.uint64(1))
     own = np.concatenate([words, shape]) % np.uint64(BUCKETS)
-    text = np.tile(np.repeat(np.arange(len(offsets) - 1), np.diff(counts)), 2).astype(np.uint64)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(counts)).astype(np.uint64)
+    text = np.tile(owner, 2)
     keys = np.unique(text * np.uint64(BUCKETS) + own)
+    some = np.flatnonzero(np.diff(counts))
+    different = np.bincount((np.unique(owner * np.uint64(BUCKETS) + words % np.uint64(BUCKETS)) // np.uint64(BUCKETS)).astype(np.int64), minlength=len(offsets) - 1)
+    shares = [different[some] / np.diff(counts)[some]]
+    for kind in _KINDS:
+        sums = np.concatenate([[0], np.cumsum(kind[data], dtype=np.int64)])[offsets]
+        shares.append((np.diff(sums) / np.maximum(1, np.diff(offsets)))[some])
+    steps = [mixed(np.floor(24 * np.sqrt(x)).astype(np.uint64) + np.uint64(100 * k + 10**9)) % np.uint64(BUCKETS) for k, x in enumerate(shares)]
+    keys = np.unique(np.concatenate([keys, *(some.astype(np.uint64) * np.uint64(BUCKETS) + x for x in steps)]))
     return (keys % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(keys, np.arange(len(offsets)).astype(np.uint64) * np.uint64(BUCKETS))
 
 
@@ -66,17 +80,35 @@ def _scores(weights: np.ndarray, buckets: np.ndarray, at: np.ndarray) -> np.ndar
     return (sums[at[1:]] - sums[at[:-1]]) / np.sqrt(np.maximum(1, n))
 
 
-def train(buckets: np.ndarray, at: np.ndarray, grades: np.ndarray, n_grades: int, rounds: int = 150, rate: float = 0.1, decay: float = 1e-4) -> OrdinalModel:
+def evidence(buckets: np.ndarray, at: np.ndarray, grades: np.ndarray, n_grades: int, least: int = 5) -> np.ndarray:
+    """How much a bucket's presence tells of the grade: the square of its largest log-odds over all cuts between grades.
+
+    Buckets of fewer than ``least`` texts tell nothing.
+    """
+    texts = np.repeat(np.arange(len(grades)), np.diff(at))
+    total = np.bincount(buckets, minlength=BUCKETS)
+    best = np.zeros(BUCKETS)
+    for cut in range(1, n_grades):
+        low = grades < cut
+        below = np.bincount(buckets, low[texts], BUCKETS)
+        odds = np.log((below + 1) / (low.sum() + 2)) - np.log((total - below + 1) / ((~low).sum() + 2))
+        best = np.maximum(best, np.abs(odds))
+    return best**2 * (total >= least)
+
+
+def train(buckets: np.ndarray, at: np.ndarray, grades: np.ndarray, n_grades: int, rounds: int = 200, rate: float = 0.2, decay: float = 1e-5) -> OrdinalModel:
     """Weights and thresholds by Adam on the mean log-likelihood of all texts. The same input gives the same model."""
     n = np.diff(at)
     owner, scale = np.repeat(np.arange(len(n)), n), 1 / np.sqrt(np.maximum(1, n))
+    told = evidence(buckets, at, grades, n_grades)
+    value = told[buckets]
     weights = np.zeros(BUCKETS)
     steps = np.concatenate([[-1.0], np.full(n_grades - 2, np.log(2.0))])
     first, second = [np.zeros_like(weights), np.zeros_like(steps)], [np.zeros_like(weights), np.zeros_like(steps)]
     rows = np.arange(len(grades))
     for k in range(1, rounds + 1):
         limits = np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])]))
-        scores = np.bincount(owner, weights[buckets], len(n)) * scale
+        scores = np.bincount(owner, weights[buckets] * value, len(n)) * scale
         below = 1 / (1 + np.exp(np.clip(scores[:, None] - limits[None, :], -60, 60)))
         cumulative = np.concatenate([np.zeros((len(n), 1)), below, np.ones((len(n), 1))], 1)
         p = np.maximum(cumulative[rows, grades + 1] - cumulative[rows, grades], 1e-9)
@@ -88,17 +120,17 @@ def train(buckets: np.ndarray, at: np.ndarray, grades: np.ndarray, n_grades: int
         np.add.at(by_limit, grades, down / len(n))
         inner = by_limit[1:-1]
         tail = np.cumsum(inner[::-1])[::-1]
-        gradients = [np.bincount(buckets, (by_score * scale)[owner], BUCKETS) + decay * weights, np.concatenate([tail[:1], tail[1:] * np.exp(steps[1:])])]
+        gradients = [np.bincount(buckets, (by_score * scale)[owner] * value, BUCKETS) + decay * weights, np.concatenate([tail[:1], tail[1:] * np.exp(steps[1:])])]
         for x, g, m, v in zip((weights, steps), gradients, first, second, strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             x -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-    return OrdinalModel(weights, np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])])))
+    return OrdinalModel(weights * told, np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])])))
 
 
-def held_out() -> Column:
-    """Whether a document is kept from training: crc32 of doc_id as text leaves 2 when divided by 4."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+def held_out(name: str = "doc_id") -> Column:
+    """Whether a document is kept from training: crc32 of its id as text leaves 2 when divided by 4."""
+    return F.coalesce(F.crc32(F.col(name).cast("string")) % 4 == 2, F.lit(False))
 
 
 def rated(labels: DataFrame) -> DataFrame:
@@ -121,7 +153,7 @@ def fit(docs: DataFrame, ratings: DataFrame, per_grade: int = 1500, **options) -
     model.
     """
     wanted = ratings.withColumns({"rank": F.xxhash64("rated_id"), "part": F.pmod(F.xxhash64("rated_id", F.lit(1)), F.lit(32))})
-    wanted = wanted.where(~held_out_id("rated_id"))
+    wanted = wanted.where(~held_out("rated_id"))
     for by in (["grade", "part"], ["grade"]):
         wanted = wanted.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("rank", "rated_id"))).where(F.col("n") <= per_grade).drop("n")
     wanted = stored(wanted.select("rated_id", "grade"), "rated")
@@ -146,10 +178,6 @@ def fit(docs: DataFrame, ratings: DataFrame, per_grade: int = 1500, **options) -
     return train(np.concatenate(buckets).astype(np.int64), at, grades, max(2, int(grades.max()) + 1), **options)
 
 
-def held_out_id(name: str) -> Column:
-    return F.coalesce(F.crc32(F.col(name).cast("string")) % 4 == 2, F.lit(False))
-
-
 def grade(docs: DataFrame, model: OrdinalModel | None, least: float = 0.5) -> DataFrame:
     """``doc_id, expected_grade, tail_prob, kept`` of every whole text of ``docs(doc_id, text)``.
 
