@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spendgrain.llm.common import stored
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
+def _measured(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges written, and a count and checksum taken while they were."""
+    seen = Observation()
     both = F.xxhash64("u", "v").cast("decimal(38,0)")
-    return tuple(edges.agg(F.count("*"), F.sum(both)).first())
+    out = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(both).alias("sum")), "links")
+    return out, (seen.get["n"], seen.get["sum"])
 
 
 def _to_minimum(pairs: DataFrame, chosen: Column, keep_self: bool) -> DataFrame:
@@ -24,7 +27,7 @@ def _to_minimum(pairs: DataFrame, chosen: Column, keep_self: bool) -> DataFrame:
     out = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if keep_self:
         out = out.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+    return out.where(F.col("u") != F.col("v"))
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -38,14 +41,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     reach the driver.
     """
     edges = links.select("u", "v").where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = stored(edges, "links")
-    seen = _fingerprint(edges)
+    edges, seen = _measured(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_minimum(both, F.col("v") > F.col("u"), False)
         small = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        edges = stored(_to_minimum(small, F.lit(True), True), "links")
-        now = _fingerprint(edges)
+        edges, now = _measured(_to_minimum(small, F.lit(True), True).distinct())
         if now == seen:
             break
         seen = now

@@ -10,12 +10,13 @@ registers are about as frequent as the Jaccard similarity. The steps:
    set. Texts with equal sets become one class.
 2. Classes with an equal band of registers fall in a bucket. In every bucket
    all classes are compared with one of them, so large groups of near copies
-   become one component without listing their pairs. This is repeated with
-   other centres for buckets that still hold several components.
+   become one component without listing their pairs. This can be repeated
+   with other centres for buckets that still hold several components.
 3. Buckets that still do are compared completely, in tiles of bounded size:
    every pair from different components, each in the first band it shares.
-4. A pair goes on if the likelihood of its registers leaves the wanted
-   similarity open, and is confirmed by the two whole sets.
+   Pairs are never listed: a task gives the links that join its components.
+4. A pair is open if the likelihood of its registers leaves the wanted
+   similarity open. It is confirmed by the two whole sets.
 
 Components need no link inside what is already connected, so none that could
 change the result is left out.
@@ -206,11 +207,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                near = y[np.minimum(np.searchsorted(y, x), len(y) - 1)]
-                both = int((near == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            for pair in zip(batch.column("x"), batch.column("y"), strict=True):
+                keep.append(_contains(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
@@ -240,66 +238,110 @@ def _stars(bands: DataFrame, turn: int) -> DataFrame:
 _TILE = 512
 
 
-def _tiles(bands: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Plausible pairs of different components in a bucket, each in the first band it shares.
-
-    A bucket is cut into tiles; every pair of tiles is a group of bounded size.
+def _open_pairs(rows: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the plausible pairs of different components in each unit, in the first band they share. Rows of a unit lie together."""
+    group = rows.column("unit").to_numpy()
+    tile, band = rows.column("tile").to_numpy(), rows.column("band").to_numpy()
+    n, root = rows.column("n_shingles").to_numpy(), rows.column("root_no").to_numpy()
+    same_tile = rows.column("same_tile").to_numpy()
+    values = _matrix(rows.column("registers").combine_chunks(), "<u2", REGISTERS)
+    low, high = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    step = 1
+    left = np.arange(len(group) - 1)
+    while len(left):
+        left = left[left + step < len(group)]
+        left = left[group[left] == group[left + step]]
+        for k in range(0, len(left), 8192):
+            i = left[k : k + 8192]
+            j = i + step
+            ok = (root[i] != root[j]) & (same_tile[i] | (tile[i] != tile[j]))
+            i, j = i[ok], j[ok]
+            if len(i):
+                x, y = values[i], values[j]
+                equal = (x == y).reshape(-1, BANDS, ROWS).all(2)
+                ok = (equal.argmax(1) == band[i]) & likely(x, y, n[i], n[j], similarity)[1]
+                low.append(i[ok])
+                high.append(j[ok])
+        step += 1
+    return np.concatenate(low), np.concatenate(high)
+
+
+def _by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of whole units, which lie together in the stream."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        unit = batch.column("unit").to_numpy()
+        if not len(unit):
+            continue
+        others = np.flatnonzero(unit != unit[-1])
+        cut = int(others[-1]) + 1 if len(others) else 0
+        if cut or (rest and rest[-1].column("unit")[0].as_py() != unit[0]):
+            yield pa.Table.from_batches([*rest, batch.slice(0, cut)])
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def _contains(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets."""
+    near = y[np.minimum(np.searchsorted(y, x), len(y) - 1)]
+    both = int((near == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _tiles(bands: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) that join the components of each bucket as all its pairs would.
+
+    A bucket is cut into tiles; every pair of tiles is a unit of bounded size.
+    At first the sketches tell which classes of a unit are in an open pair.
+    Those meet again in their units with their whole sets. A task confirms
+    open pairs until its classes are joined and gives the links that joined
+    them, so a group yields fewer links than it has classes.
     """
-
-    def pairs_of(rows: pa.Table) -> pa.RecordBatch:
-        group = rows.column("unit").combine_chunks().to_numpy()
-        tile, band = rows.column("tile").to_numpy(), rows.column("band").to_numpy()
-        n, root = rows.column("n_shingles").to_numpy(), rows.column("root_no").to_numpy()
-        same_tile = rows.column("same_tile").to_numpy(zero_copy_only=False)
-        values = _matrix(rows.column("registers").combine_chunks(), "<u2", REGISTERS)
-        low, high = [], []
-        step = 1
-        left = np.arange(len(group) - 1)
-        while len(left):
-            left = left[left + step < len(group)]
-            left = left[group[left] == group[left + step]]
-            for k in range(0, len(left), 8192):
-                i = left[k : k + 8192]
-                j = i + step
-                ok = (root[i] != root[j]) & (same_tile[i] | (tile[i] != tile[j]))
-                i, j = i[ok], j[ok]
-                if len(i):
-                    x, y = values[i], values[j]
-                    equal = (x == y).reshape(-1, BANDS, ROWS).all(2)
-                    ok = (equal.argmax(1) == band[i]) & likely(x, y, n[i], n[j], similarity)[1]
-                    low.append(i[ok])
-                    high.append(j[ok])
-            step += 1
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (low, high))
-        ids = rows.column("set_id").combine_chunks()
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-        for batch in batches:
-            unit = batch.column("unit").to_numpy()
-            if not len(unit):
-                continue
-            others = np.flatnonzero(unit != unit[-1])
-            cut = int(others[-1]) + 1 if len(others) else 0
-            if cut or (rest and rest[-1].column("unit")[0].as_py() != unit[0]):
-                yield pairs_of(pa.Table.from_batches([*rest, batch.slice(0, cut)]))
-                rest = []
-            rest.append(batch.slice(cut))
-        if rest:
-            yield pairs_of(pa.Table.from_batches(rest))
+    similarity = percent / 100
+    columns = ["unit", "set_id", "band", "root_no", "tile", "same_tile"]
+    kinds = "unit long, set_id binary, band int, root_no long, tile int, same_tile boolean"
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_unit(batches):
+            i, j = _open_pairs(rows, similarity)
+            yield from rows.select(columns).take(pa.array(np.unique(np.concatenate([i, j])))).to_batches()
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_unit(batches):
+            ids, sets = rows.column("set_id").to_pylist(), rows.column("hashes").combine_chunks()
+            root = {}
+
+            def find(x: int, root: dict = root) -> int:
+                while (up := root.get(x, x)) != x:
+                    x = up
+                return x
+
+            names = rows.column("root_no").to_pylist()
+            links = []
+            for i, j in zip(*(x.tolist() for x in _open_pairs(rows, similarity)), strict=True):
+                one, other = find(names[i]), find(names[j])
+                if one != other and _contains(*(np.frombuffer(sets[k].as_buffer(), np.uint64) for k in (i, j)), percent):
+                    root[one] = other
+                    links.append((ids[i], ids[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in range(2)], ["a", "b"])
 
     tiles = F.ceil(F.col("held") / _TILE).cast("int")
     rows = bands.select("set_id", "bucket", "band", F.xxhash64("root").alias("root_no"), tiles.alias("tiles"))
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("set_id"), F.col("tiles").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     unit = F.xxhash64("bucket", F.least("tile", "other"), F.greatest("tile", "other"))
-    rows = rows.select("set_id", "band", "root_no", "tile", (F.col("tile") == F.col("other")).alias("same_tile"), unit.alias("unit"))
-    rows = rows.join(classes.select("set_id", "n_shingles", "registers"), "set_id")
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a binary, b binary")
+    rows = rows.select(unit.alias("unit"), "set_id", "band", "root_no", "tile", (F.col("tile") == F.col("other")).alias("same_tile"))
+    sketches = classes.select("set_id", "n_shingles", "registers")
+    open_ = rows.join(sketches, "set_id").repartition("unit").sortWithinPartitions("unit").mapInArrow(flag, kinds)
+    open_ = stored(open_, "open")
+    wanted = stored(classes.join(open_.select("set_id").distinct(), "set_id", "left_semi").select("doc_id", "set_id"), "wanted")
+    sets = _whole_sets(docs, wanted, width).join(sketches, "set_id")
+    return open_.join(sets, "set_id").repartition("unit").sortWithinPartitions("unit").mapInArrow(join, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, star_turns: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, star_turns: int = 1) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, text_hash`` for each row of ``docs(doc_id, text)``.
 
     Two texts are linked if 100 * intersection >= percent * union of their
@@ -328,8 +370,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, star_tur
         bands = stored(_spread(bands.drop("held")), "bands")
         if bands.isEmpty():
             break
-        pairs = _plausible(_stars(bands, turn), classes, similarity) if turn < star_turns else _tiles(bands, classes, similarity)
-        found = stored(_confirmed(stored(pairs, "pairs"), docs, classes, percent, width), "found").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if turn < star_turns:
+            pairs = stored(_plausible(_stars(bands, turn), classes, similarity), "pairs")
+            found = _confirmed(pairs, docs, classes, percent, width)
+        else:
+            found = _tiles(bands, docs, classes, percent, width)
+        found = stored(found, "found").select(F.col("a").alias("u"), F.col("b").alias("v"))
         links = found if links is None else links.unionByName(found)
         roots = connected_components(links)
     named = classes.select("set_id", F.col("doc_id").alias("least_id"))
