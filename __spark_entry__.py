@@ -30,7 +30,7 @@ from spendgrain.params import PRESETS, SourcingRules  # noqa: E402
 from spendgrain.plans import marts  # noqa: E402
 from spendgrain.session import shared_folder  # noqa: E402
 from spendgrain.sinks.writers import read_tables, register_views, write_marts, write_tables  # noqa: E402
-from spendgrain.sources.normalize import normalize  # noqa: E402
+from spendgrain.sources.normalize import cleaned_tables, normalize  # noqa: E402
 from spendgrain.sources.readers import load_landing  # noqa: E402
 from spendgrain.sources.star import StarTables  # noqa: E402
 from spendgrain.tables import Tables  # noqa: E402
@@ -64,6 +64,32 @@ def _normalized(query: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, folder: query(normalize(raw_tables(spark, folder))[0])
 
 
+def _reported(query: Callable[[Tables], DataFrame]) -> Query:
+    """A query over the raw tables as they are before rows are merged; incidents are completed."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        raw = raw_tables(spark, folder)
+        clean, _ = cleaned_tables(raw)
+        whole, _ = normalize(raw)
+        return query(Tables(clean.suppliers(), clean.materials(), whole.orders(), whole.incidents()))
+
+    return run
+
+
+def _filtered(query: Callable[..., DataFrame], *args, **options) -> Query:
+    """A query over the lines of some categories and days."""
+    view = lambda spark, folder: summary.filtered_view(StarTables(spark, folder), FILTER_CATEGORIES, *FILTER_RANGE)
+    return lambda spark, folder: query(view(spark, folder), *args, **options)
+
+
+def _unmapped(spark: SparkSession, folder: str) -> DataFrame:
+    """Unmapped keys: incidents without supplier are judged before they are filled."""
+    raw = raw_tables(spark, folder)
+    clean, _ = cleaned_tables(raw)
+    whole, _ = normalize(raw)
+    return quality.unmapped_keys(Tables(clean.suppliers(), clean.materials(), whole.orders(), clean.incidents()))
+
+
 def _plain(df: DataFrame) -> DataFrame:
     """Money as doubles and dates as text, for comparison between engines."""
     shown = []
@@ -108,6 +134,22 @@ def _files_to_mart(spark: SparkSession, folder: str) -> DataFrame:
     return marts.category_month(read_tables(spark, f"{work}/tables"))
 
 
+def _landing_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers from two CSV files with different headers and a Parquet file, one of them without currencies."""
+    work = shared_folder(spark, "spendgrain")
+    raw = raw_tables(spark, folder)
+    key = F.col("Vendor ID").cast("bigint") % 3
+    rows = raw["suppliers"].dropDuplicates(["Vendor ID"]).drop("Vendor Name")
+    names = StarTables(spark, folder).suppliers("supplier_id", "supplier_name")
+    rows = rows.join(names.select(F.col("supplier_id").cast("string").alias("Vendor ID"), F.col("supplier_name").alias("Vendor Name")), "Vendor ID")
+    other = {"Vendor ID": "supplier_code", "Vendor Name": "Vendor", "Approved": "is active"}
+    write_marts({"vendor_a.csv": rows.where(key == 0)}, f"{work}/landing")
+    write_marts({"Vendor B.csv": rows.where(key == 1).drop("Invoice Currency").withColumnsRenamed(other)}, f"{work}/landing")
+    write_marts({"supplier_c.parquet": rows.where(key == 2)}, f"{work}/landing", "parquet")
+    write_marts({"items.csv": raw["materials"], "po.csv": raw["purchase_orders"].limit(0)}, f"{work}/landing")
+    return _plain(normalize(load_landing(spark, f"{work}/landing"))[0].suppliers())
+
+
 def queries() -> dict[str, Query]:
     own = _own_queries()
     if llm is not None:
@@ -150,6 +192,8 @@ def _own_queries() -> dict[str, Query]:
         "performance_savings_top10": _star(savings.performance_savings, limit=10),
         "savings_scenarios": _star(savings.savings_scenarios),
         "savings_scenarios_by_category": _star(savings.savings_scenarios, by_category=True),
+        "savings_scenarios_top20": _star(savings.savings_scenarios, price_limit=20),
+        "savings_scenarios_by_category_top20": _star(savings.savings_scenarios, by_category=True, price_limit=20),
         "price_distribution": _star(distribution.price_distribution),
         "price_distribution_approx": _star(distribution.approximate_price_distribution),
         "savings_bootstrap": _star(distribution.savings_bootstrap),
@@ -165,18 +209,25 @@ def _own_queries() -> dict[str, Query]:
         "constrained_savings_dual": _star(sourcing.constrained_savings, DUAL),
         "constrained_savings_strict_cap": _star(sourcing.constrained_savings, STRICT),
         "insights_summary": _star(summary.insights_summary),
+        "insights_summary_top20": _star(summary.insights_summary, price_limit=20),
         "insights_display": _star(lambda t: summary.displayed(summary.insights_summary(t))),
         "filtered_kpis": _star(summary.filtered_kpis, FILTER_CATEGORIES, *FILTER_RANGE),
+        "filtered_kpis_top20": _star(summary.filtered_kpis, FILTER_CATEGORIES, *FILTER_RANGE, price_limit=20),
+        "filtered_category_spend": _filtered(spend.category_spend),
+        "filtered_supplier_performance": _filtered(marts.supplier_performance),
+        "filtered_price_variance": _filtered(spend.price_variance, min_spread_pct=None),
         "sql_over_views": _star(_sql_over_views),
         "files_to_mart": _files_to_mart,
         "normalized_suppliers": _normalized(lambda t: _plain(t.suppliers())),
         "normalized_materials": _normalized(lambda t: _plain(t.materials())),
         "normalized_orders": _normalized(lambda t: _plain(t.orders())),
         "normalized_incidents": _normalized(lambda t: _plain(t.incidents())),
-        "dq_row_counts": _normalized(quality.row_counts),
-        "dq_nulls": _normalized(quality.null_cells),
-        "dq_duplicates": _normalized(quality.duplicate_rows),
-        "dq_unmapped": _normalized(quality.unmapped_keys),
+        "landing_variants": _landing_variants,
+        "dq_row_counts": _reported(quality.row_counts),
+        "dq_nulls": _reported(quality.null_cells),
+        "dq_duplicates": _reported(quality.duplicate_rows),
+        "dq_duplicate_keys": _reported(quality.duplicate_keys),
+        "dq_unmapped": _unmapped,
     }
 
 

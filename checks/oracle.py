@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 
 def up(value: str, digits: int = 0) -> str:
     """Round half away from zero, as a double."""
@@ -364,11 +366,19 @@ CLEAN = """, n_sup AS (
     supplier_id % 6 NOT IN (1, 3) AS is_approved,
     CASE supplier_id % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Low' ELSE 'Medium' END AS risk_level
   FROM sup
+), n_sup_all AS (
+  SELECT * FROM n_sup
+  UNION ALL SELECT * REPLACE (supplier_name || ' (old)' AS supplier_name) FROM n_sup WHERE CAST(supplier_id AS BIGINT) % 10 = 0
+  UNION ALL SELECT * REPLACE (NULL AS supplier_name) FROM n_sup WHERE CAST(supplier_id AS BIGINT) % 15 = 0
+  UNION ALL SELECT * FROM n_sup WHERE CAST(supplier_id AS BIGINT) % 7 = 0
 ), n_mat AS (
   SELECT CAST(material_id AS VARCHAR) AS material_id, material_name, category, 'PCS' AS unit_of_measure,
     CASE WHEN material_id % 9 = 0 THEN 0 ELSE standard_price_ngn END AS standard_price_ngn,
     CASE WHEN material_id % 8 = 0 THEN 30 WHEN material_id % 11 = 0 THEN 14 ELSE lead_time_days END AS lead_time_days
   FROM mat
+), n_mat_all AS (
+  SELECT * FROM n_mat
+  UNION ALL SELECT * REPLACE (NULL AS material_name) FROM n_mat WHERE CAST(material_id AS BIGINT) % 12 = 0
 ), raw_po AS (
   SELECT l_orderkey AS k, l_linenumber AS line, CAST(o_orderdate AS DATE) AS d, l_suppkey, l_partkey, p_type,
     CAST(CASE WHEN l_orderkey % 41 = 0 THEN 0 ELSE l_quantity END AS DECIMAL(18,3)) AS q,
@@ -382,17 +392,19 @@ CLEAN = """, n_sup AS (
     CASE WHEN k % 50 <> 0 THEN d END AS day
   FROM twice
 ), n_po AS (
-  SELECT CAST(k AS VARCHAR) AS po_number, day AS po_date, sid AS supplier_id, s.supplier_name, mid AS material_id,
-    m.material_name,
+  SELECT CAST(k AS VARCHAR) AS po_number, day AS po_date, sid AS supplier_id,
+    CASE WHEN k % 19 = 0 THEN 'Own vendor' ELSE s.supplier_name END AS supplier_name, mid AS material_id,
+    CASE WHEN k % 23 = 0 THEN 'Own item' ELSE m.material_name END AS material_name,
     coalesce(CASE WHEN k % 3 = 2 THEN p_type || ' custom' END, m.category, s.category, 'Unclassified') AS category,
     q AS quantity, CAST(price AS DECIMAL(18,2)) AS unit_price_ngn,
     CASE WHEN line % 2 = 0 THEN amount ELSE CAST(q * price AS DECIMAL(18,2)) END AS total_amount_ngn,
-    CAST(NULL AS DECIMAL(18,2)) AS total_amount_usd, CASE WHEN k % 5 = 0 THEN 'NGN' ELSE 'USD' END AS currency,
-    day + 30 AS expected_delivery_date, CASE WHEN l_linestatus = 'F' THEN shipped END AS actual_delivery_date,
-    'Delivered' AS delivery_status, CASE WHEN k % 13 = 0 THEN 'Paid' ELSE o_orderstatus END AS payment_status,
+    CASE WHEN k % 17 = 0 THEN amount END AS total_amount_usd, CASE WHEN k % 5 = 0 THEN 'NGN' ELSE 'USD' END AS currency,
+    CASE WHEN k % 31 = 0 THEN DATE '1999-12-31' ELSE day + 30 END AS expected_delivery_date, CASE WHEN l_linestatus = 'F' THEN shipped END AS actual_delivery_date,
+    CASE WHEN k % 43 = 0 THEN 'Partial' ELSE 'Delivered' END AS delivery_status, CASE WHEN k % 13 = 0 THEN 'Paid' ELSE o_orderstatus END AS payment_status,
     'Unassigned' AS buyer, 'Unknown' AS plant_location
   FROM keyed LEFT JOIN n_sup s ON sid = s.supplier_id LEFT JOIN n_mat m ON mid = m.material_id
-), n_bridge AS (SELECT DISTINCT po_number, supplier_id FROM n_po), raw_inc AS (
+), n_range AS (SELECT po_number, min(supplier_id) AS supplier_id, max(supplier_id) AS last FROM n_po GROUP BY po_number
+), n_bridge AS (SELECT * FROM n_range WHERE supplier_id = last), raw_inc AS (
   SELECT incident_id, CASE WHEN po_number % 29 = 0 THEN 'none' ELSE CAST(po_number AS VARCHAR) END AS po_number,
     CASE WHEN po_number % 4 <> 0 THEN CAST(supplier_id AS VARCHAR) END AS supplier_id, severity,
     CASE WHEN po_number % 6 = 0 THEN 0 ELSE cost_impact_ngn END AS cost_impact_ngn
@@ -433,16 +445,19 @@ def plain(table: str) -> str:
 
 def per_dataset(column: str, measure) -> str:
     rows = [
-        f"SELECT '{DATASET_OF[table]}' AS dataset, CAST({measure(table)} AS BIGINT) AS {column}" for table in COLUMNS
+        f"SELECT '{DATASET_OF[table]}' AS dataset, CAST({measure(UNMERGED[table])} AS BIGINT) AS {column}" for table in COLUMNS
     ]
     return "\nUNION ALL ".join(rows)
 
 
 def nulls(table: str) -> str:
-    cells = " + ".join(f"count(*) - count({c})" for c in COLUMNS[table].split())
+    cells = " + ".join(f"count(*) - count({c})" for c in COLUMNS[table.removesuffix("_all")].split())
     return f"(SELECT {cells} FROM {table})"
 
 
+# The tables before rows are merged and filled.
+UNMERGED = {"n_sup": "n_sup_all", "n_mat": "n_mat_all", "n_po": "n_po", "n_inc": "n_inc"}
+
 MONTH = "strftime(po_date, '%Y-%m')"
 YEAR, MM = "strftime(po_date, '%Y')", "strftime(po_date, '%m')"
 TOTAL = "(SELECT sum(total_amount_ngn) FROM po)"
@@ -458,6 +473,48 @@ SELECT count(*) AS suppliers, {up(quality, 2)} AS quality_cost_ngn, {up(f"({late
 FROM {source}"""
 
 
+def bootstrap(replicates: int) -> str:
+    """Savings of resampled lines; the weight of a line in a replicate follows from its digest."""
+    line = ["po_number", "supplier_id", "material_id", "quantity", "unit_price_ngn", "total_amount_ngn"]
+    keys = ["material_name", "category"]
+    text = ", ".join(f"coalesce({c}::VARCHAR, '')" for c in (*keys, *line, "copy"))
+
+    def number(k: int, factor: int) -> str:
+        powers = ", ".join(f"{pow(factor, r + 1, 2**31 - 1)}::BIGINT" for r in range(replicates))
+        start = f"(('0x' || substr(digest, {1 + 8 * k}, 8))::BIGINT % 2147483646 + 1)"
+        return f"({start} * ([{powers}])[replicate + 1] % 2147483647 // 32)"
+
+    uniform = f"({number(0, 16807)} * 67108864 + {number(1, 48271)})::DOUBLE / 4503599627370496.0::DOUBLE"
+    term, total, counts = math.exp(-1), 0.0, []
+    while total + term > total:
+        total += term
+        counts.append(total)
+        term /= len(counts)
+    weight = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in counts if p < 1)
+    quantiles = {name: up(f"quantile_cont(savings, {p})", 2) for name, p in (("p05", 0.05), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95))}
+    spread = up("(quantile_cont(savings, 0.95) - quantile_cont(savings, 0.05))", 2)
+    return f""", several AS (
+  SELECT material_name, category FROM po GROUP BY ALL HAVING count(DISTINCT supplier_id) > 1
+), copied AS (
+  SELECT {", ".join((*keys, *line))}, count(*) AS n FROM po GROUP BY ALL
+), single AS (
+  SELECT *, unnest(range(1, n + 1)) AS copy FROM copied JOIN several USING (material_name, category)
+), hashed AS (
+  SELECT material_name, category, unit_price_ngn AS price, total_amount_ngn AS amount, md5(concat_ws('|', {text})) AS digest FROM single
+), drawn AS (
+  SELECT *, {uniform} AS u FROM (SELECT *, unnest(range(0, {replicates})) AS replicate FROM hashed)
+), weighed AS (SELECT *, {weight} AS w FROM drawn), per_material AS (
+  SELECT replicate, {dbl("sum(amount * w)")} AS spend, {dbl("sum(price * w)")} / nullif({dbl("sum(w)")}, 0) AS av, {dbl("min(price)")} AS lo
+  FROM weighed WHERE w > 0 GROUP BY replicate, material_name, category
+), per_replicate AS (
+  SELECT replicate, {dbl(f"sum(CAST({up('greatest(coalesce(spend * (av - lo) / nullif(av, 0), 0), 0)', 2)} AS DECIMAL(28,2)))")} AS savings
+  FROM per_material GROUP BY replicate
+)
+SELECT count(*) AS replicates, {up(f"({dbl('sum(savings::DECIMAL(28,2))')} / count(savings))", 2)} AS mean, {up("stddev_pop(savings)", 2)} AS stddev,
+  {", ".join(f"{q} AS {name}" for name, q in quantiles.items())}, {spread} AS interval_width
+FROM per_replicate"""
+
+
 def percentile(name: str, p: float) -> str:
     return f"{up(f'quantile_cont({dbl('unit_price_ngn')}, {p})', 4)} AS {name}"
 
@@ -606,6 +663,12 @@ SELECT material_name, category, count(unit_price_ngn) AS line_count, {up(avg("un
   {up(f"stddev_pop({dbl('unit_price_ngn')})", 4)} AS stddev, {percentile("p05", 0.05)}, {percentile("p25", 0.25)},
   {percentile("median", 0.5)}, {percentile("p75", 0.75)}, {percentile("p95", 0.95)}
 FROM po GROUP BY material_name, category""",
+    # The executed quantile of the approximate form is exact for groups below its accuracy.
+    "price_distribution_approx": f"""
+SELECT material_name, category, count(unit_price_ngn) AS line_count,
+  {", ".join(f"quantile_disc({dbl('unit_price_ngn')}, {p}) AS {name}" for name, p in (("p05", 0.05), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95)))}
+FROM po GROUP BY material_name, category""",
+    "savings_bootstrap": bootstrap(100),
     "savings_scenarios": COMPONENTS + scenario_select("scenario", "scenario"),
     "savings_scenarios_by_category": COMPONENTS
     + scenario_select("scenario, category", "GROUPING SETS ((scenario), (scenario, category))"),
@@ -677,9 +740,34 @@ SELECT 'unmapped_material_ids', count(*)
 FROM n_po WHERE NOT EXISTS (SELECT 1 FROM n_mat m WHERE m.material_id = n_po.material_id)
 UNION ALL
 SELECT 'quality_incidents_without_po', count(*)
-FROM n_inc WHERE NOT EXISTS (SELECT 1 FROM n_po p WHERE p.po_number = n_inc.po_number)""",
+FROM n_inc WHERE NOT EXISTS (SELECT 1 FROM n_po p WHERE p.po_number = n_inc.po_number)
+UNION ALL
+SELECT 'incidents_with_ambiguous_supplier', count(*)
+FROM raw_inc i JOIN n_range r ON i.po_number = r.po_number WHERE i.supplier_id IS NULL AND r.supplier_id < r.last""",
+    "dq_duplicate_keys": f"""{CLEAN}
+SELECT 'suppliers' AS dataset, count(*) - count(DISTINCT supplier_id) AS duplicate_keys FROM n_sup_all
+UNION ALL SELECT 'materials', count(*) - count(DISTINCT material_id) FROM n_mat_all
+UNION ALL SELECT 'quality_incidents', count(*) - count(DISTINCT incident_id) FROM n_inc""",
+    "landing_variants": f"""{CLEAN}
+{plain("n_sup").replace("currency, quality_rating", "CASE WHEN CAST(supplier_id AS BIGINT) % 3 = 1 THEN 'NGN' ELSE currency END AS currency, quality_rating")}""",
+}
+
+# The complete forms take all materials with a saving, the named variants the largest 20.
+TOP_20 = ("insights_summary", "savings_scenarios", "savings_scenarios_by_category", "filtered_kpis")
+STATEMENTS |= {f"{name}_top20": STATEMENTS[name] for name in TOP_20}
+STATEMENTS |= {
+    name: STATEMENTS[name].replace(TOP_PRICES, TOP_PRICES.replace(" LIMIT 20", "")) for name in (*TOP_20, "insights_display")
+}
+
+# Marts of the filtered lines.
+STATEMENTS |= {
+    "filtered_category_spend": STATEMENTS["category_spend"],
+    "filtered_supplier_performance": STATEMENTS["supplier_performance"],
+    "filtered_price_variance": STATEMENTS["price_variance_savings"],
 }
+FILTERED_BASE = BASE.replace("), po AS (", "), all_po AS (", 1).replace("), inc AS (", f"), po AS (SELECT * FROM all_po WHERE {FILTER}), inc AS (", 1)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: BASE + body for name, body in STATEMENTS.items()}
+    filtered = ("filtered_category_spend", "filtered_supplier_performance", "filtered_price_variance")
+    return {name: (FILTERED_BASE if name in filtered else BASE) + body for name, body in STATEMENTS.items()}

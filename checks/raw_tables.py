@@ -40,12 +40,15 @@ def _suppliers(star: StarTables) -> DataFrame:
         _case(key, 4, "HIGH", "low", " ").alias("Risk"),
     )
     renamed = base.where(key % 10 == 0).withColumn("Vendor Name", F.concat("Vendor Name", F.lit(" (old)")))
-    return base.unionByName(renamed).drop("supplier_id")
+    nameless = base.where(key % 15 == 0).withColumn("Vendor Name", F.lit(None).cast("string"))
+    copies = base.where(key % 7 == 0)
+    return base.unionByName(renamed).unionByName(nameless).unionByName(copies).drop("supplier_id")
 
 
 def _materials(star: StarTables) -> DataFrame:
     key = F.col("material_id")
-    return star.materials().select(
+    base = star.materials().select(
+        key,
         _text(key).alias("Item Code"),
         F.col("material_name").alias("item_name"),
         F.col("category").alias("material category"),
@@ -55,6 +58,8 @@ def _materials(star: StarTables) -> DataFrame:
         .otherwise(_text(F.col("lead_time_days")))
         .alias("Lead-Days"),
     )
+    nameless = base.where(key % 12 == 0).withColumn("item_name", F.lit(None).cast("string"))
+    return base.unionByName(nameless).drop("material_id")
 
 
 def _orders(star: StarTables) -> DataFrame:
@@ -78,6 +83,11 @@ def _orders(star: StarTables) -> DataFrame:
         F.when(number % 5 != 0, "usd").alias("po_currency"),
         F.when(F.col("l_linestatus") == "F", _iso(F.col("l_shipdate"))).alias("Receipt Date"),
         F.when(number % 13 != 0, F.col("o_orderstatus")).alias("invoice_status"),
+        F.when(number % 17 == 0, _text(F.col("l_extendedprice"))).when(number % 17 == 1, "n/a").alias("Amount USD"),
+        F.when(number % 19 == 0, "Own vendor").alias("vendor_name"),
+        F.when(number % 23 == 0, "Own item").alias("item_name"),
+        F.when(number % 31 == 0, "1999-12-31").when(number % 31 == 1, "soon").alias("Promised Delivery Date"),
+        F.when(number % 43 == 0, "Partial").alias("Receipt Status"),
     )
     return base.unionByName(base.where(number % 101 == 0)).drop("l_orderkey")
 

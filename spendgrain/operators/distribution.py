@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,51 +103,88 @@ def approximate_price_distribution(t: Tables, accuracy: int = 10_000) -> DataFra
 
 
 def _poisson(uniform: Column) -> Column:
-    """Poisson(1) count of a uniform number, by inversion."""
-    weight = F.lit(0)
-    # Cumulative probabilities of 0, 1, ... 7.
-    term, total = 2.718281828459045**-1, 0.0
-    for count in range(8):
+    """Poisson(1) count of a uniform number, by inversion, up to the resolution of doubles."""
+    return sum(((uniform >= below).cast("int") for below in POISSON), F.lit(0))
+
+
+def _cumulative_poisson() -> tuple[float, ...]:
+    """Probabilities of at most 0, 1, ... until the rest is too small for a double to hold."""
+    term, total, found = math.exp(-1), 0.0, []
+    while total + term > total:
         total += term
-        weight = F.when(uniform >= total, F.lit(count + 1)).otherwise(weight)
-        term /= count + 1
-    return weight
+        found.append(total)
+        term /= len(found)
+    return tuple(p for p in found if p < 1)
+
+
+POISSON = _cumulative_poisson()
+
+# A prime and two factors of known generators that stay below it.
+PRIME, FACTORS = 2**31 - 1, (16807, 48271)
+LINE = ("po_number", "supplier_id", "material_id", "quantity", "unit_price_ngn", "total_amount_ngn")
+
+
+def _starts(digest: Column) -> list[Column]:
+    """Two numbers below the prime, cut from a digest."""
+    cut = [F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("bigint") for k in range(len(FACTORS))]
+    return [(c % (PRIME - 1) + 1).alias(f"start{k}") for k, c in enumerate(cut)]
+
+
+def _replicates(number: int) -> Column:
+    """For each replicate its number and its powers of the factors, as one literal."""
+    rows = []
+    for r in range(number):
+        powers = ", ".join(f"'power{k}', {pow(f, r + 1, PRIME)}L" for k, f in enumerate(FACTORS))
+        rows.append(f"named_struct('replicate', {r}, {powers})")
+    return F.expr(f"inline(array({', '.join(rows)}))")
+
+
+def _uniform() -> Column:
+    """52 random bits of a line in a replicate, as a number in [0, 1).
+
+    The line's two numbers are multiplied by the replicate's powers, so a line
+    is hashed once for all replicates.
+    """
+    parts = [F.shiftright(F.col(f"start{k}") * F.col(f"power{k}") % PRIME, 5) for k in range(len(FACTORS))]
+    return (parts[0] * 2**26 + parts[1]) / F.lit(2.0**52)
 
 
 def resampled_lines(t: Tables, replicates: int, rows_per_part: int) -> DataFrame:
     """Lines of materials with several suppliers, repeated per replicate with their weight.
 
-    The weight depends only on the line and the replicate. Lines are moved
-    together by material before they are repeated; a material with more than
-    ``rows_per_part`` lines is moved in several parts.
+    The weight depends only on the line, its copy number among equal lines, and
+    the replicate. Lines are moved together by material before they are
+    repeated; a material with more than ``rows_per_part`` lines is moved in
+    several parts, and equal lines are counted before and spread by their copy.
     """
     keys = ["material_name", "category"]
-    line = ["po_number", "supplier_id", "material_id", "quantity", "unit_price_ngn", "total_amount_ngn"]
-    lines = t.orders(*keys, *line)
+    lines = t.orders(*keys, *LINE).groupBy(*keys, *LINE).agg(F.count("*").alias("copies"))
+    suppliers = lines.groupBy(*keys, "supplier_id").agg(F.sum("copies").alias("lines"))
     several = (
-        lines.groupBy(*keys)
-        .agg(F.countDistinct("supplier_id").alias("suppliers"), F.count("*").alias("lines"))
+        suppliers.groupBy(*keys)
+        .agg(F.count("supplier_id").alias("suppliers"), F.sum("lines").alias("lines"))
         .where("suppliers > 1")
     )
-    marked = lines.join(several, keys).select(
+    single = lines.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*keys, *LINE, "copy")))
+    marked = single.join(several, keys).select(
         *keys,
-        F.xxhash64(*line).alias("line_hash"),
-        as_double(F.col("unit_price_ngn")).alias("price"),
-        as_double(F.col("total_amount_ngn")).alias("amount"),
+        *_starts(F.md5(text)),
+        F.col("unit_price_ngn").alias("price"),
+        F.col("total_amount_ngn").alias("amount"),
         F.ceil(F.col("lines") / rows_per_part).alias("parts"),
     )
-    part = F.pmod(F.col("line_hash"), F.col("parts"))
     repeated = (
-        marked.withColumn("part", part)
+        marked.withColumn("part", F.pmod("start0", F.col("parts")))
         .repartition(*keys, "part")
-        .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+        .select("*", _replicates(replicates))
     )
-    uniform = F.pmod(F.xxhash64("line_hash", "replicate"), F.lit(2**32)) / float(2**32)
-    return repeated.withColumn("weight", _poisson(uniform)).where("weight > 0")
+    drawn = repeated.withColumn("uniform", _uniform())
+    return drawn.where(F.col("uniform") >= POISSON[0]).withColumn("weight", _poisson(F.col("uniform")))
 
 
 def savings_replicates(t: Tables, replicates: int = 100, *, rows_per_part: int = 200_000) -> DataFrame:
-    """Price-standardization savings of each bootstrap replicate."""
+    """Price-standardization savings of each bootstrap replicate. All sums are exact."""
     keys = ["material_name", "category"]
     w = F.col("weight")
     lines = resampled_lines(t, replicates, rows_per_part)
@@ -157,25 +196,25 @@ def savings_replicates(t: Tables, replicates: int = 100, *, rows_per_part: int =
         *(F.sum(name).alias(name) for name in sums), F.min("lowest").alias("lowest")
     )
     average = ratio(F.col("price"), F.col("weight"))
-    saved = F.col("amount") * (average - F.col("lowest")) / F.nullif(average, F.lit(0.0))
+    saved = as_double(F.col("amount")) * (average - as_double(F.col("lowest"))) / F.nullif(average, F.lit(0.0))
     return (
-        per_material.withColumn("saved", F.greatest(saved, F.lit(0.0)))
+        per_material.withColumn("saved", half_up(F.greatest(saved, F.lit(0.0)), 2).cast("decimal(28,2)"))
         .groupBy("replicate")
-        .agg(F.sum("saved").alias("savings"))
+        .agg(as_double(F.sum("saved")).alias("savings"))
     )
 
 
 def savings_bootstrap(t: Tables, replicates: int = 100, *, rows_per_part: int = 200_000) -> DataFrame:
     """Bootstrap interval of the price-standardization savings over all such materials.
 
-    Each line gets an independent Poisson(1) weight per replicate. The
-    percentiles run over the replicates, whose number is a parameter.
+    Each line, equal ones included, gets a Poisson(1) weight of its own per
+    replicate. The percentiles run over the replicates, whose number is a parameter.
     """
     per_replicate = savings_replicates(t, replicates, rows_per_part=rows_per_part)
     quantile = {name: F.percentile("savings", F.lit(p)) for name, p in PERCENTILES.items()}
     return per_replicate.agg(
         F.count("*").alias("replicates"),
-        half_up(F.avg("savings"), 2).alias("mean"),
+        half_up(ratio(F.sum(F.col("savings").cast("decimal(28,2)")), F.count("savings")), 2).alias("mean"),
         half_up(F.stddev_pop("savings"), 2).alias("stddev"),
         *(half_up(q, 2).alias(name) for name, q in quantile.items()),
         half_up(quantile["p95"] - quantile["p05"], 2).alias("interval_width"),

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendgrain.sources.normalize import order_suppliers
 from spendgrain.tables import Tables
 
 
@@ -49,10 +50,25 @@ def duplicate_rows(t: Tables) -> DataFrame:
     return _per_dataset(t, "duplicate_rows", count)
 
 
+# The key of each table whose rows have one.
+KEYS = {"suppliers": "supplier_id", "materials": "material_id", "quality_incidents": "incident_id"}
+
+
+def duplicate_keys(t: Tables) -> DataFrame:
+    """Rows beyond the first of each known key."""
+    rows = []
+    for dataset, key in KEYS.items():
+        copies = t.frames()[dataset].where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("copies"))
+        extra = F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("bigint")
+        rows.append(copies.agg(F.lit(dataset).alias("dataset"), extra.alias("duplicate_keys")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def unmapped_keys(t: Tables) -> DataFrame:
-    """Lines whose supplier or material is unknown, and incidents without an order.
+    """Lines whose supplier or material is unknown, and incidents without an order or with several suppliers to choose from.
 
-    Lines are counted per key before the anti join.
+    Lines are counted per key before the anti join. Of the orders only those
+    that incidents name are looked at.
     """
 
     def unknown(rows: DataFrame, known: DataFrame, key: str, label: str) -> DataFrame:
@@ -61,18 +77,25 @@ def unmapped_keys(t: Tables) -> DataFrame:
             F.lit(label).alias("check"), F.coalesce(F.sum("rows"), F.lit(0)).alias("unmapped")
         )
 
-    orders = t.orders("po_number").distinct()
+    named = t.incidents("po_number").distinct()
+    orders = t.orders("po_number").join(named, "po_number", "left_semi").distinct()
+    several = order_suppliers(t.incidents("po_number", "supplier_id"), t.orders("po_number", "supplier_id"))
+    open_ = t.incidents("po_number", "supplier_id").where("supplier_id IS NULL")
+    ambiguous = open_.join(several.where("_supplier < _last"), F.col("po_number") == F.col("_po"), "left_semi")
     return (
         unknown(t.orders("supplier_id"), t.suppliers("supplier_id"), "supplier_id", "unmapped_supplier_ids")
         .unionByName(
             unknown(t.orders("material_id"), t.materials("material_id"), "material_id", "unmapped_material_ids")
         )
         .unionByName(unknown(t.incidents("po_number"), orders, "po_number", "quality_incidents_without_po"))
+        .unionByName(
+            ambiguous.agg(F.lit("incidents_with_ambiguous_supplier").alias("check"), F.count("*").alias("unmapped"))
+        )
     )
 
 
 def quality_report(t: Tables) -> DataFrame:
-    """The whole report in long form: check, dataset and value."""
+    """The whole report in long form: check, dataset and value. Give it the cleaned tables, before rows are merged."""
 
     def long_form(df: DataFrame, check: str) -> DataFrame:
         return df.select(F.lit(check).alias("check"), "dataset", F.col(check).alias("value"))
@@ -81,6 +104,7 @@ def quality_report(t: Tables) -> DataFrame:
         long_form(row_counts(t).withColumnRenamed("row_count", "row_counts"), "row_counts")
         .unionByName(long_form(null_cells(t), "null_cells"))
         .unionByName(long_form(duplicate_rows(t), "duplicate_rows"))
+        .unionByName(long_form(duplicate_keys(t), "duplicate_keys"))
         .unionByName(
             unmapped_keys(t).select("check", F.lit(None).cast("string").alias("dataset"), F.col("unmapped").alias("value"))
         )

@@ -123,7 +123,7 @@ def action_items(t: Tables, *, per_kind: int = 5) -> DataFrame:
     )
 
 
-def savings_components(t: Tables, *, price_limit: int | None = 20, max_suppliers: int = 8) -> DataFrame:
+def savings_components(t: Tables, *, price_limit: int | None = None, max_suppliers: int = 8) -> DataFrame:
     """The three savings of each category, one row per category that has any.
 
     Price and consolidation follow the category of the lines, performance
@@ -164,7 +164,7 @@ def savings_scenarios(
     scenarios: Mapping[str, ScenarioFactors] = SCENARIOS,
     *,
     by_category: bool = False,
-    price_limit: int | None = 20,
+    price_limit: int | None = None,
 ) -> DataFrame:
     """Savings components under each scenario, in total or rolled up from the categories.
 

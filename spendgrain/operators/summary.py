@@ -18,7 +18,7 @@ from spendgrain.operators.sourcing import constrained_savings, optimization_savi
 from spendgrain.operators.spend import price_variance
 from spendgrain.params import PRESETS, AllocationPolicy, SourcingRules
 from spendgrain.plans import marts
-from spendgrain.tables import Tables
+from spendgrain.tables import MONTH_COLUMN, Tables
 
 # Metric names and units of the summary.
 SUMMARY_ROWS = (
@@ -57,14 +57,18 @@ def insights_summary(
     rules: SourcingRules = PRESETS["standard"],
     policy: AllocationPolicy = AllocationPolicy(),
     replicates: int = 0,
+    price_limit: int | None = None,
 ) -> DataFrame:
     """All headline metrics as metric, value, unit. With ``replicates`` also a bootstrap interval.
 
+    Price savings are those of all materials, or of so many with the largest
+    ones.
+
     Each measure is a one-row aggregate; their union is a few rows, from
     which the derived totals and percentages follow.
     """
     total = marts.total_spend(t).select(F.coalesce(money(F.col("total"), 2), F.lit(0.0)).alias("total"))
-    price = price_variance(t, min_spread_pct=None, limit=20).agg(exact_sum("potential_savings_ngn").alias("v"))
+    price = price_variance(t, min_spread_pct=None, limit=price_limit).agg(exact_sum("potential_savings_ngn").alias("v"))
     merged = consolidation(t).agg(exact_sum("consolidation_savings_ngn").alias("v"))
     parts = [
         _measures(total, total_spend="total"),
@@ -123,12 +127,16 @@ def filtered_view(
     """Tables whose order lines lie in the categories and the inclusive date range.
 
     No category means all known ones. The range applies only with both ends.
+    Lines stored by month are read from the months of the range only.
     """
     condition = F.col("category").isin(*categories) if categories else F.col("category").isNotNull()
     uses = ["category"]
     if start is not None and end is not None:
         condition = condition & F.col("po_date").between(F.lit(start), F.lit(end))
         uses.append("po_date")
+        if MONTH_COLUMN in t.order_columns():
+            condition = condition & F.col(MONTH_COLUMN).between(f"{start:%Y-%m}", f"{end:%Y-%m}")
+            uses.append(MONTH_COLUMN)
     return t.where_orders(condition, *uses)
 
 
@@ -137,6 +145,8 @@ def filtered_kpis(
     categories: Sequence[str] = (),
     start: dt.date | None = None,
     end: dt.date | None = None,
+    *,
+    price_limit: int | None = None,
 ) -> DataFrame:
     """Spend, maverick spend, price savings and supplier count of the filtered lines."""
     view = filtered_view(t, categories, start, end)
@@ -144,7 +154,7 @@ def filtered_kpis(
         F.coalesce(F.sum("total_amount_ngn"), F.lit(0)).alias("spend"),
         F.countDistinct("supplier_id").alias("suppliers"),
     )
-    savings = price_variance(view, min_spread_pct=None, limit=20).agg(exact_sum("potential_savings_ngn").alias("v"))
+    savings = price_variance(view, min_spread_pct=None, limit=price_limit).agg(exact_sum("potential_savings_ngn").alias("v"))
     return totals.select(
         money(F.col("spend"), 2).alias("filtered_total_spend"),
         maverick_total(view).select("maverick_spend_ngn").scalar().alias("filtered_maverick_spend"),

@@ -9,25 +9,29 @@ from pyspark.sql import functions as F
 
 from spendgrain.functions.dates import month_label
 from spendgrain.plans import marts
-from spendgrain.tables import Tables
+from spendgrain.tables import MONTH_COLUMN, Tables
 
 NO_MONTH = "none"
 
 
-def write_tables(t: Tables, folder: str) -> None:
-    """Replace the canonical tables under a folder, as Parquet.
+def _by_month(orders: DataFrame) -> DataFrame:
+    """Order lines with their month, brought together by it.
 
-    Orders are partitioned by month. The rebalance hint brings a month's
-    lines together, splits months that are too large for one file and
+    The rebalance hint splits months that are too large for one file and
     merges small ones, all from sizes measured at run time.
     """
+    monthly = orders.withColumn(MONTH_COLUMN, F.coalesce(month_label(F.col("po_date")), F.lit(NO_MONTH)))
+    return monthly.hint("rebalance", MONTH_COLUMN)
+
+
+def write_tables(t: Tables, folder: str) -> None:
+    """Replace the canonical tables under a folder, as Parquet, with orders partitioned by month."""
     for name, frame in t.frames().items():
         path = f"{folder}/{name}.parquet"
-        if name != "purchase_orders":
+        if name == "purchase_orders":
+            _by_month(frame).write.mode("overwrite").partitionBy(MONTH_COLUMN).parquet(path)
+        else:
             frame.write.mode("overwrite").parquet(path)
-            continue
-        monthly = frame.withColumn("po_month", F.coalesce(month_label(F.col("po_date")), F.lit(NO_MONTH)))
-        monthly.hint("rebalance", "po_month").write.mode("overwrite").partitionBy("po_month").parquet(path)
 
 
 def read_tables(spark: SparkSession, folder: str) -> Tables:
@@ -37,9 +41,13 @@ def read_tables(spark: SparkSession, folder: str) -> Tables:
 
 
 def save_tables(t: Tables, database: str) -> None:
-    """Replace the canonical tables of a catalog database."""
+    """Replace the canonical tables of a catalog database, with orders partitioned by month."""
     for name, frame in t.frames().items():
-        frame.write.mode("overwrite").saveAsTable(f"{database}.{name}")
+        table = f"{database}.{name}"
+        if name == "purchase_orders":
+            _by_month(frame).write.mode("overwrite").partitionBy(MONTH_COLUMN).saveAsTable(table)
+        else:
+            frame.write.mode("overwrite").saveAsTable(table)
 
 
 def write_marts(frames: Mapping[str, DataFrame], folder: str, fmt: str = "csv") -> None:

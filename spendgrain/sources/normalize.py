@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendgrain.functions.dates import parse_date
@@ -105,11 +105,13 @@ def clean_table(
 def unique_by(df: DataFrame, key: str) -> DataFrame:
     """One whole row per key, the same one on every run.
 
-    The smallest row is kept. ``min`` combines before the shuffle, so a key
-    with very many copies stays cheap.
+    The fullest row is kept, and of equally full ones the smallest. ``min``
+    combines before the shuffle, so a key with very many copies stays cheap.
     """
     rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("row")).select(key, "row.*")
+    empty = sum((F.col(f"`{c}`").isNull().cast("int") for c in rest), F.lit(0))
+    best = F.min(F.struct(empty.alias("_empty"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row")))
+    return df.groupBy(key).agg(best.alias("_best")).select(key, "_best._row.*")
 
 
 def enrich_orders(orders: DataFrame, suppliers: DataFrame, materials: DataFrame) -> DataFrame:
@@ -134,68 +136,103 @@ def enrich_orders(orders: DataFrame, suppliers: DataFrame, materials: DataFrame)
         ),
         "quantity": quantity,
         "unit_price_ngn": price,
-        "total_amount_ngn": F.coalesce("total_amount_ngn", (quantity * price).cast(MONEY)),
+        "total_amount_ngn": F.coalesce("total_amount_ngn", (quantity * price).try_cast(MONEY)),
         "expected_delivery_date": F.coalesce("expected_delivery_date", F.date_add("po_date", 30)),
     }
     joined = orders.join(vendor, "supplier_id", "left").join(item, "material_id", "left")
     return joined.select(*(filled_columns.get(c, F.col(c)).alias(c) for c in orders.columns))
 
 
+NUMBER_RANGES = 4096
+
+
+def _numbered(incidents: DataFrame) -> DataFrame:
+    """Incidents numbered from 1 by their contents, whatever the input splits.
+
+    Equal rows are counted first and take numbers in a row. Ranges of hash
+    values are counted next, so no task orders more than a range.
+    """
+    columns = [c for c in incidents.columns if c != "incident_id"]
+    copies = incidents.groupBy(*(F.col(f"`{c}`") for c in columns)).agg(F.count("*").alias("_copies"))
+    hashed = copies.withColumn("_hash", F.xxhash64(*(F.col(f"`{c}`") for c in columns)))
+    hashed = hashed.withColumn("_range", F.pmod("_hash", F.lit(NUMBER_RANGES)))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = hashed.groupBy("_range").agg(F.sum("_copies").alias("_held"))
+    ranges = ranges.select("_range", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_outer"))
+    order = Window.partitionBy("_range").orderBy("_hash", *(F.col(f"`{c}`") for c in columns))
+    inside = F.coalesce(F.sum("_copies").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = hashed.withColumn("_inner", inside).join(ranges, "_range")
+    first = F.col("_outer") + F.col("_inner")
+    rows = rows.withColumn("_number", F.explode(F.sequence(first + 1, first + F.col("_copies"))))
+    number = F.format_string("QI%05d", "_number")
+    return rows.select(*(number.alias(c) if c == "incident_id" else F.col(f"`{c}`") for c in incidents.columns))
+
+
 def complete_incidents(incidents: DataFrame, orders: DataFrame) -> DataFrame:
     """Number incidents when none has an id, and fill unknown suppliers through the order.
 
-    The numbers follow the row order. They are consecutive within a
-    partition of the input and leave gaps between partitions; counting rows
-    across partitions would need a second pass over the table.
+    A supplier is filled only where the order has exactly one; otherwise it
+    stays unknown, so an incident remains one row. The quality report counts
+    such incidents.
     """
     any_id = incidents.select((F.count("incident_id") > 0).alias("any_id")).scalar()
-    number = F.format_string("QI%05d", F.monotonically_increasing_id() + 1)
-    numbered = incidents.withColumn("incident_id", F.when(any_id, F.col("incident_id")).otherwise(number))
-
-    orphans = incidents.where("supplier_id IS NULL AND po_number IS NOT NULL").select("po_number").distinct()
-    bridge = (
-        orders.select("po_number", "supplier_id")
-        .join(orphans, "po_number", "left_semi")
-        .distinct()
-        .select(F.col("po_number").alias("_po"), F.col("supplier_id").alias("_supplier"))
-    )
+    numbered = incidents.where(any_id).unionByName(_numbered(incidents.where(~any_id)))
+    bridge = order_suppliers(incidents, orders).where("_supplier = _last")
     open_row = F.col("supplier_id").isNull() & (F.col("po_number") == F.col("_po"))
     return numbered.join(bridge, open_row, "left").select(
         *(
-            F.coalesce("supplier_id", "_supplier").alias(c) if c == "supplier_id" else F.col(c)
+            F.coalesce("supplier_id", "_supplier").alias(c) if c == "supplier_id" else F.col(f"`{c}`")
             for c in incidents.columns
         )
     )
 
 
-def normalize(
+def order_suppliers(incidents: DataFrame, orders: DataFrame) -> DataFrame:
+    """Smallest and largest supplier of each order that an incident without supplier names."""
+    orphans = incidents.where("supplier_id IS NULL AND po_number IS NOT NULL").select("po_number").distinct()
+    named = orders.select("po_number", "supplier_id").where("supplier_id IS NOT NULL")
+    return (
+        named.join(orphans, "po_number", "left_semi")
+        .groupBy(F.col("po_number").alias("_po"))
+        .agg(F.min("supplier_id").alias("_supplier"), F.max("supplier_id").alias("_last"))
+    )
+
+
+def cleaned_tables(
     raw: Mapping[str, DataFrame], *, keep_extra: bool = False, date_formats: tuple[str, ...] = ()
 ) -> tuple[Tables, dict[str, dict[str, str]]]:
-    """Map raw tables onto the canonical model.
+    """The tables as given, with canonical columns and types, before any row is merged or filled.
 
-    Suppliers, materials and orders are required, incidents are optional.
-    Returns the tables and, per dataset, the headers that were renamed.
+    The quality report reads these. Suppliers, materials and orders are
+    required, incidents are optional.
     """
     clean: dict[str, DataFrame] = {}
     renames: dict[str, dict[str, str]] = {}
-    for name in ("suppliers", "materials", "purchase_orders"):
-        if name not in raw:
+    for name in DATASETS:
+        if name in raw:
+            clean[name], renames[name] = clean_table(
+                raw[name], name, keep_extra=keep_extra, date_formats=date_formats
+            )
+        elif name == "quality_incidents":
+            clean[name], renames[name] = empty_incidents(clean["suppliers"].sparkSession), {}
+        else:
             raise SchemaError(f"Missing required dataset: {name}")
-        clean[name], renames[name] = clean_table(
-            raw[name], name, keep_extra=keep_extra, date_formats=date_formats
-        )
-    spark = clean["suppliers"].sparkSession
-    if "quality_incidents" in raw:
-        clean["quality_incidents"], renames["quality_incidents"] = clean_table(
-            raw["quality_incidents"], "quality_incidents", keep_extra=keep_extra
-        )
-    else:
-        clean["quality_incidents"], renames["quality_incidents"] = empty_incidents(spark), {}
+    return Tables(*(clean[n] for n in ("suppliers", "materials", "purchase_orders", "quality_incidents"))), renames
+
+
+def normalize(
+    raw: Mapping[str, DataFrame], *, keep_extra: bool = False, date_formats: tuple[str, ...] = ()
+) -> tuple[Tables, dict[str, dict[str, str]]]:
+    """Map raw tables onto the canonical model.
 
-    suppliers = unique_by(clean["suppliers"], "supplier_id")
-    materials = unique_by(clean["materials"], "material_id")
-    orders = enrich_orders(clean["purchase_orders"], suppliers, materials)
-    incidents = complete_incidents(clean["quality_incidents"], clean["purchase_orders"])
+    Suppliers, materials and orders are required, incidents are optional.
+    Returns the tables and, per dataset, the headers that were renamed.
+    """
+    clean, renames = cleaned_tables(raw, keep_extra=keep_extra, date_formats=date_formats)
+    suppliers = unique_by(clean.suppliers(), "supplier_id")
+    materials = unique_by(clean.materials(), "material_id")
+    orders = enrich_orders(clean.orders(), suppliers, materials)
+    incidents = complete_incidents(clean.incidents(), clean.orders())
     return Tables(suppliers, materials, orders, incidents), renames
 
 

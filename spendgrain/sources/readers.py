@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import csv
 import logging
-import re
 from collections import defaultdict
 from functools import reduce
 from pathlib import PurePosixPath
@@ -17,10 +17,11 @@ from spendgrain.model import DATASETS, FILENAME_HINTS, MISSING_WORDS, SchemaErro
 log = logging.getLogger(__name__)
 
 
-def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_csv(spark: SparkSession, paths: str | list[str], *, multi_line: bool = False) -> DataFrame:
     """CSV with a header, every column as text, missing-value words as NULL.
 
     All files of one call must share their header; Spark checks each of them.
+    ``multi_line`` allows line breaks in quoted cells; a file is then one task.
     """
     paths = [paths] if isinstance(paths, str) else paths
     header = spark.read.option("header", True).csv(paths[0]).schema
@@ -28,6 +29,7 @@ def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         spark.read.option("header", True)
         .option("enforceSchema", False)
         .option("escape", '"')
+        .option("multiLine", multi_line)
         .schema(header)
         .csv(paths)
     )
@@ -36,28 +38,45 @@ def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def read_path(spark: SparkSession, path: str) -> DataFrame:
+def read_path(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
     """One file or folder: Parquet by its suffix, CSV otherwise."""
-    return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_csv(spark, path)
+    if path.rstrip("/").endswith(".parquet"):
+        return spark.read.parquet(path)
+    return read_csv(spark, path, multi_line=multi_line)
 
 
-# Scheme and authority in front of a path.
-_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+def _folder(spark: SparkSession, folder: str):
+    """File system and path of a folder, whatever store it is in and whether it is given relative or not."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def list_entries(spark: SparkSession, folder: str) -> list[str]:
-    """Names of the files and folders directly below a folder.
-
-    Only paths are read, not contents, and only distinct names reach the driver.
-    """
-    base = re.sub(_AUTHORITY, "", folder.rstrip("/")).lstrip("/")
-    path = F.ltrim(F.regexp_replace("path", _AUTHORITY, ""), F.lit("/"))
-    child = F.split(F.substring(path, len(base) + 2, 4096), "/")[0]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return sorted(row.entry for row in files.select(child.alias("entry")).distinct().toLocalIterator())
-
-
-def load_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Names of the files and folders directly below a folder, but for hidden ones."""
+    files, path = _folder(spark, folder)
+    names = [status.getPath().getName() for status in files.listStatus(path)]
+    return sorted(n for n in names if not n.startswith((".", "_")))
+
+
+def csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Header of a CSV file or folder of files, from the first line of its first file; no job is run for plain files."""
+    files, at = _folder(spark, path)
+    while files.getFileStatus(at).isDirectory():
+        inner = list_entries(spark, at.toString())
+        if not inner:
+            return ()
+        at = spark._jvm.org.apache.hadoop.fs.Path(at, inner[0])
+    if not at.getName().endswith(".csv"):
+        return tuple(spark.read.option("header", True).csv(path).columns)
+    stream = spark._jvm.java.io.InputStreamReader(files.open(at), "UTF-8")
+    lines = spark._jvm.java.io.BufferedReader(stream)
+    try:
+        return tuple(next(csv.reader([lines.readLine() or ""]), ()))
+    finally:
+        lines.close()
+
+
+def load_folder(spark: SparkSession, folder: str, *, multi_line: bool = False) -> dict[str, DataFrame]:
     """Load whichever canonical datasets the folder holds, as ``<name>.csv`` or ``<name>.parquet``."""
     base = folder.rstrip("/")
     entries = set(list_entries(spark, base))
@@ -65,7 +84,7 @@ def load_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     for name in DATASETS:
         for suffix in (".parquet", ".csv"):
             if name + suffix in entries:
-                tables[name] = read_path(spark, f"{base}/{name}{suffix}")
+                tables[name] = read_path(spark, f"{base}/{name}{suffix}", multi_line=multi_line)
                 break
     if not tables:
         raise FileNotFoundError(f"No canonical datasets found in {folder}")
@@ -96,10 +115,20 @@ def route_dataset(filename: str) -> str | None:
     return None
 
 
-def load_landing(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def load_landing(
+    spark: SparkSession,
+    folder: str,
+    *,
+    keep_extra: bool = False,
+    date_formats: tuple[str, ...] = (),
+    multi_line: bool = False,
+) -> dict[str, DataFrame]:
     """Load a landing folder: route each direct child by its name and union those of one dataset.
 
-    Children with the same header are read by one scan. Unknown names are skipped.
+    Children with the same header are read by one scan. Unknown names are
+    skipped. Where a dataset comes in several parts, each is cleaned by itself
+    before the union: it gets its own defaults, must have the required columns,
+    and its dirty cells become NULL.
     """
     base = folder.rstrip("/")
     groups: dict[str, dict[tuple[str, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
@@ -112,18 +141,16 @@ def load_landing(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         elif entry.endswith(".parquet"):
             parquet[name].append(path)
         else:
-            header = tuple(spark.read.option("header", True).csv(path).columns)
-            groups[name][header].append(path)
+            groups[name][csv_header(spark, path)].append(path)
 
     tables = {}
     for name in DATASETS:
-        parts = [read_csv(spark, paths) for paths in groups[name].values()]
+        parts = [read_csv(spark, paths, multi_line=multi_line) for paths in groups[name].values()]
         parts += [spark.read.parquet(path) for path in parquet[name]]
         if len(parts) > 1:
-            # Different spellings of one header must meet before the union.
-            from spendgrain.sources.normalize import rename_columns
+            from spendgrain.sources.normalize import clean_table
 
-            parts = [rename_columns(part, name)[0] for part in parts]
+            parts = [clean_table(part, name, keep_extra=keep_extra, date_formats=date_formats)[0] for part in parts]
         if parts:
             tables[name] = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if not tables:

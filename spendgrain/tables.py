@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+# Orders stored by month have this column besides the canonical ones.
+MONTH_COLUMN = "po_month"
+
 
 class Tables:
     """Canonical DataFrames, read column by column.
@@ -41,6 +44,9 @@ class Tables:
     def incidents(self, *columns: str) -> DataFrame:
         return self._incidents.select(*columns) if columns else self._incidents
 
+    def order_columns(self) -> list[str]:
+        return self.orders().columns
+
     def frames(self) -> dict[str, DataFrame]:
         return {
             "suppliers": self.suppliers(),
@@ -77,6 +83,9 @@ class _FilteredTables(Tables):
     def incidents(self, *columns: str) -> DataFrame:
         return self._base.incidents(*columns)
 
+    def order_columns(self) -> list[str]:
+        return self._base.order_columns()
+
     def orders(self, *columns: str) -> DataFrame:
         if not columns:
             return self._base.orders().where(self._condition)

@@ -1,5 +1,7 @@
 import datetime as dt
+import os
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from builders import one, rows
@@ -128,7 +130,10 @@ def test_dirty_cells(spark):
     assert (by_supplier["S1"]["severity"], by_supplier["S1"]["cost_impact_ngn"]) == ("High", 0)
     assert (by_supplier["S2"]["severity"], by_supplier["S2"]["cost_impact_ngn"]) == ("Medium", Decimal("10.50"))
     unmapped = {r["check"]: r["unmapped"] for r in rows(quality.unmapped_keys(t))}
-    assert unmapped == {"unmapped_supplier_ids": 1, "unmapped_material_ids": 1, "quality_incidents_without_po": 1}
+    assert unmapped == {
+        "unmapped_supplier_ids": 1, "unmapped_material_ids": 1, "quality_incidents_without_po": 1,
+        "incidents_with_ambiguous_supplier": 0,
+    }
 
 
 def test_incident_numbers_start_at_one_and_yield_to_given_ids(spark, foreign):
@@ -142,17 +147,18 @@ def test_incident_numbers_start_at_one_and_yield_to_given_ids(spark, foreign):
 
 
 def test_known_suppliers_of_incidents_do_not_multiply(spark, foreign):
-    """Only incidents without a supplier take the suppliers of their order."""
+    """An incident without a supplier takes the only supplier of its order, or stays without one."""
     foreign["purchase_orders"] = text_frame(
         spark, "po_number,po_date,supplier_id,material_id,quantity",
         ("PO1", "2025-01-01", "SUP1", "MAT1", "1"), ("PO1", "2025-01-01", "SUP2", "MAT1", "1"),
+        ("PO2", "2025-01-01", "SUP2", "MAT1", "1"), ("PO2", "2025-01-01", "SUP2", "MAT1", "2"),
     )
     foreign["quality_incidents"] = text_frame(
-        spark, "incident_id,po_number,supplier_id", ("A", "PO1", "SUP1"), ("B", "PO1", None)
+        spark, "incident_id,po_number,supplier_id", ("A", "PO1", "SUP1"), ("B", "PO1", None), ("C", "PO2", None)
     )
     t, _ = normalize(foreign)
     pairs = sorted((r["incident_id"], r["supplier_id"]) for r in rows(t.incidents()))
-    assert pairs == [("A", "SUP1"), ("B", "SUP1"), ("B", "SUP2")]
+    assert pairs == [("A", "SUP1"), ("B", None), ("C", "SUP2")]
 
 
 def test_unique_by_keeps_one_whole_row(spark):
@@ -160,6 +166,29 @@ def test_unique_by_keeps_one_whole_row(spark):
     assert sorted(map(tuple, unique_by(df.repartition(3), "id").collect())) == [("j", "z", 0), ("k", "a", 9)]
 
 
+def test_unique_by_prefers_the_fullest_row(spark):
+    df = spark.createDataFrame([("1", None), ("1", "Acme"), ("1", "Zeta")], "id string, x string")
+    assert [tuple(r) for r in unique_by(df, "id").collect()] == [("1", "Acme")]
+
+
+def test_incident_numbers_do_not_depend_on_splits(spark, foreign):
+    cells = [("PO1", str(i % 7)) for i in range(40)]
+    found = []
+    for parts in (1, 5):
+        foreign["quality_incidents"] = text_frame(spark, "po_number,cost_impact_ngn", *cells).repartition(parts)
+        found.append(sorted((r["incident_id"], r["cost_impact_ngn"]) for r in rows(normalize(foreign)[0].incidents())))
+    assert found[0] == found[1]
+    assert [i for i, _ in found[0]] == [f"QI{i:05d}" for i in range(1, 41)]
+
+
+def test_amounts_beyond_the_money_type_become_null(spark, foreign):
+    foreign["purchase_orders"] = text_frame(
+        spark, "po_number,po_date,supplier_id,material_id,quantity,unit_price_ngn",
+        ("PO1", "2025-01-01", "SUP1", "MAT1", "999999999999999", "9999999999999999"),
+    )
+    assert one(normalize(foreign)[0].orders())["total_amount_ngn"] is None
+
+
 @pytest.mark.parametrize(
     ("name", "dataset"),
     [
@@ -191,6 +220,32 @@ def test_csv_cells_that_mean_missing(spark, tmp_path):
     ]
 
 
+def test_line_breaks_in_quoted_cells(spark, tmp_path):
+    write(tmp_path / "materials.csv", 'material_id,material_name\nm1,"two\nlines"\n')
+    found = load_folder(spark, str(tmp_path), multi_line=True)["materials"]
+    assert rows(found) == [{"material_id": "m1", "material_name": "two\nlines"}]
+
+
+def test_relative_folders(spark, tmp_path, monkeypatch):
+    home = Path.cwd()
+    write(tmp_path / "suppliers.csv", "supplier_id,supplier_name\nS1,One\n")
+    relative = os.path.relpath(tmp_path, home)
+    assert set(load_folder(spark, relative)) == set(load_landing(spark, relative)) == {"suppliers"}
+
+
+def test_parts_of_a_dataset_are_cleaned_before_the_union(spark, tmp_path):
+    write(tmp_path / "po_a.csv", "po_number,po_date,supplier_id,material_id,quantity,buyer\nP1,2025-01-01,S1,M1,abc,Ann\n")
+    write(tmp_path / "po_b.csv", "po_number,po_date,supplier_id,material_id,quantity\nP2,2025-01-02,S1,M1,4\n")
+    spark.createDataFrame([("P3", "01/31/2024", "S1", "M1", 2.5)], "po_number string, po_date string, supplier_id string, material_id string, quantity double").write.parquet(str(tmp_path / "po_c.parquet"))
+    found = {r["po_number"]: r for r in rows(load_landing(spark, str(tmp_path), date_formats=("MM/dd/yyyy",))["purchase_orders"])}
+    assert [found[p]["buyer"] for p in ("P1", "P2", "P3")] == ["Ann", "Unassigned", "Unassigned"]
+    assert found["P1"]["quantity"] is None and float(found["P3"]["quantity"]) == 2.5
+    assert str(found["P3"]["po_date"]) == "2024-01-31"
+    write(tmp_path / "po_d.csv", "po_number,po_date,material_id,quantity\nP4,2025-01-02,M1,4\n")
+    with pytest.raises(SchemaError, match="supplier_id"):
+        load_landing(spark, str(tmp_path))
+
+
 def test_folder_with_some_datasets(spark, tmp_path):
     write(tmp_path / "suppliers.csv", "supplier_id,supplier_name\nS1,One\n")
     spark.createDataFrame([("M1", "Cap")], "material_id string, material_name string").write.parquet(

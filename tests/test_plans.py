@@ -1,11 +1,14 @@
 """Properties every registered plan must keep."""
 
+import datetime as dt
 import re
 
 import pytest
 
 import __spark_entry__ as entry
 from spendgrain.operators import sourcing, spend
+from spendgrain.operators.summary import filtered_view
+from spendgrain.sinks.writers import read_tables, write_tables
 from spendgrain.sources.star import StarTables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -17,7 +20,7 @@ def physical(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: physical(query(spark, FOLDER)) for name, query in entry.queries().items()}
+    return {name: physical(query(spark, FOLDER)) for name, query in entry._own_queries().items()}
 
 
 def test_no_python_in_any_plan(plans):
@@ -57,8 +60,6 @@ def test_unneeded_dimensions_are_not_joined(spark):
 
 
 def test_month_filter_prunes_files(spark, tmp_path):
-    from spendgrain.sinks.writers import read_tables, write_tables
-
     write_tables(StarTables(spark, FOLDER), str(tmp_path))
     plan = physical(read_tables(spark, str(tmp_path)).orders("po_month", "category").where("po_month = '1996-03'"))
     assert re.search(r"PartitionFilters: \[.*po_month.* = 1996-03", plan)
@@ -76,8 +77,6 @@ def test_top_n_needs_no_full_sort(spark):
 
 def test_lines_are_shuffled_once_for_both_uses(spark, tmp_path):
     """Scores and the bounds they are measured against share the shuffle of the lines."""
-    from spendgrain.sinks.writers import read_tables, write_tables
-
     write_tables(StarTables(spark, FOLDER), str(tmp_path))
     stored = read_tables(spark, str(tmp_path))
     for query in (sourcing.supplier_optimization, sourcing.constrained_sourcing):
@@ -96,7 +95,7 @@ def test_group_limits_run_before_the_shuffle(spark):
 def test_same_rows_without_any_broadcast(spark):
     """The plans must also be right when no side is small enough to broadcast."""
     names = ("supplier_concentration", "constrained_sourcing", "price_distribution", "normalized_incidents", "dq_unmapped")
-    queries = entry.queries()
+    queries = entry._own_queries()
     expected = {n: sorted(map(str, queries[n](spark, FOLDER).collect())) for n in names}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
@@ -106,3 +105,11 @@ def test_same_rows_without_any_broadcast(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_filtered_view_reads_the_months_of_its_range_only(spark, tmp_path):
+    write_tables(StarTables(spark, FOLDER), str(tmp_path))
+    view = filtered_view(read_tables(spark, str(tmp_path)), (), dt.date(1996, 1, 15), dt.date(1996, 3, 2))
+    plan = physical(view.orders("category", "total_amount_ngn"))
+    assert re.search(r"PartitionFilters: \[[^]]*po_month[^]]*>= 1996-01[^]]*po_month[^]]*<= 1996-03", plan)
+    assert "po_month" not in view.orders("category").columns

@@ -27,12 +27,26 @@ def test_counts(spark):
 
 def test_unmapped_keys_count_rows_and_nulls(spark):
     found = {r["check"]: r["unmapped"] for r in rows(quality.unmapped_keys(report(spark)))}
-    assert found == {"unmapped_supplier_ids": 2, "unmapped_material_ids": 1, "quality_incidents_without_po": 2}
+    assert found == {
+        "unmapped_supplier_ids": 2, "unmapped_material_ids": 1, "quality_incidents_without_po": 2,
+        "incidents_with_ambiguous_supplier": 0,
+    }
+
+
+def test_duplicates_are_seen_before_rows_are_merged(spark):
+    suppliers = [supplier("S1"), supplier("S1"), supplier("S1", country=None)]
+    t = tables(spark, suppliers, [order("P1", "S1", 1, 1), order("P1", "S2", 1, 1)], [incident("Q", "P1", None, 1)])
+    assert {r["dataset"]: r["duplicate_keys"] for r in rows(quality.duplicate_keys(t))} == {
+        "suppliers": 2, "materials": 0, "quality_incidents": 0,
+    }
+    assert {r["dataset"]: r["duplicate_rows"] for r in rows(quality.duplicate_rows(t))}["suppliers"] == 1
+    found = {r["check"]: r["unmapped"] for r in rows(quality.unmapped_keys(t))}
+    assert found["incidents_with_ambiguous_supplier"] == 1
 
 
 def test_report_is_long(spark):
     found = rows(quality.quality_report(report(spark)))
-    assert len(found) == 4 * 3 + 3
+    assert len(found) == 4 * 3 + 3 + 4
     assert {r["check"] for r in found} >= {"row_counts", "null_cells", "duplicate_rows", "unmapped_supplier_ids"}
 
 
