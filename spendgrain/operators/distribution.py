@@ -13,29 +13,30 @@ from spendgrain.tables import Tables
 # The percentiles reported.
 PERCENTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
-SLICES = 1024
+SLICES = 64
 
 
 def distribution(df: DataFrame, keys: list[str], value: str, *, digits: int = 4) -> DataFrame:
     """Count, mean, population deviation and exact interpolated percentiles per group.
 
     A group may hold most of the rows, so no task ever sees a whole group:
-    equal values are counted first; the range of each group is cut into
-    slices; running counts over the slices tell which of them hold the wanted
-    ranks; only those slices are ordered.
+    equal values are counted first; each group is cut into slices that hold
+    about as many distinct values, whatever outliers there are; running counts
+    over the slices tell which of them hold the wanted ranks; only those slices
+    are ordered.
     """
     counts = (
         df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     )
-    low, high, x = F.col("low"), F.col("high"), as_double(F.col(value))
+    x = as_double(F.col(value))
+    cuts = [k / SLICES for k in range(1, SLICES)]
     spans = counts.groupBy(*keys).agg(
         F.sum("n").alias("rows"),
         F.sum(F.col(value) * F.col("n")).alias("total"),
-        as_double(F.min(value)).alias("low"),
-        as_double(F.max(value)).alias("high"),
+        F.percentile_approx(x, cuts, 100 * SLICES).alias("cuts"),
     )
     average = ratio(F.col("total"), F.col("rows"))
-    cell = F.when(high > low, F.least(F.floor((x - low) / (high - low) * SLICES), F.lit(SLICES - 1))).otherwise(0)
+    cell = F.size(F.filter("cuts", lambda cut: cut < x))
     sliced = counts.join(spans, keys).select(
         *keys, "rows", value, "n", cell.cast("int").alias("slice"), average.alias("average")
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
+
 
 @dataclass(frozen=True)
 class SourcingRules:
@@ -101,6 +103,11 @@ def parse_assumptions(config: dict) -> Assumptions:
     return Assumptions(presets or base.presets, policy, scenarios or base.scenarios)
 
 
-def load_assumptions(path: str) -> Assumptions:
-    with open(path, encoding="utf-8") as handle:
-        return parse_assumptions(json.load(handle))
+def load_assumptions(path: str, spark: SparkSession | None = None) -> Assumptions:
+    """Parameters from a JSON file: on the driver's disk, or with a session in any store that Spark reads."""
+    if spark is not None:
+        text = spark.read.option("wholetext", True).text(path).first().value
+    else:
+        with open(path, encoding="utf-8") as handle:
+            text = handle.read()
+    return parse_assumptions(json.loads(text))

@@ -6,6 +6,9 @@ supplier with many orders and many incidents is never counted twice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,22 @@ from spendgrain.functions.numeric import as_double, half_up, mean, money, percen
 from spendgrain.tables import Tables
 
 
+def base_mart(mart: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A mart that is read back where the tables have it stored."""
+
+    @wraps(mart)
+    def given(t: Tables, **options) -> DataFrame:
+        stored = None if options else t.bases.get(mart.__name__)
+        return mart(t, **options) if stored is None else stored
+
+    BASES[mart.__name__] = given
+    return given
+
+
+#: Marts that others build on, by name.
+BASES: dict[str, Callable[..., DataFrame]] = {}
+
+
 def on_time_lines() -> Column:
     return F.count_if(F.col("actual_delivery_date") <= F.col("expected_delivery_date"))
 
@@ -22,6 +41,7 @@ def delivered_lines() -> Column:
     return F.count("actual_delivery_date")
 
 
+@base_mart
 def total_spend(t: Tables) -> DataFrame:
     """One row: the exact spend over all lines. Reads a single column and shuffles one row per task."""
     return t.orders("total_amount_ngn").agg(F.sum("total_amount_ngn").alias("total"))
@@ -63,6 +83,7 @@ def supplier_incidents(t: Tables) -> DataFrame:
     )
 
 
+@base_mart
 def supplier_performance(t: Tables, *, compat: bool = False) -> DataFrame:
     """Orders, spend, delivery and quality per supplier.
 
@@ -98,20 +119,55 @@ def supplier_performance(t: Tables, *, compat: bool = False) -> DataFrame:
 
 
 def category_month(t: Tables) -> DataFrame:
-    """Distinct orders and suppliers, spend and average per category and month."""
-    return (
+    """Distinct orders and suppliers, spend and average per category and month.
+
+    Lines are reduced per order and supplier first. Both counts then follow
+    from that grain without repeating a row for each of them.
+    """
+    keys = ["category", "year", "month"]
+    lines = (
         t.orders("category", "po_date", "po_number", "supplier_id", "total_amount_ngn")
         .where("po_date IS NOT NULL")
-        .groupBy(
-            "category", year_label(F.col("po_date")).alias("year"), month_number(F.col("po_date")).alias("month")
-        )
-        .agg(
-            F.countDistinct("po_number").alias("total_orders"),
-            money(F.sum("total_amount_ngn"), 2).alias("total_spend_ngn"),
-            half_up(mean("total_amount_ngn"), 2).alias("avg_order_value"),
-            F.countDistinct("supplier_id").alias("unique_suppliers"),
+        .select(
+            "category",
+            year_label(F.col("po_date")).alias("year"),
+            month_number(F.col("po_date")).alias("month"),
+            "po_number",
+            "supplier_id",
+            "total_amount_ngn",
         )
     )
+    per_order = lines.groupBy(*keys, "po_number", "supplier_id").agg(
+        F.sum("total_amount_ngn").alias("spend"), F.count("total_amount_ngn").alias("priced")
+    )
+    return distinct_pair(per_order, keys, "po_number", "supplier_id").select(
+        *keys,
+        F.col("first_count").alias("total_orders"),
+        money(F.col("spend"), 2).alias("total_spend_ngn"),
+        half_up(ratio(F.col("spend"), F.col("priced")), 2).alias("avg_order_value"),
+        F.col("second_count").alias("unique_suppliers"),
+    )
+
+
+def distinct_pair(rows: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
+    """Per group the sums of spend and priced, and how many values of two columns there are.
+
+    Rows are unique by keys and both columns. Each count is a grouping of its
+    own over one column; the few rows per group meet in a union, not a join,
+    so groups with NULL keys stay.
+    """
+    def counted(column: str, name: str, *sums: str) -> DataFrame:
+        own = rows.groupBy(*keys, column).agg(*(F.sum(x).alias(x) for x in sums or ("priced",)))
+        shown = {x: F.sum(x) if x in sums else F.lit(None) for x in ("spend", "priced")}
+        counts = {c: F.count(column) if c == name else F.lit(None) for c in ("first_count", "second_count")}
+        return own.groupBy(*keys).agg(
+            shown["spend"].cast("decimal(38,2)").alias("spend"),
+            shown["priced"].cast("bigint").alias("priced"),
+            *(value.cast("bigint").alias(c) for c, value in counts.items()),
+        )
+
+    both = counted(first, "first_count", "spend", "priced").unionByName(counted(second, "second_count"))
+    return both.groupBy(*keys).agg(*(F.max(c).alias(c) for c in ("spend", "priced", "first_count", "second_count")))
 
 
 def overpayment(spend: Column, average: Column, lowest: Column) -> Column:
@@ -119,6 +175,7 @@ def overpayment(spend: Column, average: Column, lowest: Column) -> Column:
     return half_up(as_double(spend) * (average - lowest) / F.nullif(average, F.lit(0.0)), 0)
 
 
+@base_mart
 def savings_opportunities(t: Tables, *, min_orders: int = 5, min_pct: float = 5.0) -> DataFrame:
     """Suppliers whose average price lies well above their own best price in a category."""
     stats = (
@@ -143,6 +200,7 @@ def savings_opportunities(t: Tables, *, min_orders: int = 5, min_pct: float = 5.
     ).where((F.col("order_count") > min_orders) & (F.col("potential_savings_pct") > min_pct))
 
 
+@base_mart
 def price_stats(t: Tables) -> DataFrame:
     """Price spread of each material between its suppliers."""
     stats = (
@@ -171,6 +229,7 @@ def price_stats(t: Tables) -> DataFrame:
     )
 
 
+@base_mart
 def supplier_category(t: Tables) -> DataFrame:
     """Volume, cost, delivery and quality per category and supplier.
 
@@ -225,6 +284,7 @@ def supplier_category(t: Tables) -> DataFrame:
     )
 
 
+@base_mart
 def category_history(t: Tables) -> DataFrame:
     """Quantity, spend and unit cost per category over all lines."""
     return (

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spendgrain.operators import quality, savings, sourcing, spend, suppliers, summary
-from spendgrain.params import Assumptions
+from spendgrain.params import PRESETS, Assumptions
+from spendgrain.plans import marts
 from spendgrain.sinks.writers import read_tables, write_marts, write_report, write_tables
-from spendgrain.sources.normalize import normalize
+from spendgrain.sources.normalize import cleaned_tables, normalize
 from spendgrain.sources.readers import load_landing
-from spendgrain.tables import Tables
+from spendgrain.tables import Tables, WithBases
 
 
 def build_marts(t: Tables, assumptions: Assumptions = Assumptions()) -> dict[str, DataFrame]:
     """The exported marts by name. Nothing runs until they are written."""
-    rules = assumptions.presets["standard"]
+    rules = assumptions.presets.get("standard", PRESETS["standard"])
     policy = assumptions.policy
     # Export names.
     return {
         "procurement_insights_summary": summary.insights_summary(t, rules=rules, policy=policy),
-        "category_spend": spend.category_spend(t),
+        "category_spend": spend.category_share(t),
         "supplier_performance": suppliers.supplier_grade(t),
         "price_variance_top20": spend.price_variance(t, min_spread_pct=None, limit=20),
         "monthly_spend_by_category": spend.monthly_spend_by_category(t),
@@ -29,6 +30,12 @@ def build_marts(t: Tables, assumptions: Assumptions = Assumptions()) -> dict[str
     }
 
 
+def store_bases(t: Tables, folder: str) -> Tables:
+    """Write the base marts once; queries over the result read them instead of the lines."""
+    write_marts({name: mart(t) for name, mart in marts.BASES.items()}, folder, "parquet")
+    return WithBases(t, {name: t.spark.read.parquet(f"{folder}/{name}") for name in marts.BASES})
+
+
 def run_batch(
     spark: SparkSession,
     landing: str,
@@ -36,18 +43,32 @@ def run_batch(
     *,
     assumptions: Assumptions = Assumptions(),
     mart_format: str = "csv",
+    keep_extra: bool = False,
+    date_formats: tuple[str, ...] = (),
+    multi_line: bool = False,
 ) -> Tables:
     """Load, normalize, store and analyse a landing folder.
 
-    The canonical tables are written before any mart is computed. The marts
-    read that copy: parsing and joining happen once, and a lost executor
-    repeats only its own scan.
+    The canonical tables are written before any mart is computed, and the base
+    marts before those that build on them: parsing, joining and aggregating
+    lines happen once, and a lost executor repeats only its own scan. The
+    headers that were renamed, the quality report over the tables as given, the
+    normalized tables as CSV and the insights as JSON are written as well.
     """
-    clean, _ = normalize(load_landing(spark, landing))
+    options = {"keep_extra": keep_extra, "date_formats": date_formats}
+    raw = load_landing(spark, landing, multi_line=multi_line, **options)
+    clean, renames = normalize(raw, **options)
     write_tables(clean, f"{output}/tables")
-    stored = read_tables(spark, f"{output}/tables")
-    marts = build_marts(stored, assumptions)
-    write_marts(marts, f"{output}/marts", mart_format)
-    write_report(marts["procurement_insights_summary"], output, "insights_json")
-    write_report(quality.quality_report(stored), output, "quality_report_json")
+    stored = store_bases(read_tables(spark, f"{output}/tables"), f"{output}/bases")
+    write_marts(build_marts(stored, assumptions), f"{output}/marts", mart_format)
+    write_marts(stored.frames(), f"{output}/normalized", "csv")
+    summary_path = f"{output}/marts/procurement_insights_summary"
+    reader = spark.read.schema("metric string, value double, unit string")
+    insights = reader.option("header", True).format(mart_format).load(summary_path)
+    write_report(insights, output, "insights_json")
+    given, _ = cleaned_tables(raw, **options)
+    reported = Tables(given.suppliers(), given.materials(), stored.orders(), given.incidents())
+    write_report(quality.quality_report(reported), output, "quality_report_json")
+    pairs = [(name, header, column) for name, found in renames.items() for header, column in found.items()]
+    write_report(spark.createDataFrame(pairs, "dataset string, header string, column string"), output, "renames_json")
     return stored

@@ -16,6 +16,9 @@ class Tables:
     those columns need.
     """
 
+    #: Base marts that were stored, by name; none for plain tables.
+    bases: dict[str, DataFrame] = {}
+
     def __init__(
         self,
         suppliers: DataFrame,
@@ -64,6 +67,30 @@ class Tables:
         return _FilteredTables(self, condition, uses)
 
 
+class WithBases(Tables):
+    """Tables together with stored base marts, which queries read instead of aggregating lines again."""
+
+    def __init__(self, tables: Tables, bases: dict[str, DataFrame]) -> None:
+        self._tables = tables
+        self.bases = bases
+
+    @property
+    def spark(self) -> SparkSession:
+        return self._tables.spark
+
+    def suppliers(self, *columns: str) -> DataFrame:
+        return self._tables.suppliers(*columns)
+
+    def materials(self, *columns: str) -> DataFrame:
+        return self._tables.materials(*columns)
+
+    def orders(self, *columns: str) -> DataFrame:
+        return self._tables.orders(*columns)
+
+    def incidents(self, *columns: str) -> DataFrame:
+        return self._tables.incidents(*columns)
+
+
 class _FilteredTables(Tables):
     def __init__(self, base: Tables, condition: Column, uses: tuple[str, ...]) -> None:
         self._base = base

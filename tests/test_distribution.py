@@ -113,3 +113,13 @@ def test_weights_follow_the_poisson_law(spark):
     assert counts[1] == pytest.approx(36788, abs=2)
     assert counts[2] == pytest.approx(18394, abs=2)
     assert sum(w * n for w, n in counts.items()) == pytest.approx(100_000, rel=1e-3)
+
+
+def test_one_outlier_does_not_put_all_values_into_one_slice(spark):
+    """Every slice of a hot group holds a bounded share of its distinct values, however far one value lies off."""
+    df = spark.range(4000).select(F.lit("hot").alias("g"), F.when(F.col("id") == 0, 1e12).otherwise(F.col("id")).cast("decimal(18,2)").alias("v"))
+    found = one(distribution.distribution(df, ["g"], "v"))
+    assert (found["line_count"], found["median"]) == (4000, pytest.approx(2000.5))
+    cuts = df.select(F.percentile_approx(F.col("v").cast("double"), [k / 64 for k in range(1, 64)], 6400).alias("cuts"))
+    sliced = df.crossJoin(cuts).select(F.size(F.filter("cuts", lambda c: c < F.col("v").cast("double"))).alias("slice"))
+    assert max(r["count"] for r in rows(sliced.groupBy("slice").count())) <= 2 * 4000 / 64
