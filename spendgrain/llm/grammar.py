@@ -18,8 +18,10 @@ A shard's bytes, little-endian:
 
 from __future__ import annotations
 
+import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,10 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spendgrain.llm.common import stored, within
+from spendgrain.llm.common import pieces, stored, text_bytes, within
 
 END = 0
 SYMBOLS = 1 << 16
+LONGEST_KNOWN = 64  # longer stretches are encoded anew each time
 MAGIC = b"GRS1"
 
 # Code points that some libraries count as white space, but space, tab and line ends.
@@ -53,19 +56,26 @@ ODD_SPACE = (
 )
 
 
+def odd_numbers() -> list[str]:
+    """Characters that count as numbers but are no decimal digits."""
+    return [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("No", "Nl")]
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE file of the tokenizers library.
 
-    No merge reaches across a white-space run and what follows it, so each
-    distinct stretch of white space and word is encoded once and remembered.
-    Texts with white space that libraries see differently, or with the string
-    of a special token, are encoded whole.
+    No merge reaches from a word into white space, punctuation or digits after
+    it, so each distinct stretch between such places is encoded once and
+    remembered, as long as there is room; the most common ones come early. Texts
+    with characters that libraries class differently, or with the string of a
+    special token, are encoded whole.
     """
 
-    _CUT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-    _ODD = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ODD_SPACE) + "]")
+    _CUT = re.compile(r" ?[^\W\d_]+|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+    _ODD = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ODD_SPACE) + "".join(map(re.escape, odd_numbers())) + "]")
 
     def __init__(self, path: str, remembered: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.model = Tokenizer.from_file(path)
         special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
@@ -73,25 +83,27 @@ class Encoder:
         self.remembered = remembered
         self.size = self.model.get_vocab_size()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.int32).tobytes() for e in found]
+    def _cuts(self, text: str) -> list[str]:
+        if self._ODD.search(text) or (self.special and self.special.search(text)):
+            return [text]
+        return self._CUT.findall(text)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; what is new in all of them goes to the library together."""
+        cuts = [self._cuts(t) if t else [] for t in texts]
+        rows = [list(map(self.known.get, c)) for c in cuts]
+        open_ = [k for k, r in enumerate(rows) if None in r]
+        new = sorted({cuts[k][i] for k in open_ for i, x in enumerate(rows[k]) if x is None})
+        found = self.model.encode_batch_fast(new, add_special_tokens=False) if new else []
+        own = {c: np.array(e.ids, np.int32).tobytes() for c, e in zip(new, found, strict=True)}
+        for k in open_:
+            rows[k] = [own[c] if x is None else x for c, x in zip(cuts[k], rows[k], strict=True)]
+        if len(self.known) < self.remembered:
+            self.known.update((c, ids) for c, ids in own.items() if len(c) <= LONGEST_KNOWN)
+        return [np.frombuffer(b"".join(r), np.int32) for r in rows]
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        if self._ODD.search(text) or (self.special and self.special.search(text)):
-            return np.frombuffer(self._ids([text])[0], np.int32)
-        cuts = self._CUT.findall(text)
-        known = self.known
-        missing = {c for c in cuts if c not in known}
-        if missing:
-            if len(known) > self.remembered:
-                known.clear()
-                missing = set(cuts)
-            new = sorted(missing)
-            known.update(zip(new, self._ids(new), strict=True))
-        return np.frombuffer(b"".join([known[c] for c in cuts]), np.int32)
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -259,15 +271,18 @@ def encode_shards(docs: DataFrame, path: str, shard_tokens: int = 1 << 22, **opt
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["part", "number", "n_tokens", "payload"])
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = own.encode(text.as_py() or "")
-                names.append(name)
-                counts.append(len(ids) + 1)
-                parts += [ids, end]
-                held += len(ids) + 1
-                if held >= shard_tokens:
-                    yield shard()
-                    names, counts, held, parts, number = [], [], 0, [], number + 1
+            _, offsets = text_bytes(batch.column(1))
+            for i, j in pieces(offsets, 1 << 20):
+                some = batch.slice(i, j - i)
+                found = own.encode_all([t or "" for t in some.column(1).to_pylist()])
+                for name, ids in zip(some.column(0).to_pylist(), found, strict=True):
+                    names.append(name)
+                    counts.append(len(ids) + 1)
+                    parts += [ids, end]
+                    held += len(ids) + 1
+                    if held >= shard_tokens:
+                        yield shard()
+                        names, counts, held, parts, number = [], [], 0, [], number + 1
         if names:
             yield shard()
 

@@ -75,7 +75,12 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_hypergeometric_mix": MIX_SQL}
+    return {
+        "op4_hypergeometric_mix": MIX_SQL,
+        "op7_pca_tiled_near_vectors": NEAR_VECTORS_SQL,
+        "op9_ball_tree_top_k": TOP_K_SQL,
+        "op10_setsketch_near_duplicates": NEAR_DUPLICATES_SQL,
+    }
 
 
 # The order of a source's stream is that of the first 60 bits of an MD5, which both engines have.
@@ -102,3 +107,45 @@ placed AS (
   FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, part - start)))::BIGINT AS taken FROM placed
 """
+
+# What a vector needs to take part.
+USABLE = "embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"
+
+NEAR_VECTORS_SQL = f"""
+WITH RECURSIVE part AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE {USABLE} AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM part a JOIN part b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON vec_id = x
+"""
+
+TOP_K_SQL = f"""
+WITH whole AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE {USABLE}),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS s FROM cut)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least ON d.doc_id = x LEFT JOIN sizes z ON z.doc_id = d.doc_id
+"""
