@@ -15,6 +15,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 MARK = "▁"
+LONGEST_KNOWN = 64  # longer cuts are encoded anew each time
 BYTE, CONTROL, USER = 6, 3, 4  # fixed values: kinds of pieces in the model file
 
 
@@ -70,7 +72,7 @@ class CharacterMap:
 class Encoder:
     """Ids, spans and decoded texts of one model."""
 
-    def __init__(self, blob: bytes, remembered: int = 400_000):
+    def __init__(self, blob: bytes, remembered: int = 200_000):
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(blob)
         rules = proto.normalizer_spec
@@ -86,7 +88,7 @@ class Encoder:
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         if self.plain.is_unknown(self.plain.piece_to_id(MARK)):
             raise ValueError("the word mark is no piece")
-        self.known: dict[str, tuple[str, str, bytes]] = {}
+        self.known: dict[str, tuple[str, str | None, bytes]] = {}
         self.remembered = remembered
 
     def normalised(self, text: str) -> tuple[str, np.ndarray]:
@@ -125,14 +127,17 @@ class Encoder:
 
     _CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
-    def _learn(self, cuts: list[str]) -> None:
-        """Encode and decode cuts, each of which starts with a mark."""
+    def _learned(self, cuts: list[str]) -> dict[str, tuple[str, str | None, bytes]]:
+        """Ids, decoded text unless it is the cut itself, and lengths of cuts, each of which starts with a mark."""
         texts = [c[1:].replace(MARK, " ") for c in cuts]
         ids = self.plain.encode(texts, num_threads=1)
         ids = [own or [self.plain.piece_to_id(MARK)] for own in ids]  # a mark alone is what nothing can be encoded to
         decoded = self.plain.decode(ids, num_threads=1)
+        out = {}
         for cut, own, said in zip(cuts, ids, decoded, strict=True):
-            self.known[cut] = ",".join(map(str, own)), " " + said, self.lengths[own].tobytes()
+            said = " " + said
+            out[cut] = ",".join(map(str, own)), None if said == cut.replace(MARK, " ") else said, self.lengths[own].tobytes()
+        return out
 
     def encode(self, text: str | None) -> tuple[str, int, str, np.ndarray, np.ndarray]:
         """Ids joined by commas, their number, the decoded text, and begin and end of every piece in source bytes."""
@@ -140,24 +145,25 @@ class Encoder:
         if not body:
             return "", 0, "", np.empty(0, np.int64), np.empty(0, np.int64)
         cuts = self._CUT.findall(body)
-        known = self.known
-        missing = {c for c in cuts if c not in known}
-        if missing:
-            if len(known) > self.remembered:
-                known.clear()
-                missing = set(cuts)
-            self._learn(sorted(missing))
-        rows = [known[c] for c in cuts]
-        ends = np.frombuffer(b"".join([r[2] for r in rows]), "<u2").cumsum(dtype=np.int64)
+        rows = list(map(self.known.get, cuts))
+        if None in rows:
+            new = self._learned(sorted({c for c, r in zip(cuts, rows, strict=True) if r is None}))
+            rows = [new[c] if r is None else r for c, r in zip(cuts, rows, strict=True)]
+            if len(self.known) < self.remembered:
+                self.known.update((c, r) for c, r in new.items() if len(c) <= LONGEST_KNOWN)
+        ends = np.frombuffer(b"".join(map(itemgetter(2), rows)), "<u2").cumsum(dtype=np.int64)
         edges = source[np.concatenate([[0], ends])]
-        return ",".join([r[0] for r in rows]), len(ends), "".join([r[1] for r in rows])[1:], edges[:-1], edges[1:]
+        decoded = body.replace(MARK, " ")
+        if set(map(itemgetter(1), rows)) != {None}:
+            decoded = "".join([c.replace(MARK, " ") if r[1] is None else r[1] for c, r in zip(cuts, rows, strict=True)])
+        return ",".join(map(itemgetter(0), rows)), len(ends), decoded[1:], edges[:-1], edges[1:]
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder per model and process; tasks of a worker share what it remembers."""
+    """One encoder per model and process."""
     if path not in _ENCODERS:
         with open(path, "rb") as file:
             _ENCODERS[path] = Encoder(file.read())
@@ -213,6 +219,8 @@ def encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("n_tokens", "
                         found.append(hashlib.sha256(np.stack([begins, ends], 1).astype("<i4").tobytes()).hexdigest())
             columns = [pa.array(found, kinds[OUTPUTS[c]]) for c, found in rows.items()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *outputs])
+        own.known.clear()  # the worker goes on to other tasks
+        pa.default_memory_pool().release_unused()
 
     schema = ", ".join(["doc_id long", *(f"{c} {OUTPUTS[c]}" for c in outputs)])
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

@@ -126,6 +126,7 @@ def sketch(docs: DataFrame, width: int = 5) -> DataFrame:
                     names.append(_identity(own))
             rows = [x.tobytes() for part in values for x in part]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_id", "registers"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash()).mapInArrow(run, SKETCH)
 
@@ -193,6 +194,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     names.append(_identity(own))
                     sets.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["set_id", "hashes"])
+        pa.default_memory_pool().release_unused()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = within(wanted.select(F.col("doc_id").alias("wanted_id")).distinct(), 1_000_000)
