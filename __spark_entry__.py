@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -153,10 +154,22 @@ def _landing_variants(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     own = _own_queries()
     if llm is not None:
-        own |= llm.queries() | {"pipeline": corpus_pipeline.run}
+        own |= {name: _reachable(q) for name, q in (llm.queries() | {"pipeline": corpus_pipeline.run}).items()}
     return own
 
 
+def _reachable(query: Query) -> Query:
+    """The query, with this repository on the path of the Python workers of a local session."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if ROOT not in paths:
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+        return query(spark, folder)
+
+    return run
+
+
 def _own_queries() -> dict[str, Query]:
     return {
         "executive_summary": _star(spend.executive_summary),
