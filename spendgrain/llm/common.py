@@ -134,3 +134,14 @@ def pieces(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in slices of about so many bytes of text; memory no slice needs is given back in the end."""
+    for batch in batches:
+        _, offsets = text_bytes(batch.column(column))
+        if not len(batch):
+            yield batch
+        for i, j in pieces(offsets, size):
+            yield batch.slice(i, j - i)
+    pa.default_memory_pool().release_unused()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendgrain.llm import gru
-from spendgrain.llm.common import fresh, pieces, text_bytes
+from spendgrain.llm.common import fresh, parts_of, pieces, text_bytes
 
 UNKNOWN = "und"
 
@@ -135,7 +135,7 @@ def recognised(docs: DataFrame, min_score: float = 0.3, **options) -> DataFrame:
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, "text"):
             *rest, named = (batch.column(k) for k in range(batch.num_columns))
             texts = batch.column(columns.index("text"))
             keep = np.zeros(len(batch), bool)
