@@ -46,6 +46,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of an Arrow column as one byte array, and the offsets of each; null is empty."""
+    if not len(column):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
     column = column.cast(pa.large_binary()).fill_null(b"") if column.null_count else column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
