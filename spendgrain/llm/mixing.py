@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendgrain.llm.common import fresh, stored
+from spendgrain.llm.common import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -115,12 +115,12 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     return rows.select(F.col("low").alias("shard"), pairs.alias("at", "x")).select("x.s", "shard", F.col("x.q").alias("quota"))
 
 
-def sizes(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """``doc_id, source, size, place`` of each document; place orders a source's stream."""
+def sizes(docs: DataFrame, seed: int = 0, *more: Column) -> DataFrame:
+    """``doc_id, source, size, place`` of each document, and more columns; place orders a source's stream."""
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     place = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), place.alias("place"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), place.alias("place"), *more)
 
 
 def targets(measured: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -151,12 +151,20 @@ def mix(docs: DataFrame, shards: int = 16, block_words: int = 4096, seed: int =
     size: the number of words; taken: words the mix takes, repeats counted;
     draws: each time the document is taken, with the shard, the number of the
     block in its source, the key that orders the shard, and the words taken.
+    A draw is made only where a shard's quota holds its block, and taken adds up
+    the draws; the query fails where that is not the part of the stream that
+    the target asks for.
 
     Null sources are one source. Null texts and texts without words have size
     0 and are never taken. Documents with the same doc_id are taken in order of
     size; equal rows may stand for each other. Other columns are not read. An
     empty table gives no rows. Reruns agree.
     """
+    return _dealt(docs, False, shards, block_words, seed, **options).select("doc_id", "source", "size", "source_size", "target", "taken", "draws")
+
+
+def _dealt(docs: DataFrame, whole_rows: bool, shards: int = 16, block_words: int = 4096, seed: int = 0, **options) -> DataFrame:
+    """The columns of ``mix``; with whole_rows also ``row``, all columns of the document's own row."""
     measured = stored(sizes(docs, seed), "sizes")
     n = measured.count()
     buckets = max(1, round(4 * n**0.5))
@@ -174,7 +182,8 @@ def mix(docs: DataFrame, shards: int = 16, block_words: int = 4096, seed: int =
     plan = stored(plan, "plan")
 
     bucket = F.shiftright(F.shiftright("place", 28) * F.lit(buckets).cast("long"), 32)
-    rows = measured.withColumn("bucket", bucket).join(plan, F.col("source").eqNullSafe(F.col("own")))
+    own = sizes(docs, seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if whole_rows else measured
+    rows = own.withColumn("bucket", bucket).join(plan, F.col("source").eqNullSafe(F.col("own")))
     before = measured.withColumn("bucket", bucket).groupBy("source", "bucket").agg(F.sum("size").alias("held"))
     before = before.withColumn("before", F.coalesce(F.sum("held").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     before = before.join(plan.select("own", F.col("s").alias("of")), F.col("source").eqNullSafe(F.col("own"))).select("of", F.col("bucket").alias("slot"), "before")
@@ -194,8 +203,10 @@ def mix(docs: DataFrame, shards: int = 16, block_words: int = 4096, seed: int =
         return F.struct(copy.cast("int").alias("copy"), shard.cast("int").alias("shard"), block.cast("long").alias("block"), key.alias("shuffle_key"), words.cast("long").alias("words"))
 
     every = F.transform(F.filter(F.array(*[F.lit(k).cast("long") for k in range(3)]), lambda k: k < copies), drawn)
-    taken = (F.col("whole") * F.col("size") + F.col("extra")).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), every.alias("draws"))
+    rows = rows.withColumn("draws", F.filter(every, lambda d: d["shard"] < shards))
+    rows = rows.withColumn("dealt", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]))
+    wanted = (F.col("whole") * F.col("size") + F.col("extra")).cast("long")
+    return rows.withColumn("taken", F.when(F.col("dealt") == wanted, F.col("dealt")).otherwise(F.raise_error(F.lit("the shards' quotas do not hold the words of the targets")).cast("long")))
 
 
 def shard_order(mixed: DataFrame) -> DataFrame:
@@ -205,15 +216,12 @@ def shard_order(mixed: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with all their columns.
+    """The rows of docs as often as the mix draws them, with all their columns, shard by shard in its shuffled order.
 
-    A document taken in part is taken whole if the part is half of it or more.
-    Rows that share a doc_id share the larger of their numbers.
+    A document drawn in part is taken whole if the part is half of it or more.
+    Partitions are ranges of shard and shuffle key, so a shard may fill several.
     """
-    mixed = mix(docs, **options)
-    key, times, copy = fresh(docs, "key", "times", "copy")
-    count = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    decided = mixed.groupBy(F.col("doc_id").alias(key)).agg(F.max(count).alias(times)).where(F.col(times) > 0)
-    decided = stored(decided, "times")
-    rows = docs.join(decided, F.col("doc_id").eqNullSafe(F.col(key)))
-    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select([F.col(f"`{c}`") for c in docs.columns])
+    rows = _dealt(docs, True, **options)
+    rows = rows.select("row", F.explode(F.filter("draws", lambda d: 2 * d["words"] >= F.col("size"))).alias("d"))
+    order = ("d.shard", "d.shuffle_key")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")

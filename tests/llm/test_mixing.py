@@ -109,3 +109,19 @@ def test_empty_table_and_repeats(spark):
             assert abs(counts.get(i, 0) - x) <= 0.5
     ordered = mixing.shard_order(mixing.mix(docs, shards=3, block_words=64))
     assert ordered.count() == sum(len(r.draws) for r in mixing.mix(docs, shards=3, block_words=64).collect())
+
+
+def test_quotas_decide_what_is_taken(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, source string, times int")
+    split = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda *a: split(*a).withColumn("quota", F.when(F.col("shard") == 0, 0).otherwise(F.col("quota"))))
+    with pytest.raises(Exception, match="quotas"):
+        mixing.mix(docs, shards=3, block_words=64).select("doc_id", "taken").collect()
+
+
+def test_repeated_rows_come_in_the_shuffled_order_of_their_shards(spark):
+    rows = [r for r in corpus() if r[0] not in (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, times int")
+    draws = mixing.mix(docs, shards=3, block_words=64).select("doc_id", "size", F.explode("draws").alias("d")).collect()
+    wanted = [r.doc_id for r in sorted(draws, key=lambda r: (r.d.shard, r.d.shuffle_key)) if 2 * r.d.words >= r.size]
+    assert [r.doc_id for r in mixing.repeated(docs, shards=3, block_words=64).collect()] == wanted
