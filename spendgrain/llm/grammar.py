@@ -25,6 +25,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -116,17 +117,54 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _places(seq: np.ndarray, keys: np.ndarray, open_: np.ndarray, chosen: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The chosen pairs, places without overlaps, which pair is at each, and which pairs have ``least`` of them; only those have places."""
+    left, right = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
+    left[chosen >> 16], right[chosen & 0xFFFF] = True, True
+    at = np.flatnonzero(open_ & left[seq[:-1]] & right[seq[1:]])
+    if not len(chosen) or not len(at):
+        return chosen, at[:0], at[:0], np.zeros(len(chosen), bool)
+    rule = np.minimum(np.searchsorted(chosen, keys[at]), len(chosen) - 1)
+    hit = chosen[rule] == keys[at]
+    at, rule = at[hit], rule[hit]
+    starts = np.concatenate([[True], np.diff(at) != 1])
+    offset = np.arange(len(at)) - np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
+    own = offset % 2 == 0
+    at, rule = at[own], rule[own]
+    used = np.bincount(rule, minlength=len(chosen)) >= least
+    return chosen, at[used[rule]], rule[used[rule]], used
+
+
+def _apart(pairs: np.ndarray) -> np.ndarray:
+    """Pairs that cannot overlap: no symbol is the left side of one and the right side of another."""
+    lefts, rights, out = set(), set(), []
+    for pair in pairs.tolist():
+        a, b = pair >> 16, pair & 0xFFFF
+        if a != b and a not in rights and b not in lefts:
+            lefts.add(a)
+            rights.add(b)
+            out.append(pair)
+    return np.array(out, np.uint32)
+
+
+def _doubled(pairs: np.ndarray) -> np.ndarray:
+    """Pairs of a symbol with itself."""
+    return pairs[pairs >> 16 == pairs & 0xFFFF]
+
+
 def re_pair(ids: np.ndarray, first: int, rounds: int = 4, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (left, right) of ids below ``first``.
 
     A round counts all neighbouring pairs and replaces the most frequent ones
-    from the left, as many as there are symbols left. Rules that overlaps leave
-    with fewer than ``least`` places are not made.
+    from the left. The free symbols are spread over the first ``rounds`` rounds;
+    more follow until no pair has ``least`` places or no symbol is free. Rules
+    that overlaps leave with fewer than ``least`` places are not made; where
+    that leaves none, pairs that cannot overlap are taken.
     """
     seq = ids.astype(np.uint32)
     rules = np.empty((0, 2), np.uint32)
-    for k in range(rounds):
-        room = (SYMBOLS - first - len(rules)) // (rounds - k)
+    for k in count():
+        room = -(-(SYMBOLS - first - len(rules)) // max(1, rounds - k))
         if len(seq) < 2 or room <= 0:
             break
         keys = seq[:-1] << np.uint32(16) | seq[1:]
@@ -137,24 +175,13 @@ def re_pair(ids: np.ndarray, first: int, rounds: int = 4, least: int = 8) -> tup
         edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.append(edges, len(ordered)))
         frequent = np.flatnonzero(counts >= least)
-        if len(frequent) > room:
-            frequent = np.sort(frequent[np.argsort(-counts[frequent], kind="stable")[:room]])
-        if not len(frequent):
-            break
-        chosen = ordered[edges[frequent]]
-        left, right = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
-        left[chosen >> 16], right[chosen & 0xFFFF] = True, True
-        at = np.flatnonzero(open_ & left[seq[:-1]] & right[seq[1:]])
-        rule = np.minimum(np.searchsorted(chosen, keys[at]), len(chosen) - 1)
-        hit = chosen[rule] == keys[at]
-        at, rule = at[hit], rule[hit]
-        starts = np.concatenate([[True], np.diff(at) != 1])
-        offset = np.arange(len(at)) - np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
-        own = offset % 2 == 0
-        at, rule = at[own], rule[own]
-        used = np.bincount(rule, minlength=len(chosen)) >= least
-        at, rule = at[used[rule]], rule[used[rule]]
-        if not len(at):
+        frequent = frequent[np.argsort(-counts[frequent], kind="stable")]
+        every = ordered[edges[frequent]]
+        for choose in (lambda p: p, _apart, _doubled):
+            chosen, at, rule, used = _places(seq, keys, open_, np.sort(choose(every)[:room]), least)
+            if len(at):
+                break
+        else:
             break
         number = np.cumsum(used) - 1 + first + len(rules)
         seq[at] = number[rule]

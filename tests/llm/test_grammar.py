@@ -45,6 +45,36 @@ def test_frequent_pairs_become_symbols():
     assert len(symbols) < len(ids) / 2 and len(rules)
 
 
+def test_rounds_go_on_while_pairs_are_frequent():
+    ids = np.tile([*range(1, 201), 0], 5000)
+    symbols, rules = grammar.re_pair(ids, 300)
+    assert len(symbols) == 2 * 5000
+    lengths, _ = grammar.expansions(rules, 300)
+    assert lengths.max() == 200
+    data = grammar.shard_bytes(list(range(5000)), [201] * 5000, ids, 300)
+    shard = grammar.Shard.from_bytes(data)
+    assert (shard.expand(shard.symbols, shard.tables()) == ids).all() and shard.document(4999).tolist() == ids[:201].tolist()
+
+
+def test_rounds_go_on_while_symbols_are_free():
+    rng = np.random.default_rng(0)
+    ids = rng.integers(1, 400, 1 << 20)
+    _, rules = grammar.re_pair(ids, grammar.SYMBOLS - 3)
+    assert len(rules) == 3
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=2, max_size=300), st.sampled_from([6, grammar.SYMBOLS - 2]))
+def test_no_frequent_pair_is_left(ids, first):
+    symbols, rules = grammar.re_pair(np.array(ids), first, least=3)
+    left, at = {}, 0
+    for a, b in zip(symbols.tolist(), symbols[1:].tolist(), strict=False):
+        at += 1
+        if a and b and left.get((a, b), (0, -1))[1] < at - 1:
+            left[a, b] = (left.get((a, b), (0, -1))[0] + 1, at)
+    assert len(rules) == grammar.SYMBOLS - first or all(n < 3 for n, _ in left.values())
+
+
 @pytest.mark.parametrize("tokens", [50, 1 << 22])
 def test_files_read_back(spark, tokens):
     texts = ["first text, first text", None, "", "word " * 20000, "same", "same", "Ünïcode 😀"]
