@@ -127,7 +127,9 @@ def recognised(docs: DataFrame, min_score: float = 0.3, **options) -> DataFrame:
 
     The model is fitted to docs itself. The language of a kept row is left as
     it is given where it is given, and filled with the prediction where it is
-    null.
+    null. Where no language can be learned, because no document outside the
+    held-out part has one, all rows whose text has a letter are kept, and
+    languages are left as they are.
     """
     model = fit(docs, **options)
     (flag,) = fresh(docs, "named")
@@ -138,12 +140,12 @@ def recognised(docs: DataFrame, min_score: float = 0.3, **options) -> DataFrame:
         for batch in parts_of(batches, "text"):
             *rest, named = (batch.column(k) for k in range(batch.num_columns))
             texts = batch.column(columns.index("text"))
-            keep = np.zeros(len(batch), bool)
+            keep = named.to_numpy(zero_copy_only=False)
             names = [None] * len(batch)
             if model.network is not None and len(batch):
                 data, offsets = text_bytes(texts.cast(pa.string()))
                 p, _ = _pooled(model, data, offsets, False)
-                keep = named.to_numpy(zero_copy_only=False) & (p.max(1) >= min_score)
+                keep = keep & (p.max(1) >= min_score)
                 names = [model.languages[k] for k in p.argmax(1)]
             at = columns.index("lang")
             lang = pa.array([x if x is not None else y for x, y in zip(rest[at].to_pylist(), names, strict=True)], rest[at].type)

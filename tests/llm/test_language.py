@@ -69,3 +69,11 @@ def test_odd_rows(spark):
     assert language.identify(docs.limit(0), model).count() == 0
     nothing = language.fit(docs.limit(0))
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_documents_stay_where_no_language_is_known(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    rows = [(held, "der die das", "de"), (100, "the of and", None), (None, "no id", "en"), (101, "123", None), (102, None, None), (103, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = language.recognised(docs).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted(rows[:3], key=str)
