@@ -66,7 +66,7 @@ def op9_ball_tree_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_setsketch_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return setsketch.near_duplicates(table(spark, folder, "documents"), percent=85).drop("text_hash")
+    return setsketch.near_duplicates(table(spark, folder, "documents"), percent=85).drop("text_hash", "root")
 
 
 def queries() -> dict[str, Query]:

@@ -344,11 +344,12 @@ def _tiles(bands: DataFrame, docs: DataFrame, classes: DataFrame, percent: int,
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, star_turns: int = 1) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, text_hash`` for each row of ``docs(doc_id, text)``.
+    """``doc_id, n_shingles, component_id, kept, text_hash, root`` for each row of ``docs(doc_id, text)``.
 
     Two texts are linked if 100 * intersection >= percent * union of their
     shingle sets. component_id is the smallest doc_id reachable over links,
-    kept tells whether it is the row's own.
+    kept tells whether it is the row's own; root names the component whatever
+    its doc_ids are, and is null where the set is empty.
 
     Null texts and texts without words have an empty set, link with nothing
     and are kept. Equal texts are linked. Rows that share a doc_id are each
@@ -384,21 +385,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, star_tur
     named = named.withColumns({"node": F.col("set_id"), "root": F.col("set_id")}) if roots is None else named.join(roots, F.col("set_id") == F.col("node"), "left")
     named = named.select("set_id", "least_id", F.coalesce("root", "set_id").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "own")
-    named = named.join(least, F.col("root") == F.col("own")).select(F.col("set_id").alias("own_set"), "component_id")
+    named = named.join(least, F.col("root") == F.col("own")).select(F.col("set_id").alias("own_set"), "component_id", "root")
     out = sketches.join(named, (F.col("set_id") == F.col("own_set")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash", "root")
 
 
 def kept_documents(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that ``near_duplicates`` keeps, with all their columns.
+    """One row of docs of each component, and all rows with empty sets, with all their columns.
 
-    Of rows that repeat both doc_id and text one stays. Only decisions that
-    remove something meet the texts.
+    The row with the smallest doc_id stays, a null one only where all are null,
+    and of several texts with that doc_id the one with the smallest hash. Only
+    decisions that remove something meet the texts.
     """
     by = ["doc_id", "text_hash"]
     key, value = fresh(docs, "key", "value")
-    rows = found.groupBy(*by).agg(F.max("kept").alias("kept"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
+    rows = found.groupBy(*by).agg(F.max("kept").alias("kept"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.first("root").alias("root"))
+    rows = stored(rows, "rows")
+    several = rows.where("kept and n > 0").groupBy(F.col("root").alias("own")).agg(F.min("text_hash").alias("first"), F.count("*").alias("texts")).where("texts > 1")
+    several = within(stored(several, "several"), 1_000_000)
+    rows = rows.join(several, F.col("kept") & (F.col("root") == F.col("own")), "left")
+    rows = rows.withColumn("kept", F.col("kept") & F.coalesce(F.col("text_hash") == F.col("first"), F.lit(True)))
     rows = rows.where("not kept or (copies > 1 and n > 0)").select(F.col("doc_id").alias(key), F.col("text_hash").alias(value), "kept")
     rows = stored(rows, "decided")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (text_hash() == F.col(value))

@@ -107,3 +107,15 @@ def test_kept_documents_keep_columns_and_one_copy(spark):
     kept = setsketch.kept_documents(docs, setsketch.near_duplicates(docs))
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 3]
+
+
+def test_one_text_of_a_group_stays_under_one_id_and_under_null(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join(words[k:]) for k in range(3)]
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(7, near[0]), (7, near[1]), (9, near[2]), (7, "alone"), (None, other), (None, other + " a"), (None, other + " b"), (None, other), (None, "one"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = setsketch.kept_documents(docs, setsketch.near_duplicates(docs)).collect()
+    texts = sorted(r.text for r in kept if r.text)
+    assert len(kept) == 5 and sum(r.doc_id == 7 for r in kept) == 2
+    assert sum(t in near[:2] for t in texts) == 1 and sum(t.startswith("v0") for t in texts) == 1 and {"alone", "one"} <= set(texts)
