@@ -122,8 +122,13 @@ def identify(docs: DataFrame, model: LanguageModel, positions: bool = False) ->
     return docs.select(F.col("doc_id").cast("long"), F.when(text.rlike(r"\p{L}"), text)).mapInArrow(run, kinds)
 
 
-def recognised(docs: DataFrame, min_score: float = 0.3, **options) -> DataFrame:
-    """The rows of docs whose language the model tells with at least such a score, with all their columns.
+def least_score(languages: int, above_chance: float = 1 / 15) -> float:
+    """The score that lies such a part of the way from chance to certainty; with one language there is nothing to tell, and it is 0."""
+    return 0.0 if languages < 2 else 1 / languages + above_chance * (1 - 1 / languages)
+
+
+def recognised(docs: DataFrame, above_chance: float = 1 / 15, **options) -> DataFrame:
+    """The rows of docs whose language the model tells with at least ``least_score`` of its languages, with all their columns.
 
     The model is fitted to docs itself. The language of a kept row is left as
     it is given where it is given, and filled with the prediction where it is
@@ -132,6 +137,7 @@ def recognised(docs: DataFrame, min_score: float = 0.3, **options) -> DataFrame:
     languages are left as they are.
     """
     model = fit(docs, **options)
+    least = least_score(len(model.languages), above_chance)
     (flag,) = fresh(docs, "named")
     columns = docs.columns
     schema = docs.schema
@@ -145,7 +151,7 @@ def recognised(docs: DataFrame, min_score: float = 0.3, **options) -> DataFrame:
             if model.network is not None and len(batch):
                 data, offsets = text_bytes(texts.cast(pa.string()))
                 p, _ = _pooled(model, data, offsets, False)
-                keep = keep & (p.max(1) >= min_score)
+                keep = keep & (p.max(1) >= least)
                 names = [model.languages[k] for k in p.argmax(1)]
             at = columns.index("lang")
             lang = pa.array([x if x is not None else y for x, y in zip(rest[at].to_pylist(), names, strict=True)], rest[at].type)

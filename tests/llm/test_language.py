@@ -77,3 +77,20 @@ def test_documents_stay_where_no_language_is_known(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = language.recognised(docs).collect()
     assert sorted(map(tuple, kept), key=str) == sorted(rows[:3], key=str)
+
+
+def test_least_score_follows_the_number_of_languages():
+    assert language.least_score(1) == 0 and abs(language.least_score(4) - 0.3) < 1e-12
+    for n in (2, 3, 4, 50, 1000):
+        assert 1 / n < language.least_score(n) < 1 / n + 1 / 15
+
+
+def test_documents_below_the_least_score_go_and_no_others(spark):
+    rows = [(i, ("der die das und " if i % 2 else "the and of to ") * 5, "de" if i % 2 else "en") for i in range(40)]
+    rows += [(100 + i, text, None) for i, text in enumerate(["der the die and das of und to", "zqxj", "a", "123"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for above in (1 / 15, 0.9):
+        scores = {r.doc_id: r.score for r in language.identify(docs, language.fit(docs, rounds=40)).collect()}
+        wanted = {i for i, x in scores.items() if x >= language.least_score(2, above)}
+        assert {r.doc_id for r in language.recognised(docs, above_chance=above, rounds=40).collect()} == wanted
+    assert wanted < set(scores)
