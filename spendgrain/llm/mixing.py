@@ -116,11 +116,11 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
 
 
 def sizes(docs: DataFrame, seed: int = 0, *more: Column) -> DataFrame:
-    """``doc_id, source, size, place`` of each document, and more columns; place orders a source's stream."""
+    """``doc_id, source, size, place, mark`` of each document, and more columns; place orders a source's stream, mark is a hash of the text."""
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     place = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), place.alias("place"), *more)
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), place.alias("place"), F.xxhash64(F.col("text").cast("string")).alias("mark"), *more)
 
 
 def targets(measured: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -157,7 +157,7 @@ def mix(docs: DataFrame, shards: int = 16, block_words: int = 4096, seed: int =
 
     Null sources are one source. Null texts and texts without words have size
     0 and are never taken. Documents with the same doc_id are taken in order of
-    size; equal rows may stand for each other. Other columns are not read. An
+    size and of a hash of the text, each by its own source; equal rows may stand for each other. Other columns are not read. An
     empty table gives no rows. Reruns agree.
     """
     return _dealt(docs, False, shards, block_words, seed, **options).select("doc_id", "source", "size", "source_size", "target", "taken", "draws")
@@ -187,7 +187,7 @@ def _dealt(docs: DataFrame, whole_rows: bool, shards: int = 16, block_words: int
     before = measured.withColumn("bucket", bucket).groupBy("source", "bucket").agg(F.sum("size").alias("held"))
     before = before.withColumn("before", F.coalesce(F.sum("held").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     before = before.join(plan.select("own", F.col("s").alias("of")), F.col("source").eqNullSafe(F.col("own"))).select("of", F.col("bucket").alias("slot"), "before")
-    inside = Window.partitionBy("s", "bucket").orderBy("place", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("s", "bucket").orderBy("place", "size", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(before, (F.col("s") == F.col("of")) & (F.col("bucket") == F.col("slot")))
     start = F.col("before") + F.col("inside")
@@ -199,7 +199,7 @@ def _dealt(docs: DataFrame, whole_rows: bool, shards: int = 16, block_words: int
         place = (block * F.col("factor") + F.col("s") * 7919) % F.col("safe")
         shard = F.size(F.filter("upto", lambda x: x <= place))
         words = F.when(copy < F.col("whole"), F.col("size")).otherwise(F.col("extra"))
-        key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("place"), copy)
+        key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("place"), F.col("mark"), copy)
         return F.struct(copy.cast("int").alias("copy"), shard.cast("int").alias("shard"), block.cast("long").alias("block"), key.alias("shuffle_key"), words.cast("long").alias("words"))
 
     every = F.transform(F.filter(F.array(*[F.lit(k).cast("long") for k in range(3)]), lambda k: k < copies), drawn)
@@ -219,6 +219,7 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix draws them, with all their columns, shard by shard in its shuffled order.
 
     A document drawn in part is taken whole if the part is half of it or more.
+    Each row is drawn by its own source and text, whatever ids it shares.
     Partitions are ranges of shard and shuffle key, so a shard may fill several.
     """
     rows = _dealt(docs, True, **options)

@@ -125,3 +125,16 @@ def test_repeated_rows_come_in_the_shuffled_order_of_their_shards(spark):
     draws = mixing.mix(docs, shards=3, block_words=64).select("doc_id", "size", F.explode("draws").alias("d")).collect()
     wanted = [r.doc_id for r in sorted(draws, key=lambda r: (r.d.shard, r.d.shuffle_key)) if 2 * r.d.words >= r.size]
     assert [r.doc_id for r in mixing.repeated(docs, shards=3, block_words=64).collect()] == wanted
+
+
+def test_rows_that_share_an_id_are_drawn_by_their_own_source(spark):
+    rows = [(i, f"{s} {k} " + "w " * 8, s) for i in (None, 7) for s, n in (("a", 60), ("b", 60), ("c", 60), ("none", 3)) for k in range(n)]
+    rows = [(i, "" if s == "none" else t, s) for i, t, s in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.repeated(docs).groupBy("source").agg(F.count("*").alias("n")).collect()
+    wanted = {r.source: r.n for r in mixing.mix(docs).groupBy("source").agg(F.sum(F.col("taken") / 10).alias("n")).collect()}
+    found = {r.source: r.n for r in out}
+    assert wanted["a"] > 2 * wanted["b"] and "none" not in found
+    assert all(abs(found[s] - wanted[s]) <= 0.5 for s in ("a", "b", "c"))
+    keys = [r.k for r in mixing.mix(docs).select(F.explode("draws").alias("d")).select(F.col("d.shuffle_key").alias("k")).collect()]
+    assert len(set(keys)) == len(keys)
