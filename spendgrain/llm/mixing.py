@@ -145,7 +145,7 @@ def targets(measured: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     return rows.select("s", "source", "source_size", F.least("room", F.col("weight") * level).alias("target"))
 
 
-def mix(docs: DataFrame, shards: int = 16, block_words: int = 4096, seed: int = 0, **options) -> DataFrame:
+def mix(docs: DataFrame, shards: int = 16, block_words: int = 4096, seed: int = 0, most: float = 2.0, **options) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken, draws`` of each row of ``docs(doc_id, text, source)``.
 
     size: the number of words; taken: words the mix takes, repeats counted;
@@ -160,16 +160,16 @@ def mix(docs: DataFrame, shards: int = 16, block_words: int = 4096, seed: int =
     size and of a hash of the text, each by its own source; equal rows may stand for each other. Other columns are not read. An
     empty table gives no rows. Reruns agree.
     """
-    return _dealt(docs, False, shards, block_words, seed, **options).select("doc_id", "source", "size", "source_size", "target", "taken", "draws")
+    return _dealt(docs, False, shards, block_words, seed, most, **options).select("doc_id", "source", "size", "source_size", "target", "taken", "draws")
 
 
-def _dealt(docs: DataFrame, whole_rows: bool, shards: int = 16, block_words: int = 4096, seed: int = 0, **options) -> DataFrame:
+def _dealt(docs: DataFrame, whole_rows: bool, shards: int = 16, block_words: int = 4096, seed: int = 0, most: float = 2.0, **options) -> DataFrame:
     """The columns of ``mix``; with whole_rows also ``row``, all columns of the document's own row."""
     measured = stored(sizes(docs, seed), "sizes")
     n = measured.count()
     buckets = max(1, round(4 * n**0.5))
-    sources = stored(targets(measured, **options), "targets")
-    amount = F.least(F.round("target").cast("long"), 2 * F.col("source_size"))
+    sources = stored(targets(measured, most=most, **options), "targets")
+    amount = F.least(F.round("target").cast("long"), F.floor(most * F.col("source_size")).cast("long"))
     whole = F.floor(F.col("amount") / F.greatest("source_size", F.lit(1)))
     plan = sources.withColumn("amount", amount).withColumns({"whole": whole.cast("long"), "blocks": F.ceil(F.col("amount") / block_words).cast("long")})
     plan = plan.withColumn("part", F.col("amount") - F.col("whole") * F.col("source_size"))
@@ -202,7 +202,7 @@ def _dealt(docs: DataFrame, whole_rows: bool, shards: int = 16, block_words: int
         key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("place"), F.col("mark"), copy)
         return F.struct(copy.cast("int").alias("copy"), shard.cast("int").alias("shard"), block.cast("long").alias("block"), key.alias("shuffle_key"), words.cast("long").alias("words"))
 
-    every = F.transform(F.filter(F.array(*[F.lit(k).cast("long") for k in range(3)]), lambda k: k < copies), drawn)
+    every = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), copies.cast("long")), lambda k: k < copies), drawn)
     rows = rows.withColumn("draws", F.filter(every, lambda d: d["shard"] < shards))
     rows = rows.withColumn("dealt", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]))
     wanted = (F.col("whole") * F.col("size") + F.col("extra")).cast("long")

@@ -138,3 +138,14 @@ def test_rows_that_share_an_id_are_drawn_by_their_own_source(spark):
     assert all(abs(found[s] - wanted[s]) <= 0.5 for s in ("a", "b", "c"))
     keys = [r.k for r in mixing.mix(docs).select(F.explode("draws").alias("d")).select(F.col("d.shuffle_key").alias("k")).collect()]
     assert len(set(keys)) == len(keys)
+
+
+def test_draws_follow_most(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, source string, times int")
+    for most, share in ((5.0, 4.5), (0.5, 0.4)):
+        found = mixing.mix(docs, shards=3, block_words=64, most=most, share=share).collect()
+        assert max(len(r.draws) for r in found) == (5 if most > 1 else 1)
+        for s in {r.source for r in found}:
+            own = [r for r in found if r.source == s]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 1
+        assert all(sum(d.words for d in r.draws) == r.taken and {d.copy for d in r.draws} == set(range(len(r.draws))) for r in found)
