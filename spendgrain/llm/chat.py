@@ -47,11 +47,14 @@ def tool_events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     from the text: a request needs the one before it if its checksum leaves 0
     when divided by 3, and the one after it if that leaves 5 when divided by
     11. Some arguments are missing, of the wrong type or not JSON.
+
+    Turns with any other role, or none, carry no events and give no rows.
+    Turns without a number have a null call_id, so only equal ones are one row.
     """
     conv = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     turn = F.col("turn").cast("long")
-    named = lambda t: F.concat(F.lit("call-"), F.coalesce(t.cast("string"), F.lit("")))
+    named = lambda t: F.concat(F.lit("call-"), t.cast("string"))
     mark = F.crc32(text.cast("binary"))
     words = F.regexp_count(text, F.lit(r"\S+"))
     first = F.regexp_extract(text, r"(\S*)", 1)

@@ -89,3 +89,11 @@ def test_given_conversations(spark):
             assert value["content"] == answers[r.conv, r.call_id].content
     errors = {e for r in rows for e in r.errors.split("; ")}
     assert {"missing text", "arguments are not an object"} <= errors
+
+
+def test_turns_without_a_number_stand_for_themselves(spark):
+    rows = [("x", None, "user", "one request"), ("x", None, "user", "another request"), ("x", None, "assistant", "a result"), ("x", 0, "system", "s"), ("x", 1, None, "t"), ("x", 2, "user", "third")]
+    calls, results = chat.tool_events(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string"))
+    assert sorted(str(r.call_id) for r in calls.collect()) == ["None", "None", "call-2"]
+    assert [r.call_id for r in results.collect()] == [None]
+    assert chat.link_tool_calls(calls, results, chat.TOOLS).count() == 4
