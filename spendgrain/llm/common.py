@@ -60,9 +60,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and the number of words before each text."""
-    inside = ~SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and the number of words before each text; between: which bytes part words."""
+    inside = ~between[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()

@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendgrain.llm import chat, grammar, language, mixing, near_vectors, ordinal, pieces, secret_scan, setsketch, topk
+from spendgrain.llm import (
+    chat,
+    grammar,
+    importance,
+    language,
+    mixing,
+    near_vectors,
+    ordinal,
+    pieces,
+    secret_scan,
+    setsketch,
+    token_counts,
+    topk,
+)
 from spendgrain.llm.common import stored, table
+from spendgrain.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +83,15 @@ def op10_setsketch_near_duplicates(spark: SparkSession, folder: str) -> DataFram
     return setsketch.near_duplicates(table(spark, folder, "documents"), percent=85).drop("text_hash", "root")
 
 
+def op12_bit_sliced_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), percent=5, least_words=20)
+
+
+def op13_digest_cached_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    cache = f"{shared_folder(spark, 'llm')}/token-counts"
+    return token_counts.token_counts(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"), cache, limit=2048)
+
+
 def queries() -> dict[str, Query]:
     found = {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
@@ -80,6 +103,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_pca_tiled_near_vectors": NEAR_VECTORS_SQL,
         "op9_ball_tree_top_k": TOP_K_SQL,
         "op10_setsketch_near_duplicates": NEAR_DUPLICATES_SQL,
+        "op12_bit_sliced_resampling": RESAMPLING_SQL,
     }
 
 
@@ -149,3 +173,52 @@ least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN least ON d.doc_id = x LEFT JOIN sizes z ON z.doc_id = d.doc_id
 """
+
+# CRC-32 is linear: a byte's part depends on its value and on how many bytes follow, and the parts add up by exclusive or.
+CRC_TABLES = """
+one AS (
+  SELECT 0 AS k, b::BIGINT AS b, b::BIGINT AS v FROM range(256) t(b)
+  UNION ALL SELECT k + 1, b, xor(v >> 1, 3988292384 * (v & 1)) FROM one WHERE k < 8),
+step AS (SELECT b, v FROM one WHERE k = 8),
+parts AS (
+  SELECT 0 AS after, b, v FROM step
+  UNION ALL SELECT after + 1, p.b, xor(p.v >> 8, s.v) FROM parts p JOIN step s ON s.b = (p.v & 255) WHERE after < (SELECT max(size) FROM hashed)),
+start AS (
+  SELECT 0 AS size, 4294967295::BIGINT AS v
+  UNION ALL SELECT size + 1, xor(t.v >> 8, s.v) FROM start t JOIN step s ON s.b = (t.v & 255) WHERE size < (SELECT max(size) FROM hashed)),
+placed AS (SELECT f, bytes, size, unnest(range(size)) AS i FROM hashed),
+summed AS (
+  SELECT f, any_value(size) AS size, bit_xor(v) AS v
+  FROM placed JOIN parts ON after = size - 1 - i AND b = ('0x' || substr(bytes, 2 * i + 1, 2))::BIGINT GROUP BY f),
+crcs AS (SELECT f, xor(xor(m.v, t.v), 4294967295) AS crc FROM summed m JOIN start t USING (size))
+"""
+
+RESAMPLING_SQL = rf"""
+WITH RECURSIVE texts AS (
+  SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), text FROM benchmark),
+cut AS (
+  SELECT kind, id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM texts),
+found AS (
+  SELECT kind, id, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS f
+  FROM cut, (VALUES (1), (2), (3)) t(k)),
+counted AS (SELECT kind, id, f, count(*) AS n FROM found GROUP BY ALL),
+hashed AS (SELECT f, hex(encode(f)) AS bytes, octet_length(encode(f)) AS size FROM (SELECT DISTINCT f FROM counted)),
+{CRC_TABLES.strip()},
+held AS (SELECT kind, id, crc % 10000 AS bucket, sum(n)::BIGINT AS n FROM counted JOIN crcs USING (f) GROUP BY ALL),
+totals AS (
+  SELECT b AS bucket, coalesce(sum(n) FILTER (kind = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 1), 0)::DOUBLE AS t
+  FROM range(10000) r(b) LEFT JOIN held ON bucket = b GROUP BY b),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000)) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM totals),
+weighed AS (SELECT id, sum(n * gain)::BIGINT AS weight, sum(n)::BIGINT AS n FROM held JOIN gains USING (bucket) WHERE kind = 0 GROUP BY id),
+scored AS (
+  SELECT c.id AS doc_id, len(w) >= 20 AS eligible, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || c.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM cut c LEFT JOIN weighed d ON d.id = c.id WHERE kind = 0),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, (SELECT 5 * count(*) // 100 FROM scored WHERE eligible) AS most
+  FROM scored WHERE eligible)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= most THEN place END AS rank
+FROM scored s LEFT JOIN ranked r ON r.doc_id = s.doc_id
+"""
