@@ -16,6 +16,7 @@ from spendgrain.llm import (
     near_vectors,
     ordinal,
     pieces,
+    prefix_trie,
     secret_scan,
     setsketch,
     token_counts,
@@ -83,6 +84,10 @@ def op10_setsketch_near_duplicates(spark: SparkSession, folder: str) -> DataFram
     return setsketch.near_duplicates(table(spark, folder, "documents"), percent=85).drop("text_hash", "root")
 
 
+def op11_splitter_skeleton_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 def op12_bit_sliced_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), percent=5, least_words=20)
 
@@ -103,6 +108,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_pca_tiled_near_vectors": NEAR_VECTORS_SQL,
         "op9_ball_tree_top_k": TOP_K_SQL,
         "op10_setsketch_near_duplicates": NEAR_DUPLICATES_SQL,
+        "op11_splitter_skeleton_trie": PREFIX_TRIE_SQL,
         "op12_bit_sliced_resampling": RESAMPLING_SQL,
     }
 
@@ -222,3 +228,33 @@ ranked AS (
 SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= most THEN place END AS rank
 FROM scored s LEFT JOIN ranked r ON r.doc_id = s.doc_id
 """
+
+PREFIX_TRIE_SQL = rf"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    substr(sha256(concat(len(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))), 1, 32)) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+hashed AS (SELECT f, hex(encode(f)) AS bytes, octet_length(encode(f)) AS size FROM (SELECT DISTINCT conv_id::VARCHAR AS f FROM turns)),
+{CRC_TABLES.strip()},
+heads AS (SELECT f::BIGINT AS conv_id, crc % 4 AS h FROM crcs),
+rebuilt AS (
+  SELECT h.conv_id, i, role, text FROM heads h JOIN turns t ON t.conv_id = h.conv_id - h.conv_id % 20 AND i <= h
+  UNION ALL SELECT conv_id, i + 1000000, role, text FROM heads JOIN turns USING (conv_id) WHERE i > h),
+stepped AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS depth, sha256(concat(len(role), ':', role, text)) AS step, text FROM rebuilt),
+whole AS (SELECT conv_id, coalesce(list(step ORDER BY depth) FILTER (step IS NOT NULL), []) AS steps FROM heads LEFT JOIN stepped USING (conv_id) GROUP BY conv_id),
+prefixes AS (SELECT conv_id, d, array_to_string(steps[:d], '') AS path, d = len(steps) AS is_end FROM (SELECT *, unnest(range(len(steps) + 1)) AS d FROM whole)),
+words AS (SELECT DISTINCT step, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM stepped),
+nodes AS (
+  SELECT path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, left(path, 64 * (d - 1)) AS up,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+  FROM prefixes GROUP BY path, d),
+counted AS (
+  SELECT n.*, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.up = n.path) AS n_children,
+    (n_convs - 1) * coalesce(w.n, 0) AS saved
+  FROM nodes n LEFT JOIN words w ON w.step = right(n.path, 64))
+SELECT a.conv_id, a.depth, p.conv_id AS parent_conv_id, a.n_convs, a.n_children, a.ends_sha256,
+  count(*) FILTER (b.n_children = 0) AS n_leaves, sum(b.saved)::BIGINT AS saved_tokens
+FROM counted a JOIN counted b ON b.depth >= a.depth AND starts_with(b.path, a.path)
+LEFT JOIN nodes p ON a.depth > 0 AND p.depth = a.depth - 1 AND p.path = a.up
+GROUP BY a.path, a.conv_id, a.depth, p.conv_id, a.n_convs, a.n_children, a.ends_sha256
+"""
