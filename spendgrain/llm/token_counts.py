@@ -37,9 +37,10 @@ def _library(path: str) -> str:
 
 def tokenizer_digest(path: str) -> str:
     """The version of a tokenizer: a digest of its file and its library's release."""
+    library = _library(path)
     with open(path, "rb") as file:
         own = hashlib.sha256(file.read()).hexdigest()
-    return hashlib.sha256(f"{own} {_library(path)} {version(_library(path))}".encode()).hexdigest()
+    return hashlib.sha256(f"{own} {library} {version(library)}".encode()).hexdigest()
 
 
 def normal_content(text: Column, path: str) -> Column:
