@@ -21,6 +21,7 @@ from spendgrain.operators import (  # noqa: E402
     distribution,
     quality,
     risk,
+    rollup,
     savings,
     sourcing,
     spend,
@@ -28,7 +29,7 @@ from spendgrain.operators import (  # noqa: E402
     summary,
 )
 from spendgrain.params import PRESETS, SourcingRules  # noqa: E402
-from spendgrain.plans import marts  # noqa: E402
+from spendgrain.plans import marts, partials  # noqa: E402
 from spendgrain.session import shared_folder  # noqa: E402
 from spendgrain.sinks.writers import read_tables, register_views, write_marts, write_tables  # noqa: E402
 from spendgrain.sources.normalize import cleaned_tables, normalize  # noqa: E402
@@ -53,6 +54,7 @@ STRICT = SourcingRules(0.8, 5.2e8, 60, 2, "Low", 0.8, strict_cap=True)
 
 FILTER_CATEGORIES = ("PROMO", "ECONOMY", "LARGE")
 FILTER_RANGE = (dt.date(1996, 1, 1), dt.date(1999, 12, 31))
+PARTIAL_RANGE = (dt.date(1996, 1, 15), dt.date(1999, 11, 10))  # covers its first and last month in part
 
 
 def _star(query: Callable[..., DataFrame], *args, **options) -> Query:
@@ -83,6 +85,41 @@ def _filtered(query: Callable[..., DataFrame], *args, **options) -> Query:
     return lambda spark, folder: query(view(spark, folder), *args, **options)
 
 
+def _partials(query: Callable[[DataFrame, Tables], DataFrame], *view) -> Query:
+    """A query over stored month partials, of some categories and days if given."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        star, work = StarTables(spark, folder), shared_folder(spark, "partials")
+        partials.write_partials(star, work)
+        return query(partials.partial_view(star, work, *view), star)
+
+    return run
+
+
+def _late_month(spark: SparkSession, folder: str) -> DataFrame:
+    """Months of which one got most of its lines late: partials are written without them, then that month alone is computed again."""
+    star, work = StarTables(spark, folder), shared_folder(spark, "partials")
+    late = F.col("po_date").between(F.lit(dt.date(1997, 5, 10)), F.lit(dt.date(1997, 5, 31)))
+    partials.write_partials(star.where_orders(~late, "po_date"), work)
+    partials.refresh_partials(star, work, ["1997-05"])
+    return rollup.monthly_spend(partials.partial_view(star, work))
+
+
+def _estimated_orders(rows: DataFrame, t: Tables) -> DataFrame:
+    """Exact orders and suppliers per category, and whether what the sketches say lies within their error."""
+    exact = t.orders("category", "po_number").distinct().groupBy("category").agg(F.count("po_number").alias("total_orders"))
+    both = rollup.category_orders(rows).join(exact, "category")
+    holds = rollup.estimate_holds(F.col("orders_estimate"), F.col("total_orders"))
+    return both.select("category", "total_orders", "unique_suppliers", holds.alias("estimate_holds"))
+
+
+def _filtered_by_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Monthly spend of the suppliers in a table of keys."""
+    star = StarTables(spark, folder)
+    keys = star.suppliers("supplier_id", "risk_level").where("risk_level = 'Medium'").select("supplier_id")
+    return spend.monthly_spend_by_category(summary.filtered_view(star, keys, *PARTIAL_RANGE))
+
+
 def _unmapped(spark: SparkSession, folder: str) -> DataFrame:
     """Unmapped keys: incidents without supplier are judged before they are filled."""
     raw = raw_tables(spark, folder)
@@ -229,6 +266,16 @@ def _own_queries() -> dict[str, Query]:
         "filtered_category_spend": _filtered(spend.category_spend),
         "filtered_supplier_performance": _filtered(marts.supplier_performance),
         "filtered_price_variance": _filtered(spend.price_variance, min_spread_pct=None),
+        "filtered_monthly_spend": _filtered(spend.monthly_spend_by_category),
+        "filtered_supplier_optimization": _star(lambda t: summary.of_categories(sourcing.supplier_optimization(t), FILTER_CATEGORIES)),
+        "filtered_constrained_sourcing": _star(lambda t: summary.of_categories(sourcing.constrained_sourcing(t, MIXED), FILTER_CATEGORIES)),
+        "filtered_maverick_lines": _star(lambda t: _plain(summary.filtered_maverick_lines(t, FILTER_CATEGORIES, *PARTIAL_RANGE))),
+        "filtered_by_table": _filtered_by_table,
+        "partials_kpis": _partials(rollup.kpis, FILTER_CATEGORIES, *PARTIAL_RANGE),
+        "partials_category_spend": _partials(lambda rows, t: rollup.category_spend(rows), FILTER_CATEGORIES, *PARTIAL_RANGE),
+        "partials_price_variance": _partials(lambda rows, t: rollup.price_variance(rows), FILTER_CATEGORIES, *PARTIAL_RANGE),
+        "partials_late_month": _late_month,
+        "partials_distinct_orders": _partials(_estimated_orders),
         "sql_over_views": _star(_sql_over_views),
         "files_to_mart": _files_to_mart,
         "normalized_suppliers": _normalized(lambda t: _plain(t.suppliers())),

@@ -759,15 +759,43 @@ STATEMENTS |= {
     name: STATEMENTS[name].replace(TOP_PRICES, TOP_PRICES.replace(" LIMIT 20", "")) for name in (*TOP_20, "insights_display")
 }
 
-# Marts of the filtered lines.
+# Marts of the filtered lines, and of those that ranges with a part of a month keep.
+PART_FILTER = FILTER.replace("1996-01-01", "1996-01-15").replace("1999-12-31", "1999-11-10")
+FILTERED = {
+    "filtered_category_spend": ("category_spend", FILTER),
+    "filtered_supplier_performance": ("supplier_performance", FILTER),
+    "filtered_price_variance": ("price_variance_savings", FILTER),
+    "filtered_monthly_spend": ("monthly_spend_by_category", FILTER),
+    "partials_category_spend": ("category_spend", PART_FILTER),
+    "partials_price_variance": ("price_variance_savings", PART_FILTER),
+    "filtered_by_table": (
+        "monthly_spend_by_category",
+        "category IS NOT NULL AND po_date BETWEEN DATE '1996-01-15' AND DATE '1999-11-10' "
+        "AND supplier_id IN (SELECT supplier_id FROM sup WHERE risk_level = 'Medium')",
+    ),
+}
+CHOSEN = "category IN ('PROMO', 'ECONOMY', 'LARGE')"
 STATEMENTS |= {
-    "filtered_category_spend": STATEMENTS["category_spend"],
-    "filtered_supplier_performance": STATEMENTS["supplier_performance"],
-    "filtered_price_variance": STATEMENTS["price_variance_savings"],
+    "filtered_supplier_optimization": f"{STATEMENTS['supplier_optimization']} WHERE {CHOSEN}",
+    "filtered_constrained_sourcing": f"{STATEMENTS['constrained_sourcing_mixed']} WHERE {CHOSEN}",
+    "filtered_maverick_lines": f"""{MAVERICK}
+SELECT po_number, strftime(po_date, '%Y-%m-%d') AS po_date, supplier_id, material_id, po.category,
+  {dbl("total_amount_ngn")} AS total_amount_ngn, flagged.risk_level, is_approved
+FROM po JOIN flagged USING (supplier_id) WHERE po.{PART_FILTER}""",
+    "partials_kpis": STATEMENTS["filtered_kpis"].replace(FILTER, PART_FILTER),
+    "partials_late_month": STATEMENTS["monthly_spend_by_category"],
+    "partials_distinct_orders": """
+SELECT category, count(DISTINCT po_number) AS total_orders, count(DISTINCT supplier_id) AS unique_suppliers, true AS estimate_holds
+FROM po GROUP BY category""",
 }
-FILTERED_BASE = BASE.replace("), po AS (", "), all_po AS (", 1).replace("), inc AS (", f"), po AS (SELECT * FROM all_po WHERE {FILTER}), inc AS (", 1)
+
+
+def filtered_base(condition: str) -> str:
+    """The canonical tables with the order lines that a condition keeps."""
+    kept = f"), po AS (SELECT * FROM all_po WHERE {condition}), inc AS ("
+    return BASE.replace("), po AS (", "), all_po AS (", 1).replace("), inc AS (", kept, 1)
 
 
 def oracle_sql() -> dict[str, str]:
-    filtered = ("filtered_category_spend", "filtered_supplier_performance", "filtered_price_variance")
-    return {name: (FILTERED_BASE if name in filtered else BASE) + body for name, body in STATEMENTS.items()}
+    plain = {name: BASE + body for name, body in STATEMENTS.items()}
+    return plain | {name: filtered_base(condition) + STATEMENTS[body] for name, (body, condition) in FILTERED.items()}

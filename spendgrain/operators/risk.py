@@ -23,6 +23,11 @@ def _usd_lines(t: Tables, *columns: str) -> DataFrame:
     )
 
 
+def _average_rate() -> Column:
+    """Mean of the rates to twelve digits, summed exactly, so that it does not depend on the row order."""
+    return ratio(F.sum(F.col("rate").cast("decimal(28,12)")), F.count("rate"))
+
+
 def _volatility(lowest: Column, highest: Column) -> Column:
     return (highest - lowest) / F.nullif(lowest, F.lit(0.0)) * 100
 
@@ -35,7 +40,7 @@ def fx_monthly(t: Tables) -> DataFrame:
         .agg(
             F.count("*").alias("usd_orders"),
             money(F.sum("total_amount_usd"), 0).alias("total_usd"),
-            half_up(F.avg("rate"), 2).alias("avg_fx_rate"),
+            half_up(_average_rate(), 2).alias("avg_fx_rate"),
             half_up(lowest, 2).alias("min_fx_rate"),
             half_up(highest, 2).alias("max_fx_rate"),
             half_up(_volatility(lowest, highest), 2).alias("fx_volatility_pct"),
@@ -52,7 +57,7 @@ def fx_exposure(t: Tables, *, round_first: bool = True) -> DataFrame:
     """
     totals = _usd_lines(t).agg(
         F.sum("total_amount_usd").alias("usd"),
-        F.avg("rate").alias("average"),
+        _average_rate().alias("average"),
         F.min("rate").alias("lowest"),
         F.max("rate").alias("highest"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spendgrain.functions.numeric import exact_sum, half_up, money, percent
 from spendgrain.functions.text import metric_text
 from spendgrain.operators.distribution import savings_bootstrap
-from spendgrain.operators.risk import fx_exposure, maverick_total
+from spendgrain.operators.risk import IS_MAVERICK, fx_exposure, maverick_total
 from spendgrain.operators.savings import consolidation, performance_savings
 from spendgrain.operators.sourcing import constrained_savings, optimization_savings
 from spendgrain.operators.spend import price_variance
@@ -120,15 +120,19 @@ def displayed(summary: DataFrame) -> DataFrame:
 
 def filtered_view(
     t: Tables,
-    categories: Sequence[str] = (),
+    categories: Sequence[str] | DataFrame = (),
     start: dt.date | None = None,
     end: dt.date | None = None,
 ) -> Tables:
     """Tables whose order lines lie in the categories and the inclusive date range.
 
-    No category means all known ones. The range applies only with both ends.
+    No category means all known ones. A long list is given as a table of keys:
+    its columns may be any of the orders', such as category, supplier_id or, where
+    lines are stored by month, po_month. The range applies only with both ends.
     Lines stored by month are read from the months of the range only.
     """
+    if isinstance(categories, DataFrame):
+        return filtered_view(t, (), start, end).matching_orders(categories)
     condition = F.col("category").isin(*categories) if categories else F.col("category").isNotNull()
     uses = ["category"]
     if start is not None and end is not None:
@@ -140,9 +144,28 @@ def filtered_view(
     return t.where_orders(condition, *uses)
 
 
+def of_categories(df: DataFrame, categories: Sequence[str] | DataFrame = ()) -> DataFrame:
+    """The rows of a mart or recommendation table that belong to some categories; none means all known ones."""
+    if isinstance(categories, DataFrame):
+        return df.join(categories, "category", "left_semi")
+    return df.where(F.col("category").isin(*categories) if categories else F.col("category").isNotNull())
+
+
+def filtered_maverick_lines(
+    t: Tables,
+    categories: Sequence[str] | DataFrame = (),
+    start: dt.date | None = None,
+    end: dt.date | None = None,
+) -> DataFrame:
+    """The filtered order lines bought from unapproved or high-risk suppliers, with the reason."""
+    flagged = t.suppliers("supplier_id", "risk_level", "is_approved").where(IS_MAVERICK)
+    lines = filtered_view(t, categories, start, end).orders("po_number", "po_date", "supplier_id", "material_id", "category", "total_amount_ngn")
+    return lines.join(flagged, "supplier_id")
+
+
 def filtered_kpis(
     t: Tables,
-    categories: Sequence[str] = (),
+    categories: Sequence[str] | DataFrame = (),
     start: dt.date | None = None,
     end: dt.date | None = None,
     *,

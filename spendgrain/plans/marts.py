@@ -214,6 +214,11 @@ def price_stats(t: Tables) -> DataFrame:
             F.sum("total_amount_ngn").alias("spend"),
         )
     )
+    return price_columns(stats)
+
+
+def price_columns(stats: DataFrame) -> DataFrame:
+    """Spread and overpayment from the lowest, average and highest price and the spend of each material."""
     lowest, average, highest = F.col("lowest"), F.col("average"), F.col("highest")
     base = F.nullif(lowest, F.lit(0.0))
     return stats.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +34,39 @@ def write_tables(t: Tables, folder: str) -> None:
             frame.write.mode("overwrite").parquet(path)
 
 
+def replace_months(t: Tables, folder: str, months: Sequence[str]) -> None:
+    """Replace the order lines of some months (``yyyy-MM``, or NO_MONTH) below a folder written by ``write_tables``.
+
+    Other months are neither read nor written. A month without lines is
+    removed. Running it again gives the same files' rows.
+    """
+    kept = months_of(t, sorted(set(months)))
+    path = f"{folder}/purchase_orders.parquet"
+    writer = _by_month(kept.orders().drop(MONTH_COLUMN)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(MONTH_COLUMN).parquet(path)
+    drop_months(t.spark, path, set(months) - present_months(kept))
+
+
+def months_of(t: Tables, months: Sequence[str]) -> Tables:
+    """The tables with the lines of some months, pruned where lines are stored by month."""
+    if MONTH_COLUMN in t.order_columns():
+        return t.where_orders(F.col(MONTH_COLUMN).isin(*months), MONTH_COLUMN)
+    return t.where_orders(F.coalesce(month_label(F.col("po_date")), F.lit(NO_MONTH)).isin(*months), "po_date")
+
+
+def present_months(t: Tables) -> set[str]:
+    """The months that have lines."""
+    month = F.coalesce(month_label(F.col("po_date")), F.lit(NO_MONTH)).alias(MONTH_COLUMN)
+    return {row[0] for row in t.orders("po_date").select(month).distinct().collect()}
+
+
+def drop_months(spark: SparkSession, path: str, months: Iterable[str]) -> None:
+    """Remove the partitions of some months, where they exist."""
+    for month in months:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MONTH_COLUMN}={month}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read_tables(spark: SparkSession, folder: str) -> Tables:
     """Canonical tables written by ``write_tables``."""
     names = ("suppliers", "materials", "purchase_orders", "quality_incidents")

@@ -66,6 +66,14 @@ class Tables:
         """The same tables with the order lines filtered on the named columns."""
         return _FilteredTables(self, condition, uses)
 
+    def matching_orders(self, keys: DataFrame) -> Tables:
+        """The same tables with the order lines whose values appear in a table of keys.
+
+        The columns of ``keys`` are order columns. It may be of any size: lines
+        are semi-joined, and months of stored lines that no key names are not read.
+        """
+        return _FilteredTables(self, keys, tuple(keys.columns))
+
 
 class WithBases(Tables):
     """Tables together with stored base marts, which queries read instead of aggregating lines again."""
@@ -92,7 +100,7 @@ class WithBases(Tables):
 
 
 class _FilteredTables(Tables):
-    def __init__(self, base: Tables, condition: Column, uses: tuple[str, ...]) -> None:
+    def __init__(self, base: Tables, condition: Column | DataFrame, uses: tuple[str, ...]) -> None:
         self._base = base
         self._condition = condition
         self._uses = uses
@@ -115,6 +123,11 @@ class _FilteredTables(Tables):
 
     def orders(self, *columns: str) -> DataFrame:
         if not columns:
-            return self._base.orders().where(self._condition)
+            return self._kept(self._base.orders())
         extra = [c for c in self._uses if c not in columns]
-        return self._base.orders(*columns, *extra).where(self._condition).select(*columns)
+        return self._kept(self._base.orders(*columns, *extra)).select(*columns)
+
+    def _kept(self, lines: DataFrame) -> DataFrame:
+        if isinstance(self._condition, DataFrame):
+            return lines.join(self._condition, list(self._uses), "left_semi")
+        return lines.where(self._condition)
