@@ -477,7 +477,7 @@ def bootstrap(replicates: int) -> str:
     """Savings of resampled lines; the weight of a line in a replicate follows from its digest."""
     line = ["po_number", "supplier_id", "material_id", "quantity", "unit_price_ngn", "total_amount_ngn"]
     keys = ["material_name", "category"]
-    text = ", ".join(f"coalesce({c}::VARCHAR, '')" for c in (*keys, *line, "copy"))
+    text = ", ".join(f"coalesce({c}::VARCHAR, '')" for c in (*keys, *line, "n"))
 
     def number(k: int, factor: int) -> str:
         powers = ", ".join(f"{pow(factor, r + 1, 2**31 - 1)}::BIGINT" for r in range(replicates))
@@ -490,20 +490,25 @@ def bootstrap(replicates: int) -> str:
         total += term
         counts.append(total)
         term /= len(counts)
-    weight = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in counts if p < 1)
+    single = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in counts if p < 1)
+    weight = f"CASE WHEN n = 1 THEN {single} ELSE low + len(list_filter(sums, lambda s: s <= u)) END"
     quantiles = {name: up(f"quantile_cont(savings, {p})", 2) for name, p in (("p05", 0.05), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95))}
     spread = up("(quantile_cont(savings, 0.95) - quantile_cont(savings, 0.05))", 2)
     return f""", several AS (
   SELECT material_name, category FROM po GROUP BY ALL HAVING count(DISTINCT supplier_id) > 1
 ), copied AS (
   SELECT {", ".join((*keys, *line))}, count(*) AS n FROM po GROUP BY ALL
-), single AS (
-  SELECT *, unnest(range(1, n + 1)) AS copy FROM copied JOIN several USING (material_name, category)
 ), hashed AS (
-  SELECT material_name, category, unit_price_ngn AS price, total_amount_ngn AS amount, md5(concat_ws('|', {text})) AS digest FROM single
-), drawn AS (
+  SELECT material_name, category, unit_price_ngn AS price, total_amount_ngn AS amount, n, md5(concat_ws('|', {text})) AS digest
+  FROM copied JOIN several USING (material_name, category)
+), reach AS (
+  SELECT n, greatest(0, n - ceil(9 * sqrt(n))::BIGINT - 9) AS low, n + ceil(9 * sqrt(n))::BIGINT + 32 AS high
+  FROM (SELECT DISTINCT n FROM hashed WHERE n > 1)
+), terms AS (SELECT n, low, unnest(range(low, high + 1)) AS k FROM reach), added AS (
+  SELECT n, low, k, sum(exp(k * ln(n) - n - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k) AS s FROM terms
+), laws AS (SELECT n AS many, any_value(low) AS low, list(s ORDER BY k) AS sums FROM added GROUP BY n), drawn AS (
   SELECT *, {uniform} AS u FROM (SELECT *, unnest(range(0, {replicates})) AS replicate FROM hashed)
-), weighed AS (SELECT *, {weight} AS w FROM drawn), per_material AS (
+), weighed AS (SELECT *, {weight} AS w FROM drawn LEFT JOIN laws ON n = many), per_material AS (
   SELECT replicate, {dbl("sum(amount * w)")} AS spend, {dbl("sum(price * w)")} / nullif({dbl("sum(w)")}, 0) AS av, {dbl("min(price)")} AS lo
   FROM weighed WHERE w > 0 GROUP BY replicate, material_name, category
 ), per_replicate AS (

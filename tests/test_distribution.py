@@ -1,3 +1,5 @@
+import glob
+import os
 import random
 
 import numpy as np
@@ -5,6 +7,8 @@ import pytest
 from builders import one, order, rows, supplier, tables
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from checks.compare import connect, differences
 from spendgrain.operators import distribution
 from spendgrain.operators.distribution import PERCENTILES
 
@@ -123,3 +127,78 @@ def test_one_outlier_does_not_put_all_values_into_one_slice(spark):
     cuts = df.select(F.percentile_approx(F.col("v").cast("double"), [k / 64 for k in range(1, 64)], 6400).alias("cuts"))
     sliced = df.crossJoin(cuts).select(F.size(F.filter("cuts", lambda c: c < F.col("v").cast("double"))).alias("slice"))
     assert max(r["count"] for r in rows(sliced.groupBy("slice").count())) <= 2 * 4000 / 64
+
+
+def test_cells_keep_the_order(spark):
+    values = [0, 1, -1, 9, 10, 9999, 10_000, 10_001, 99_999_999, 100_000_000, 123_456_789_012_345_678, -9999, -10_000, -123_456_789, 10**18 - 1, -(10**18) + 1]
+    df = spark.createDataFrame([(v,) for v in values], "x long")
+    first, second, least = distribution._cells(F.col("x"))
+    found = rows(df.select("x", first.alias("a"), second.alias("b"), least.alias("l")).orderBy("x"))
+    cells = [(r["a"], r["b"]) for r in found]
+    assert cells == sorted(cells)
+    assert all(abs(r["l"]) <= abs(r["x"]) and (r["x"] == 0 or (r["l"] > 0) == (r["x"] > 0)) for r in found)
+
+
+def test_values_of_all_sizes(spark):
+    rng = random.Random(8)
+    values = [rng.choice([-1, 1]) * rng.randrange(10 ** rng.randrange(1, 15)) / 100 for _ in range(2000)]
+    values += [123_456_789.01 + k / 100 for k in range(300)]  # alike in their first eight digits
+    df = spark.createDataFrame([(None, v) for v in values] + [("g", 1.0)], "g string, v double").withColumn("v", F.col("v").cast("decimal(18,2)"))
+    found = {r["g"]: r for r in rows(distribution.distribution(df.repartition(3), ["g"], "v"))}
+    assert found["g"]["line_count"] == 1 and found["g"]["stddev"] == 0.0
+    own = found[None]
+    assert own["line_count"] == len(values)
+    assert own["mean"] == pytest.approx(np.mean(values), rel=1e-12)
+    assert own["stddev"] == pytest.approx(np.std(values), rel=1e-9)
+    for name, p in PERCENTILES.items():
+        assert own[name] == pytest.approx(np.percentile(values, p * 100), rel=1e-9, abs=1e-3), name
+
+
+def test_a_hot_group_is_split_over_tasks(spark):
+    """The rows that find ranks are dealt by cell, not by group."""
+    df = spark.range(20_000).select(F.lit("hot").alias("g"), (F.col("id") * 37 % 20_000).cast("decimal(18,2)").alias("v"))
+    result = distribution.distribution(df, ["g"], "v")
+    assert one(result)["median"] == 9999.5
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
+    first, _, _ = distribution._cells((F.col("v") * 100).cast("long"))
+    assert max(r["count"] for r in rows(df.groupBy(first).count())) <= 20_000 / 80
+
+
+@pytest.mark.parametrize("n", [2, 3, 10, 63, 64, 1000, 40_000])
+def test_weights_of_equal_lines_follow_the_poisson_law(spark, n):
+    draws = 20_000
+    low, least = distribution._poisson_start(F.col("n"))
+    df = spark.range(draws).select(F.lit(n).cast("long").alias("n"), ((F.col("id") + 0.5) / draws).alias("u"))
+    df = df.limit(200 if n > 10_000 else draws).select("u", "n", low.alias("low"), least.alias("least"))
+    weight = distribution._poisson_many(F.col("u"), F.col("n"), F.col("low"), F.col("least"))
+    found = rows(df.select("u", weight.alias("w")).orderBy("u"))
+    k = np.arange(0, n + int(12 * n**0.5) + 60)
+    logs = k * np.log(n) - n - np.concatenate([[0.0], np.cumsum(np.log(k[1:]))])
+    cumulative = np.cumsum(np.exp(logs))
+    wanted = np.searchsorted(cumulative, [r["u"] for r in found], side="right")
+    assert (wanted == [r["w"] for r in found]).all()
+
+
+def test_equal_lines_are_not_repeated(spark):
+    """Five thousand equal lines are one row per replicate, whose weight is near their number."""
+    vendors = [supplier("S1"), supplier("S2")]
+    t = tables(spark, vendors, [order("P1", "S1", 1, 5), order("P2", "S2", 1, 6)])
+    lines = t.orders().where("po_number = 'P1'").crossJoin(spark.range(5000).select()).unionByName(t.orders())
+    many = type(t)(t.suppliers(), t.materials(), lines, t.incidents())
+    found = [r for r in rows(distribution.resampled_lines(many, 50, 100)) if float(r["price"]) == 5]
+    assert len(found) == 50 and len({r["weight"] for r in found}) > 10
+    assert all(abs(r["weight"] - 5001) < 6 * 5001**0.5 for r in found)
+
+
+def test_equal_lines_agree_with_the_reference_statement(spark, tmp_path):
+    folder = "/root/testdata/sf0.001"
+    for path in glob.glob(f"{folder}/*.parquet"):
+        if "lineitem" not in path:
+            os.symlink(path, f"{tmp_path}/{os.path.basename(path)}")
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    times = F.when(F.col("l_orderkey") % 7 == 0, 1 + F.col("l_partkey") % 4).otherwise(1)
+    lines.withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("copy").coalesce(1).write.parquet(f"{tmp_path}/lines")
+    os.rename(glob.glob(f"{tmp_path}/lines/part-*.parquet")[0], f"{tmp_path}/lineitem.parquet")
+    wanted = connect(str(tmp_path)).execute(entry.oracle_sql()["savings_bootstrap"])
+    assert differences(entry.queries()["savings_bootstrap"](spark, str(tmp_path)), wanted) == []
