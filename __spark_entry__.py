@@ -17,6 +17,7 @@ if ROOT not in sys.path:
 
 from checks import oracle  # noqa: E402
 from checks.raw_tables import raw_tables  # noqa: E402
+from spendgrain.functions.text import currency_short  # noqa: E402
 from spendgrain.operators import (  # noqa: E402
     distribution,
     quality,
@@ -31,9 +32,20 @@ from spendgrain.operators import (  # noqa: E402
 from spendgrain.params import PRESETS, SourcingRules  # noqa: E402
 from spendgrain.plans import marts, partials  # noqa: E402
 from spendgrain.session import shared_folder  # noqa: E402
-from spendgrain.sinks.writers import read_tables, register_views, write_marts, write_tables  # noqa: E402
-from spendgrain.sources.normalize import cleaned_tables, normalize  # noqa: E402
-from spendgrain.sources.readers import load_landing  # noqa: E402
+from spendgrain.sinks.writers import (  # noqa: E402
+    read_tables,
+    register_views,
+    write_marts,
+    write_report,
+    write_tables,
+)
+from spendgrain.sources.normalize import (  # noqa: E402
+    cleaned_tables,
+    infer_date_formats,
+    normalize,
+    unreadable_cells,
+)
+from spendgrain.sources.readers import QUARANTINE, load_folder, load_landing, quarantined  # noqa: E402
 from spendgrain.sources.star import StarTables  # noqa: E402
 from spendgrain.tables import Tables  # noqa: E402
 
@@ -188,6 +200,57 @@ def _landing_variants(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(normalize(load_landing(spark, f"{work}/landing"))[0].suppliers())
 
 
+def _ragged_landing(spark: SparkSession, folder: str) -> str:
+    """A landing folder whose supplier file has rows with a cell too many or too few."""
+    work, raw = shared_folder(spark, "spendgrain"), raw_tables(spark, folder)
+    key, names = F.col("Vendor ID").cast("bigint"), raw["suppliers"].columns
+    cells = [F.concat(F.lit('"'), F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit('"')) for c in names]
+    line = F.concat_ws(",", *cells[:-1], F.when(key % 13 != 0, cells[-1]), F.when(key % 11 == 0, F.lit('"a, b"')))
+    # Lines are written as they are, each file under the header.
+    plain = {"header": True, "sep": "\u0001", "quote": "\u0002", "escapeQuotes": False}
+    raw["suppliers"].select(line.alias(",".join(names))).write.options(**plain).csv(f"{work}/vendors.csv")
+    write_marts({"items.csv": raw["materials"], "po.csv": raw["purchase_orders"]}, work)
+    return work
+
+
+def _malformed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    found = quarantined(spark, _ragged_landing(spark, folder))
+    return found.select("dataset", "cells", "expected", "record", F.col("file").endswith(".csv").alias("has_file"))
+
+
+def _kept_suppliers(spark: SparkSession, folder: str) -> DataFrame:
+    raw = load_landing(spark, _ragged_landing(spark, folder), malformed=QUARANTINE)
+    return _plain(normalize(raw)[0].suppliers())
+
+
+def _other_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders whose days are spelled in three ways, one for each column, read by what their cells show."""
+    raw = raw_tables(spark, folder)
+    spelled = {"Order Date": "MM/dd/yyyy", "Receipt Date": "dd.MM.yyyy", "Promised Delivery Date": "MMM d, yyyy"}
+    orders = raw["purchase_orders"].withColumns(
+        {c: F.coalesce(F.date_format(F.try_to_timestamp(F.col(c)), f), F.col(c)) for c, f in spelled.items()}
+    )
+    raw = raw | {"purchase_orders": orders}
+    return _plain(normalize(raw, date_formats=infer_date_formats(raw))[0].orders())
+
+
+def _folder_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Canonical files of a folder by their names: CSV and Parquet, without incidents, under rules read from JSON."""
+    work, raw = shared_folder(spark, "spendgrain"), raw_tables(spark, folder)
+    write_marts({"suppliers.csv": raw["suppliers"], "materials.csv": raw["materials"]}, work)
+    write_marts({"purchase_orders.parquet": raw["purchase_orders"]}, work, "parquet")
+    return _plain(normalize(load_folder(spark, work))[0].materials())
+
+
+def _report_as_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Insights with their short texts, written as JSON lines and read again."""
+    work = shared_folder(spark, "spendgrain")
+    found = spend.category_share(StarTables(spark, folder))
+    short = currency_short(F.col("total_spend_ngn"), F.lit("NGN")).alias("short")
+    write_report(found.select("category", "total_spend_ngn", "pct_of_total", short), work, "category_share")
+    return spark.read.schema("category string, total_spend_ngn double, pct_of_total double, short string").json(f"{work}/category_share")
+
+
 def queries() -> dict[str, Query]:
     own = _own_queries()
     if llm is not None:
@@ -288,6 +351,12 @@ def _own_queries() -> dict[str, Query]:
         "dq_duplicates": _reported(quality.duplicate_rows),
         "dq_duplicate_keys": _reported(quality.duplicate_keys),
         "dq_unmapped": _unmapped,
+        "dq_unreadable": lambda spark, folder: unreadable_cells(raw_tables(spark, folder)),
+        "dq_malformed_rows": _malformed_rows,
+        "landing_quarantine": _kept_suppliers,
+        "normalized_orders_other_days": _other_days,
+        "folder_scan": _folder_scan,
+        "report_as_json": _report_as_json,
     }
 
 

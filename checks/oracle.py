@@ -757,6 +757,58 @@ UNION ALL SELECT 'quality_incidents', count(*) - count(DISTINCT incident_id) FRO
 {plain("n_sup").replace("currency, quality_rating", "CASE WHEN CAST(supplier_id AS BIGINT) % 3 = 1 THEN 'NGN' ELSE currency END AS currency, quality_rating")}""",
 }
 
+# Cells of the raw tables that their column's type cannot hold, by the rules that made them.
+RAW_CELLS = (
+    ("suppliers", "quality_rating", "n_sup_all", "true", "CAST(supplier_id AS BIGINT) % 7 = 0"),
+    ("suppliers", "is_approved", "n_sup_all", "CAST(supplier_id AS BIGINT) % 6 <> 5", "CAST(supplier_id AS BIGINT) % 6 = 4"),
+    ("materials", "standard_price_ngn", "n_mat_all", "true", "CAST(material_id AS BIGINT) % 9 = 0"),
+    ("materials", "lead_time_days", "n_mat_all", "CAST(material_id AS BIGINT) % 8 <> 0", "false"),
+    ("purchase_orders", "quantity", "twice", "true", "k % 41 = 0"),
+    ("purchase_orders", "unit_price_ngn", "twice", "k % 37 <> 0", "false"),
+    ("purchase_orders", "total_amount_ngn", "twice", "line % 2 = 0", "false"),
+    ("purchase_orders", "total_amount_usd", "twice", "k % 17 < 2", "k % 17 = 1"),
+    ("purchase_orders", "po_date", "twice", "true", "k % 50 = 0"),
+    ("purchase_orders", "expected_delivery_date", "twice", "k % 31 < 2", "k % 31 = 1"),
+    ("purchase_orders", "actual_delivery_date", "twice", "l_linestatus = 'F'", "false"),
+    ("quality_incidents", "cost_impact_ngn", "inc", "true", "po_number % 6 = 0"),
+)
+RAGGED = """, raw_sup AS (
+  SELECT supplier_id AS k, CAST(supplier_id AS VARCHAR) AS a, supplier_name AS b, category AS c, country AS d,
+    CASE WHEN supplier_id % 5 <> 0 THEN lower(currency) END AS e,
+    CASE WHEN supplier_id % 7 = 0 THEN 'unrated' ELSE CAST(quality_rating AS VARCHAR) END AS f,
+    CASE supplier_id % 6 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' WHEN 2 THEN ' APPROVED ' WHEN 3 THEN 'Rejected' WHEN 4 THEN 'maybe' END AS g,
+    CASE supplier_id % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'low' WHEN 2 THEN ' ' END AS h
+  FROM sup
+), raw_sup_all AS (
+  SELECT * FROM raw_sup UNION ALL SELECT * REPLACE (b || ' (old)' AS b) FROM raw_sup WHERE k % 10 = 0
+  UNION ALL SELECT * REPLACE (NULL AS b) FROM raw_sup WHERE k % 15 = 0 UNION ALL SELECT * FROM raw_sup WHERE k % 7 = 0
+)"""
+QUOTED = ", ".join(f"'\"' || coalesce({c}, '') || '\"'" for c in "abcdefg")
+STATEMENTS |= {
+    "dq_unreadable": CLEAN
+    + "\nUNION ALL ".join(
+        f"""
+SELECT '{dataset}' AS dataset, '{column}' AS "column", count(*) FILTER ({present}) AS present, count(*) FILTER ({bad}) AS unreadable
+FROM {table}"""
+        for dataset, column, table, present, bad in RAW_CELLS
+    ),
+    "dq_malformed_rows": f"""{RAGGED}
+SELECT 'suppliers' AS dataset, CAST(8 - CAST(k % 13 = 0 AS INT) + CAST(k % 11 = 0 AS INT) AS INT) AS cells, 8::INT AS expected,
+  concat_ws(',', {QUOTED}, CASE WHEN k % 13 <> 0 THEN '"' || coalesce(h, '') || '"' END, CASE WHEN k % 11 = 0 THEN '"a, b"' END) AS record,
+  true AS has_file
+FROM raw_sup_all WHERE (k % 13 = 0) <> (k % 11 = 0)""",
+    "landing_quarantine": f"""{CLEAN}
+SELECT * REPLACE (CASE WHEN CAST(supplier_id AS BIGINT) % 143 = 0 THEN 'A, B' ELSE risk_level END AS risk_level) FROM n_sup
+WHERE (CAST(supplier_id AS BIGINT) % 13 = 0) = (CAST(supplier_id AS BIGINT) % 11 = 0)""",
+    "normalized_orders_other_days": STATEMENTS["normalized_orders"],
+    "folder_scan": STATEMENTS["normalized_materials"],
+    "report_as_json": f"""
+SELECT *, '₦' || CASE WHEN abs(total_spend_ngn) >= 1e9 THEN printf('%.1fB', total_spend_ngn / 1e9)
+  WHEN abs(total_spend_ngn) >= 1e6 THEN printf('%.1fM', total_spend_ngn / 1e6) ELSE printf('%.1fK', total_spend_ngn / 1e3) END AS short
+FROM (SELECT category, {cash("sum(total_amount_ngn)")} AS total_spend_ngn, {up(pct("sum(total_amount_ngn)", TOTAL), 2)} AS pct_of_total
+  FROM po GROUP BY category)""",
+}
+
 # The complete forms take all materials with a saving, the named variants the largest 20.
 TOP_20 = ("insights_summary", "savings_scenarios", "savings_scenarios_by_category", "filtered_kpis")
 STATEMENTS |= {f"{name}_top20": STATEMENTS[name] for name in TOP_20}

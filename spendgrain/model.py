@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -10,6 +11,10 @@ MONEY = T.DecimalType(18, 2)
 QUANTITY = T.DecimalType(18, 3)
 
 
+#: Patterns tried after ISO days: for all columns, or by dataset and column.
+DateFormats = tuple[str, ...] | Mapping[str, Mapping[str, tuple[str, ...]]]
+
+
 class SchemaError(ValueError):
     """The supplied tables cannot be mapped onto the canonical model."""
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spendgrain.model import DateFormats
 from spendgrain.operators import quality, savings, sourcing, spend, suppliers, summary
 from spendgrain.params import PRESETS, Assumptions
 from spendgrain.plans import marts
 from spendgrain.sinks.writers import read_tables, write_marts, write_report, write_tables
-from spendgrain.sources.normalize import cleaned_tables, normalize
-from spendgrain.sources.readers import load_landing
+from spendgrain.sources.normalize import cleaned_tables, infer_date_formats, normalize, unreadable_cells
+from spendgrain.sources.readers import FAIL, QUARANTINE, landing_parts, load_landing, quarantined
 from spendgrain.tables import Tables, WithBases
 
 
@@ -44,8 +45,9 @@ def run_batch(
     assumptions: Assumptions = Assumptions(),
     mart_format: str = "csv",
     keep_extra: bool = False,
-    date_formats: tuple[str, ...] = (),
+    date_formats: DateFormats | None = None,
     multi_line: bool = False,
+    malformed: str = FAIL,
 ) -> Tables:
     """Load, normalize, store and analyse a landing folder.
 
@@ -53,10 +55,18 @@ def run_batch(
     marts before those that build on them: parsing, joining and aggregating
     lines happen once, and a lost executor repeats only its own scan. The
     headers that were renamed, the quality report over the tables as given, the
-    normalized tables as CSV and the insights as JSON are written as well.
+    cells per column that could not be read, the normalized tables as CSV and
+    the insights as JSON are written as well. Without ``date_formats`` the
+    spelling of days that are not ISO ones follows from the cells of each column.
+    With ``malformed="quarantine"`` rows with too many or too few cells are set
+    aside in a table instead of stopping the run.
     """
-    options = {"keep_extra": keep_extra, "date_formats": date_formats}
-    raw = load_landing(spark, landing, multi_line=multi_line, **options)
+    reading = {"multi_line": multi_line, "malformed": malformed}
+    raw = load_landing(spark, landing, keep_extra=keep_extra, date_formats=date_formats, **reading)
+    whole = infer_date_formats(raw) if date_formats is None else date_formats  # datasets in several parts are read already
+    options = {"keep_extra": keep_extra, "date_formats": whole}
+    if malformed == QUARANTINE:
+        write_marts({"quarantine": quarantined(spark, landing, multi_line=multi_line)}, output, "parquet")
     clean, renames = normalize(raw, **options)
     write_tables(clean, f"{output}/tables")
     stored = store_bases(read_tables(spark, f"{output}/tables"), f"{output}/bases")
@@ -69,6 +79,7 @@ def run_batch(
     given, _ = cleaned_tables(raw, **options)
     reported = Tables(given.suppliers(), given.materials(), stored.orders(), given.incidents())
     write_report(quality.quality_report(reported), output, "quality_report_json")
+    write_report(unreadable_cells(landing_parts(spark, landing, **reading), date_formats), output, "unreadable_cells_json")
     pairs = [(name, header, column) for name, found in renames.items() for header, column in found.items()]
     write_report(spark.createDataFrame(pairs, "dataset string, header string, column string"), output, "renames_json")
     return stored

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spendgrain.functions.dates import parse_date
+from spendgrain.functions.dates import DATE_FORMATS, parse_date
 from spendgrain.functions.text import filled, slug, yes_no
-from spendgrain.model import DATASETS, MONEY, QUANTITY, QUALITY_INCIDENTS, SchemaError
+from spendgrain.model import DATASETS, MONEY, QUALITY_INCIDENTS, QUANTITY, DateFormats, SchemaError
 from spendgrain.tables import Tables
 
 
@@ -46,59 +47,130 @@ def _number(name: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def _supplier_types(df: DataFrame, formats: tuple[str, ...]) -> dict[str, Column]:
-    return {
-        "quality_rating": F.coalesce(_number("quality_rating"), F.lit(4.0)),
-        "is_approved": F.coalesce(yes_no(F.col("is_approved")), F.lit(True)),
-        "risk_level": F.coalesce(F.initcap(filled(F.col("risk_level"))), F.lit("Medium")),
-    }
+def _formats(dataset: str, column: str, formats: DateFormats) -> tuple[str, ...]:
+    return formats.get(dataset, {}).get(column, ()) if isinstance(formats, Mapping) else tuple(formats)
 
 
-def _material_types(df: DataFrame, formats: tuple[str, ...]) -> dict[str, Column]:
-    return {
-        "standard_price_ngn": F.coalesce(F.col("standard_price_ngn").try_cast(MONEY), F.lit(0).cast(MONEY)),
-        "lead_time_days": F.coalesce(_number("lead_time_days").try_cast("int"), F.lit(30)),
-    }
+DAYS = ("po_date", "expected_delivery_date", "actual_delivery_date")
 
 
-def _order_types(df: DataFrame, formats: tuple[str, ...]) -> dict[str, Column]:
-    amounts = ("unit_price_ngn", "total_amount_ngn", "total_amount_usd")
-    days = ("po_date", "expected_delivery_date", "actual_delivery_date")
+def readings(df: DataFrame, dataset: str, formats: DateFormats = ()) -> dict[str, Column]:
+    """For each column that is not text, its typed cells: NULL where a cell is empty or cannot be read."""
     kinds = dict(df.dtypes)
-    return {
-        "quantity": F.col("quantity").try_cast(QUANTITY),
-        **{c: F.col(c).try_cast(MONEY) for c in amounts},
-        **{c: parse_date(F.col(c), formats) if kinds[c] == "string" else F.col(c).cast("date") for c in days},
-        "currency": F.coalesce(F.upper(filled(F.col("currency"))), F.lit("NGN")),
-        "delivery_status": F.coalesce(F.col("delivery_status"), F.lit("Delivered")),
-        "payment_status": F.coalesce(F.col("payment_status"), F.lit("Paid")),
-    }
 
+    def amount(name: str) -> Column:
+        return F.col(name).try_cast(MONEY)
+
+    def day(name: str) -> Column:
+        return parse_date(F.col(name), _formats(dataset, name, formats)) if kinds[name] == "string" else F.col(name).cast("date")
 
-def _incident_types(df: DataFrame, formats: tuple[str, ...]) -> dict[str, Column]:
+    typed = {
+        "suppliers": {"quality_rating": _number("quality_rating"), "is_approved": yes_no(F.col("is_approved"))},
+        "materials": {"standard_price_ngn": amount("standard_price_ngn"), "lead_time_days": _number("lead_time_days").try_cast("int")},
+        "purchase_orders": {
+            "quantity": F.col("quantity").try_cast(QUANTITY),
+            **{c: amount(c) for c in ("unit_price_ngn", "total_amount_ngn", "total_amount_usd")},
+        },
+        "quality_incidents": {"cost_impact_ngn": amount("cost_impact_ngn")},
+    }[dataset]
+    return typed | ({c: day(c) for c in DAYS if c in kinds} if dataset == "purchase_orders" else {})
+
+
+def _otherwise(dataset: str) -> dict[str, Column]:
+    """What stands in for cells that are empty or cannot be read."""
     return {
-        "severity": F.coalesce(F.initcap(filled(F.col("severity"))), F.lit("Medium")),
-        "cost_impact_ngn": F.coalesce(F.col("cost_impact_ngn").try_cast(MONEY), F.lit(0).cast(MONEY)),
-    }
+        "suppliers": {"quality_rating": F.lit(4.0), "is_approved": F.lit(True)},
+        "materials": {"standard_price_ngn": F.lit(0).cast(MONEY), "lead_time_days": F.lit(30)},
+        "purchase_orders": {},
+        "quality_incidents": {"cost_impact_ngn": F.lit(0).cast(MONEY)},
+    }[dataset]
 
 
-_COERCIONS = {
-    "suppliers": _supplier_types,
-    "materials": _material_types,
-    "purchase_orders": _order_types,
-    "quality_incidents": _incident_types,
-}
+def _words(dataset: str) -> dict[str, Column]:
+    """Text columns that are brought to one spelling or filled."""
+    return {
+        "suppliers": {"risk_level": F.coalesce(F.initcap(filled(F.col("risk_level"))), F.lit("Medium"))},
+        "materials": {},
+        "purchase_orders": {
+            "currency": F.coalesce(F.upper(filled(F.col("currency"))), F.lit("NGN")),
+            "delivery_status": F.coalesce(F.col("delivery_status"), F.lit("Delivered")),
+            "payment_status": F.coalesce(F.col("payment_status"), F.lit("Paid")),
+        },
+        "quality_incidents": {"severity": F.coalesce(F.initcap(filled(F.col("severity"))), F.lit("Medium"))},
+    }[dataset]
+
+
+def coercions(df: DataFrame, dataset: str, formats: DateFormats = ()) -> dict[str, Column]:
+    """Typed and filled columns of a table with canonical names."""
+    instead = _otherwise(dataset)
+    typed = {c: F.coalesce(x, instead[c]) if c in instead else x for c, x in readings(df, dataset, formats).items()}
+    return typed | _words(dataset)
+
+
+def unreadable_cells(raw: Mapping[str, DataFrame | list[DataFrame]], date_formats: DateFormats | None = ()) -> DataFrame:
+    """``dataset, column, present, unreadable``: cells that hold something, and those of them that the column's type cannot hold.
+
+    One pass per table; a dataset may come in several tables, which are added
+    up. Columns that a table lacks have no cells. With ``date_formats=None`` days
+    are read as the cells of each table show.
+    """
+    tables = [(name, part) for name, found in raw.items() for part in (found if isinstance(found, list) else [found])]
+    parts = []
+    for name, frame in tables:
+        formats = infer_date_formats({name: frame}) if date_formats is None else date_formats
+        given, _ = rename_columns(frame, name)
+        full = apply_defaults(given, name)
+        shown = []
+        for column, value in readings(full, name, formats).items():
+            if column in given.columns:
+                held = F.trim(F.col(column).cast("string")) != ""
+                counts = (F.count_if(held).alias("present"), F.count_if(held & value.isNull()).alias("unreadable"))
+                shown.append(F.struct(F.lit(name).alias("dataset"), F.lit(column).alias("column"), *counts))
+        if shown:
+            parts.append(full.agg(F.array(*shown).alias("cells")).select(F.inline("cells")))
+    added = reduce(DataFrame.unionByName, parts).groupBy("dataset", "column")
+    return added.agg(F.sum("present").alias("present"), F.sum("unreadable").alias("unreadable"))
+
+
+def infer_date_formats(raw: Mapping[str, DataFrame], known: tuple[str, ...] = DATE_FORMATS) -> dict[str, dict[str, tuple[str, ...]]]:
+    """By dataset and column, the pattern that reads most of the days that are not ISO ones.
+
+    One aggregate per table counts, for every text column of days, how many such
+    cells each known pattern reads: a pattern is ruled out by what it cannot be,
+    such as a thirteenth month. Columns of ISO days, or of none that any pattern
+    reads, get no pattern. Where several read equally many and do not agree on all
+    days, the column is refused: a SchemaError names it and the patterns.
+    """
+    found: dict[str, dict[str, tuple[str, ...]]] = {}
+    for name, frame in raw.items():
+        given, _ = rename_columns(frame, name)
+        columns = [c for c, kind in given.dtypes if c in DAYS and kind == "string" and name == "purchase_orders"]
+        if not columns:
+            continue
+        odd = {c: F.try_to_timestamp(F.col(c)).isNull() for c in columns}
+        read = {(c, f): F.when(odd[c], F.try_to_timestamp(F.col(c), F.lit(f)).cast("date")) for c in columns for f in known}
+        counts = given.agg(*(F.count(read[c, f]).alias(f"{c} {f}") for c, f in read)).head()
+        for c in columns:
+            most = max(counts[f"{c} {f}"] for f in known)
+            best = [f for f in known if most and counts[f"{c} {f}"] == most]
+            if len(best) > 1:
+                differ = reduce(Column.__or__, (~read[c, best[0]].eqNullSafe(read[c, f]) for f in best[1:]))
+                if given.where(differ).limit(1).count():
+                    raise SchemaError(f"Days in {name}.{c} can be read as {' or '.join(best)}; say which")
+            if best:
+                found.setdefault(name, {})[c] = (best[0],)
+    return found
 
 
 def clean_table(
-    df: DataFrame, dataset: str, *, keep_extra: bool = False, date_formats: tuple[str, ...] = ()
+    df: DataFrame, dataset: str, *, keep_extra: bool = False, date_formats: DateFormats = ()
 ) -> tuple[DataFrame, dict[str, str]]:
     """Rename, fill absent columns and coerce types of one table."""
     renamed, renames = rename_columns(df, dataset)
     full = apply_defaults(renamed, dataset)
     columns = DATASETS[dataset].columns
     extra = [F.col(f"`{c}`") for c in full.columns if c not in columns] if keep_extra else []
-    coerced = _COERCIONS[dataset](full, date_formats)
+    coerced = coercions(full, dataset, date_formats)
     return full.select(*(coerced.get(c, F.col(c)).alias(c) for c in columns), *extra), renames
 
 
@@ -199,7 +271,7 @@ def order_suppliers(incidents: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def cleaned_tables(
-    raw: Mapping[str, DataFrame], *, keep_extra: bool = False, date_formats: tuple[str, ...] = ()
+    raw: Mapping[str, DataFrame], *, keep_extra: bool = False, date_formats: DateFormats = ()
 ) -> tuple[Tables, dict[str, dict[str, str]]]:
     """The tables as given, with canonical columns and types, before any row is merged or filled.
 
@@ -221,7 +293,7 @@ def cleaned_tables(
 
 
 def normalize(
-    raw: Mapping[str, DataFrame], *, keep_extra: bool = False, date_formats: tuple[str, ...] = ()
+    raw: Mapping[str, DataFrame], *, keep_extra: bool = False, date_formats: DateFormats = ()
 ) -> tuple[Tables, dict[str, dict[str, str]]]:
     """Map raw tables onto the canonical model.
 

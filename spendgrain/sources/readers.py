@@ -8,41 +8,79 @@ from collections import defaultdict
 from functools import reduce
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendgrain.functions.text import slug
-from spendgrain.model import DATASETS, FILENAME_HINTS, MISSING_WORDS, SchemaError
+from spendgrain.model import DATASETS, FILENAME_HINTS, MISSING_WORDS, DateFormats, SchemaError
 
 log = logging.getLogger(__name__)
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], *, multi_line: bool = False) -> DataFrame:
-    """CSV with a header, every column as text, missing-value words as NULL.
+#: What becomes of rows that have more or fewer cells than their header.
+FAIL, QUARANTINE = "fail", "quarantine"
+_RECORD = "_malformed_record"
 
-    All files of one call must share their header; Spark checks each of them.
-    ``multi_line`` allows line breaks in quoted cells; a file is then one task.
-    """
-    paths = [paths] if isinstance(paths, str) else paths
+
+def _parsed(spark: SparkSession, paths: list[str], multi_line: bool) -> tuple[DataFrame, list[str]]:
+    """Cells as text, the text of malformed rows besides (empty for others), and the names of the header."""
     header = spark.read.option("header", True).csv(paths[0]).schema
-    raw = (
+    reader = (
         spark.read.option("header", True)
         .option("enforceSchema", False)
         .option("escape", '"')
         .option("multiLine", multi_line)
-        .schema(header)
-        .csv(paths)
-    )
-    return raw.select(
-        *(F.when(~F.col(f"`{c}`").isin(*MISSING_WORDS), F.col(f"`{c}`")).alias(c) for c in raw.columns)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", _RECORD)
+        .option("columnPruning", False)  # cells are counted whichever of them are asked for
     )
+    raw = reader.schema(T.StructType(header.fields).add(_RECORD, "string")).csv(paths)
+    # Spark refuses to read the text of malformed rows without any cell, so nothing of the first one is added to it.
+    nothing = F.substring(F.coalesce(F.col(f"`{header.names[0]}`"), F.lit("")), 1, 0)
+    return raw.withColumn(_RECORD, F.concat(F.coalesce(_RECORD, F.lit("")), nothing)), header.names
 
 
-def read_path(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
+def _cell_count() -> Column:
+    """Cells of a malformed row: commas outside of quotes, and one."""
+    bare = F.regexp_replace(_RECORD, r'"([^"]|"")*"', "")
+    return F.char_length(bare) - F.char_length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+
+
+def read_csv(spark: SparkSession, paths: str | list[str], *, multi_line: bool = False, malformed: str = FAIL) -> DataFrame:
+    """CSV with a header, every column as text, missing-value words as NULL.
+
+    All files of one call must share their header; Spark checks each of them.
+    ``multi_line`` allows line breaks in quoted cells; a file is then one task.
+    With ``malformed="fail"`` a row with more cells than the header stops the
+    query that reads it, and the cells a short row lacks are NULL. With
+    ``malformed="quarantine"`` rows of both kinds are left out; ``malformed_rows``
+    has them.
+    """
+    raw, names = _parsed(spark, [paths] if isinstance(paths, str) else paths, multi_line)
+    bad = F.char_length(_RECORD) > 0
+    if malformed == QUARANTINE:
+        raw = raw.where(~bad)
+    elif malformed == FAIL:
+        text = F.concat(F.lit(f"A row has more than {len(names)} cells: "), F.substring(_RECORD, 1, 200))
+        raw = raw.where(F.when(bad & (_cell_count() > len(names)), F.raise_error(text).cast("boolean")).otherwise(True))
+    else:
+        raise ValueError(f"malformed rows cannot be treated as {malformed!r}")
+    return raw.select(*(F.when(~F.col(f"`{c}`").isin(*MISSING_WORDS), F.col(f"`{c}`")).alias(c) for c in names))
+
+
+def malformed_rows(spark: SparkSession, paths: str | list[str], *, multi_line: bool = False) -> DataFrame:
+    """``file, cells, expected, record`` of the rows with more or fewer cells than their header."""
+    raw, names = _parsed(spark, [paths] if isinstance(paths, str) else paths, multi_line)
+    rows = raw.select(F.input_file_name().alias("file"), _RECORD).where(F.char_length(_RECORD) > 0)
+    return rows.select("file", _cell_count().alias("cells"), F.lit(len(names)).alias("expected"), F.col(_RECORD).alias("record"))
+
+
+def read_path(spark: SparkSession, path: str, *, multi_line: bool = False, malformed: str = FAIL) -> DataFrame:
     """One file or folder: Parquet by its suffix, CSV otherwise."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    return read_csv(spark, path, multi_line=multi_line)
+    return read_csv(spark, path, multi_line=multi_line, malformed=malformed)
 
 
 def _folder(spark: SparkSession, folder: str):
@@ -76,7 +114,7 @@ def csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
         lines.close()
 
 
-def load_folder(spark: SparkSession, folder: str, *, multi_line: bool = False) -> dict[str, DataFrame]:
+def load_folder(spark: SparkSession, folder: str, *, multi_line: bool = False, malformed: str = FAIL) -> dict[str, DataFrame]:
     """Load whichever canonical datasets the folder holds, as ``<name>.csv`` or ``<name>.parquet``."""
     base = folder.rstrip("/")
     entries = set(list_entries(spark, base))
@@ -84,7 +122,7 @@ def load_folder(spark: SparkSession, folder: str, *, multi_line: bool = False) -
     for name in DATASETS:
         for suffix in (".parquet", ".csv"):
             if name + suffix in entries:
-                tables[name] = read_path(spark, f"{base}/{name}{suffix}", multi_line=multi_line)
+                tables[name] = read_path(spark, f"{base}/{name}{suffix}", multi_line=multi_line, malformed=malformed)
                 break
     if not tables:
         raise FileNotFoundError(f"No canonical datasets found in {folder}")
@@ -115,21 +153,8 @@ def route_dataset(filename: str) -> str | None:
     return None
 
 
-def load_landing(
-    spark: SparkSession,
-    folder: str,
-    *,
-    keep_extra: bool = False,
-    date_formats: tuple[str, ...] = (),
-    multi_line: bool = False,
-) -> dict[str, DataFrame]:
-    """Load a landing folder: route each direct child by its name and union those of one dataset.
-
-    Children with the same header are read by one scan. Unknown names are
-    skipped. Where a dataset comes in several parts, each is cleaned by itself
-    before the union: it gets its own defaults, must have the required columns,
-    and its dirty cells become NULL.
-    """
+def _routed(spark: SparkSession, folder: str) -> tuple[dict[str, dict[tuple[str, ...], list[str]]], dict[str, list[str]]]:
+    """CSV paths by dataset and header, and Parquet paths by dataset, of a landing folder's direct children."""
     base = folder.rstrip("/")
     groups: dict[str, dict[tuple[str, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
     parquet: dict[str, list[str]] = defaultdict(list)
@@ -142,17 +167,56 @@ def load_landing(
             parquet[name].append(path)
         else:
             groups[name][csv_header(spark, path)].append(path)
+    return groups, parquet
 
-    tables = {}
+
+def quarantined(spark: SparkSession, folder: str, *, multi_line: bool = False) -> DataFrame:
+    """``dataset, file, cells, expected, record`` of all malformed rows of a landing folder."""
+    groups, _ = _routed(spark, folder)
+    found = [
+        malformed_rows(spark, paths, multi_line=multi_line).select(F.lit(name).alias("dataset"), "*")
+        for name in DATASETS
+        for paths in groups[name].values()
+    ]
+    empty = spark.createDataFrame([], "dataset string, file string, cells int, expected int, record string")
+    return reduce(DataFrame.unionByName, found, empty)
+
+
+def landing_parts(spark: SparkSession, folder: str, *, multi_line: bool = False, malformed: str = FAIL) -> dict[str, list[DataFrame]]:
+    """The tables of a landing folder as they are, by dataset: one for each header, and one for each Parquet child."""
+    groups, parquet = _routed(spark, folder)
+    parts = {}
     for name in DATASETS:
-        parts = [read_csv(spark, paths, multi_line=multi_line) for paths in groups[name].values()]
-        parts += [spark.read.parquet(path) for path in parquet[name]]
+        parts[name] = [read_csv(spark, paths, multi_line=multi_line, malformed=malformed) for paths in groups[name].values()]
+        parts[name] += [spark.read.parquet(path) for path in parquet[name]]
+    return {name: found for name, found in parts.items() if found}
+
+
+def load_landing(
+    spark: SparkSession,
+    folder: str,
+    *,
+    keep_extra: bool = False,
+    date_formats: DateFormats | None = (),
+    multi_line: bool = False,
+    malformed: str = FAIL,
+) -> dict[str, DataFrame]:
+    """Load a landing folder: route each direct child by its name and union those of one dataset.
+
+    Children with the same header are read by one scan. Unknown names are
+    skipped. Where a dataset comes in several parts, each is cleaned by itself
+    before the union: it gets its own defaults, must have the required columns,
+    and its dirty cells become NULL. With ``date_formats=None`` each such part
+    also gets the spelling of days that its own cells show.
+    """
+    tables = {}
+    for name, parts in landing_parts(spark, folder, multi_line=multi_line, malformed=malformed).items():
         if len(parts) > 1:
-            from spendgrain.sources.normalize import clean_table
+            from spendgrain.sources.normalize import clean_table, infer_date_formats
 
-            parts = [clean_table(part, name, keep_extra=keep_extra, date_formats=date_formats)[0] for part in parts]
-        if parts:
-            tables[name] = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+            chosen = [infer_date_formats({name: part}) if date_formats is None else date_formats for part in parts]
+            parts = [clean_table(part, name, keep_extra=keep_extra, date_formats=own)[0] for part, own in zip(parts, chosen, strict=True)]
+        tables[name] = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if not tables:
         raise SchemaError(
             "No supported files were detected. Supply supplier, material, order and optional quality files."
