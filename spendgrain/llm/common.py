@@ -35,6 +35,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of the session hold at most BATCH_BYTES, as whole texts pass between Spark and Python.
+
+    By default they hold 64 MB, and both sides keep a few of them per task.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(1 << 30)).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def within(df: DataFrame, rows: int) -> DataFrame:
     """The same rows, marked for a broadcast only if so few were counted; else joins shuffle both sides."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -174,7 +174,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
         for batch in batches:
             x, y = (_matrix(batch.column(c), "<u2", REGISTERS) for c in ("x", "y"))
             n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
-            parts = [likely(x[i : i + 4096], y[i : i + 4096], n[i : i + 4096], m[i : i + 4096], similarity)[1] for i in range(0, len(n), 4096)]
+            parts = [likely(x[i : i + _PAIRS], y[i : i + _PAIRS], n[i : i + _PAIRS], m[i : i + _PAIRS], similarity)[1] for i in range(0, len(n), _PAIRS)]
             yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(parts)) if parts else pa.array([], pa.bool_()))
 
     first = classes.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("n"), F.col("registers").alias("x"))
@@ -238,6 +238,7 @@ def _stars(bands: DataFrame, turn: int) -> DataFrame:
 
 
 _TILE = 512
+_PAIRS = 1024  # compared together
 
 
 def _open_pairs(rows: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -253,15 +254,16 @@ def _open_pairs(rows: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarr
     while len(left):
         left = left[left + step < len(group)]
         left = left[group[left] == group[left + step]]
-        for k in range(0, len(left), 8192):
-            i = left[k : k + 8192]
+        for k in range(0, len(left), _PAIRS):
+            i = left[k : k + _PAIRS]
             j = i + step
             ok = (root[i] != root[j]) & (same_tile[i] | (tile[i] != tile[j]))
             i, j = i[ok], j[ok]
             if len(i):
                 x, y = values[i], values[j]
-                equal = (x == y).reshape(-1, BANDS, ROWS).all(2)
-                ok = (equal.argmax(1) == band[i]) & likely(x, y, n[i], n[j], similarity)[1]
+                ok = (x == y).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[i]
+                i, j, x, y = i[ok], j[ok], x[ok], y[ok]
+                ok = likely(x, y, n[i], n[j], similarity)[1]
                 low.append(i[ok])
                 high.append(j[ok])
         step += 1
