@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spendgrain.llm import language, mixing, pieces, secret_scan, setsketch
-from spendgrain.llm.common import stored, table
+from spendgrain.llm.common import small_batches, stored, table
 from spendgrain.llm.registry import tokenizer_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; texts that are null or have no letter go."""
+    small_batches(spark)
     return language.recognised(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
+    small_batches(spark)
     return setsketch.kept_documents(docs, setsketch.near_duplicates(docs, percent=80))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced by the name of the kind."""
+    small_batches(spark)
     return secret_scan.redact(docs)
 
 
@@ -31,6 +34,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row: doc_id, number of pieces, and digests of ids, decoded text and spans."""
+    small_batches(spark)
     return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), ("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"))
 
 
