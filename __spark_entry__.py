@@ -31,6 +31,7 @@ from spendgrain.operators import (  # noqa: E402
 )
 from spendgrain.params import PRESETS, SourcingRules  # noqa: E402
 from spendgrain.plans import marts, partials  # noqa: E402
+from spendgrain.plans.shared import read_once  # noqa: E402
 from spendgrain.session import shared_folder  # noqa: E402
 from spendgrain.sinks.writers import (  # noqa: E402
     read_tables,
@@ -49,12 +50,10 @@ from spendgrain.sources.readers import QUARANTINE, load_folder, load_landing, qu
 from spendgrain.sources.star import StarTables  # noqa: E402
 from spendgrain.tables import Tables  # noqa: E402
 
-try:  # the training-data operators are an optional part
+try:  # the training-data operators are an optional part, as are the libraries they need
     import corpus_pipeline
     from spendgrain.llm import registry as llm
-except ImportError as missing:
-    if not (missing.name or "").startswith(("corpus_pipeline", "spendgrain.llm")):
-        raise
+except ImportError:
     llm = None
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,6 +294,8 @@ def _own_queries() -> dict[str, Query]:
         "fx_exposure": _star(risk.fx_exposure),
         "fx_exposure_exact": _star(risk.fx_exposure, round_first=False),
         "maverick_suppliers": _star(risk.maverick_suppliers),
+        "maverick_buyers": _star(lambda t: risk.maverick_buyers(t).withColumn("spend", F.col("spend").cast("double"))),
+        "maverick_top_buyers": _star(risk.maverick_top_buyers),
         "maverick_total": _star(risk.maverick_total),
         "maverick_by_risk": _star(risk.maverick_by_risk),
         "savings_opportunities": _star(marts.savings_opportunities),
@@ -321,9 +322,9 @@ def _own_queries() -> dict[str, Query]:
         "constrained_savings": _star(sourcing.constrained_savings),
         "constrained_savings_dual": _star(sourcing.constrained_savings, DUAL),
         "constrained_savings_strict_cap": _star(sourcing.constrained_savings, STRICT),
-        "insights_summary": _star(summary.insights_summary),
-        "insights_summary_top20": _star(summary.insights_summary, price_limit=20),
-        "insights_display": _star(lambda t: summary.displayed(summary.insights_summary(t))),
+        "insights_summary": _star(lambda t: summary.insights_summary(read_once(t))),
+        "insights_summary_top20": _star(lambda t: summary.insights_summary(read_once(t), price_limit=20)),
+        "insights_display": _star(lambda t: summary.displayed(summary.insights_summary(read_once(t)))),
         "filtered_kpis": _star(summary.filtered_kpis, FILTER_CATEGORIES, *FILTER_RANGE),
         "filtered_kpis_top20": _star(summary.filtered_kpis, FILTER_CATEGORIES, *FILTER_RANGE, price_limit=20),
         "filtered_category_spend": _filtered(spend.category_spend),

@@ -757,6 +757,22 @@ UNION ALL SELECT 'quality_incidents', count(*) - count(DISTINCT incident_id) FRO
 {plain("n_sup").replace("currency, quality_rating", "CASE WHEN CAST(supplier_id AS BIGINT) % 3 = 1 THEN 'NGN' ELSE currency END AS currency, quality_rating")}""",
 }
 
+PAIRS = f"""{MAVERICK}, pairs AS (
+  SELECT po.supplier_name, risk_level, is_approved, buyer, count(*) AS order_count, sum(total_amount_ngn) AS spend
+  FROM po JOIN flagged USING (supplier_id) GROUP BY ALL
+)"""
+STATEMENTS |= {
+    "maverick_buyers": f"""{PAIRS}
+SELECT supplier_name, risk_level, is_approved, buyer, order_count, {dbl("spend")} AS spend FROM pairs""",
+    "maverick_top_buyers": f"""{PAIRS}, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY supplier_name, risk_level, is_approved ORDER BY spend DESC, buyer) AS place FROM pairs
+)
+SELECT supplier_name, risk_level, is_approved, sum(order_count)::BIGINT AS order_count, {cash("sum(spend)", 0)} AS total_spend,
+  string_agg(buyer, ',' ORDER BY place) FILTER (place <= 3) AS top_buyers, count(*) FILTER (place > 3) AS other_buyers,
+  {cash("coalesce(sum(spend) FILTER (place > 3), 0)", 0)} AS other_spend
+FROM placed GROUP BY supplier_name, risk_level, is_approved""",
+}
+
 # Cells of the raw tables that their column's type cannot hold, by the rules that made them.
 RAW_CELLS = (
     ("suppliers", "quality_rating", "n_sup_all", "true", "CAST(supplier_id AS BIGINT) % 7 = 0"),

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendgrain.session import shared_folder
 from spendgrain.sources.normalize import order_suppliers
 from spendgrain.tables import Tables
 
@@ -36,15 +37,35 @@ def null_cells(t: Tables) -> DataFrame:
     return _per_dataset(t, "null_cells", count)
 
 
+def suspected_copies(df: DataFrame) -> DataFrame:
+    """The rows whose 128-bit digest another row shares, digests included: copies, and rarely others.
+
+    Only digests are shuffled and counted. Those that occur twice are written,
+    so that their size is known when the rows are looked up: where they are few,
+    Spark sends them to the rows, and only rows that match are moved.
+    """
+    cells = [F.col(f"`{c}`") for c in df.columns]
+    # A NULL leaves the hash as it is, so the pattern of NULLs is hashed as well.
+    empty = F.concat(F.lit(""), *(F.when(c.isNull(), "1").otherwise("0") for c in cells))
+    low, high = F.xxhash64(*cells, empty).alias("_low"), F.xxhash64(F.lit(1), empty, *cells).alias("_high")
+    folder = shared_folder(df.sparkSession, "digests")
+    digests = df.select(low, high).groupBy("_low", "_high").agg(F.count("*").alias("n"))
+    digests.where("n > 1").drop("n").write.parquet(folder)
+    repeated = df.sparkSession.read.schema("_low bigint, _high bigint").parquet(folder)
+    return df.select("*", low, high).join(repeated, ["_low", "_high"], "left_semi")
+
+
 def duplicate_rows(t: Tables) -> DataFrame:
     """Rows beyond the first of each set of equal rows.
 
-    Equal rows are combined before the shuffle, so a row with very many
-    copies costs no more than any other.
+    Digests tell which rows can have a copy; those are compared whole. Equal
+    rows are combined before the shuffle, so a row with very many copies costs
+    no more than any other.
     """
 
     def count(df: DataFrame) -> DataFrame:
-        copies = df.groupBy(*(F.col(f"`{c}`") for c in df.columns)).agg(F.count("*").alias("copies"))
+        columns = [F.col(f"`{c}`") for c in df.columns]
+        copies = suspected_copies(df).groupBy(*columns).agg(F.count("*").alias("copies"))
         return copies.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("value"))
 
     return _per_dataset(t, "duplicate_rows", count)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spendgrain.functions.dates import month_label
 from spendgrain.functions.numeric import half_up, money, percent, ratio
-from spendgrain.operators.ranking import largest_first
+from spendgrain.operators.ranking import first_per_group, largest_first
 from spendgrain.plans import marts
 from spendgrain.tables import Tables
 
@@ -77,11 +77,13 @@ def fx_exposure(t: Tables, *, round_first: bool = True) -> DataFrame:
     )
 
 
-def maverick_suppliers(t: Tables) -> DataFrame:
-    """Spend with unapproved or high-risk suppliers, and who bought there.
+MAVERICK_KEYS = ["supplier_name", "risk_level", "is_approved"]
+
 
-    Lines are reduced to supplier and buyer before the supplier table is
-    joined; buyers are collected from those rows.
+def maverick_buyers(t: Tables) -> DataFrame:
+    """Orders and spend of each buyer with each unapproved or high-risk supplier: the complete form, a row per pair.
+
+    Lines are reduced to supplier and buyer before the supplier table is joined.
     """
     per_buyer = (
         t.orders("supplier_id", "supplier_name", "buyer", "total_amount_ngn")
@@ -89,16 +91,57 @@ def maverick_suppliers(t: Tables) -> DataFrame:
         .agg(F.count("*").alias("orders"), F.sum("total_amount_ngn").alias("spend"))
     )
     flagged = t.suppliers("supplier_id", "risk_level", "is_approved").where(IS_MAVERICK)
+    pairs = per_buyer.join(flagged, "supplier_id").groupBy(*MAVERICK_KEYS, "buyer")
+    return pairs.agg(F.sum("orders").alias("order_count"), F.sum("spend").alias("spend"))
+
+
+def maverick_suppliers(t: Tables) -> DataFrame:
+    """Spend with unapproved or high-risk suppliers, and all who bought there as one text.
+
+    The text grows with the number of buyers; ``maverick_top_buyers`` has a
+    bounded one, ``maverick_buyers`` a row for each.
+    """
     result = (
-        per_buyer.join(flagged, "supplier_id")
-        .groupBy("supplier_name", "risk_level", "is_approved")
+        maverick_buyers(t)
+        .groupBy(*MAVERICK_KEYS)
         .agg(
-            F.sum("orders").alias("order_count"),
+            F.sum("order_count").alias("order_count"),
             money(F.sum("spend"), 0).alias("total_spend"),
             F.array_join(F.array_sort(F.collect_set("buyer")), ",").alias("buyers"),
         )
     )
-    return largest_first(result, "total_spend", "supplier_name", "risk_level", "is_approved")
+    return largest_first(result, "total_spend", *MAVERICK_KEYS)
+
+
+def maverick_top_buyers(t: Tables, limit: int = 3) -> DataFrame:
+    """Spend with unapproved or high-risk suppliers, the buyers who spent most there, and what the others spent.
+
+    Every task keeps ``limit`` buyers of a supplier before they are moved, so
+    neither a task nor a row grows with the number of buyers. Ties go to the
+    smaller name; lines without a buyer count for the supplier, not for a buyer.
+    """
+    pairs = maverick_buyers(t)
+    totals = pairs.groupBy(*MAVERICK_KEYS).agg(
+        F.sum("order_count").alias("order_count"), F.sum("spend").alias("spend"), F.count("buyer").alias("buyers"),
+        F.sum(F.when(F.col("buyer").isNotNull(), F.col("spend"))).alias("bought"),
+    )
+    first = first_per_group(pairs.where("buyer IS NOT NULL"), MAVERICK_KEYS, limit, F.col("spend").desc_nulls_last(), "buyer")
+    largest = first.groupBy(*MAVERICK_KEYS).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "buyer"))), lambda x: x["buyer"]), ",").alias("top_buyers"),
+        F.count("*").alias("named"),
+        F.sum("spend").alias("top_spend"),
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in MAVERICK_KEYS]
+    joined = totals.join(largest.withColumnsRenamed({c: f"_{c}" for c in MAVERICK_KEYS}), same, "left")
+    result = joined.select(
+        *MAVERICK_KEYS,
+        "order_count",
+        money(F.col("spend"), 0).alias("total_spend"),
+        F.coalesce("top_buyers", F.lit("")).alias("top_buyers"),
+        (F.col("buyers") - F.coalesce("named", F.lit(0))).alias("other_buyers"),
+        money(F.coalesce(F.col("bought") - F.col("top_spend"), F.lit(0)), 0).alias("other_spend"),
+    )
+    return largest_first(result, "total_spend", *MAVERICK_KEYS)
 
 
 def _maverick_spend(t: Tables) -> DataFrame:
