@@ -37,7 +37,10 @@ KINDS = ("assign", "access", "hex", "signed_token", "web_token", "private_key")
 # Public formats. Tokens of these prefixes end in a CRC-32 of the body, in base 62.
 SIGNED = re.compile(r"(ghp_|gho_|ghu_|ghs_|ghr_|npm_)([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 SIGNED_WORDS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_")
-WEB = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+WEB_RUN = re.compile(r"[A-Za-z0-9_-]*")
+WEB_REST = re.compile(r"\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+WEB_LEAST = 12  # characters of the shortest head, {"alg":0}
+WEB_HEAD = 4096  # characters of a head at most; those who send such tokens hold all of one in a request header of 8 KB
 PRIVATE = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -55,16 +58,30 @@ def _signed(text: str, at: int) -> int | None:
     return m.end() if m and base62(zlib.crc32(m[2].encode()), 6) == m[3] else None
 
 
-def _web(text: str, at: int) -> int | None:
-    m = WEB.match(text, at)
-    if not m:
-        return None
-    head = m[0].split(".")[0]
-    try:
-        fields = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except (ValueError, binascii.Error):
-        return None
-    return m.end() if isinstance(fields, dict) and "alg" in fields else None
+class WebTokens:
+    """Web tokens of one text, asked for from left to right.
+
+    A head reaches to the end of its run of letters and digits, and what must
+    follow is the same for all heads of a run. Both are found once per run, so
+    the work grows with the text, however many places a token could begin at.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.stop, self.end = text, 0, None
+
+    def match(self, at: int) -> int | None:
+        if at >= self.stop:
+            self.stop = WEB_RUN.match(self.text, at).end()
+            rest = WEB_REST.match(self.text, self.stop)
+            self.end = rest and rest.end()
+        if not self.end or not WEB_LEAST <= self.stop - at <= WEB_HEAD or not self.text.startswith("eyJ", at):
+            return None
+        head = self.text[at : self.stop]
+        try:
+            fields = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+        except (ValueError, RecursionError):  # no base 64, no UTF-8, no JSON, or nested without end
+            return None
+        return self.end if isinstance(fields, dict) and "alg" in fields else None
 
 
 def _private(text: str, at: int) -> int | None:
@@ -88,7 +105,7 @@ def _access(text: str, at: int) -> tuple[int, bool] | None:
 
 
 ANCHORED = {"assign": _assign, "access": _access}
-CHECKED = {"signed_token": _signed, "web_token": _web, "private_key": _private}
+CHECKED = {"signed_token": _signed, "private_key": _private}
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -142,6 +159,7 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     """
     found = [(a, b, "hex") for a, b in hex_runs(text)]
     done = dict.fromkeys(KINDS, 0)
+    web = WebTokens(text)
     hits = sorted((end - n + 1, kind) for end, (kind, n) in _WORDS.iter(lowered(text)))
     for at, kind in hits:
         if at < done[kind]:
@@ -149,7 +167,7 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         if kind in ANCHORED:
             end, good = ANCHORED[kind](text, at) or (at, False)
         else:
-            end = CHECKED[kind](text, at) or at
+            end = (web.match(at) if kind == "web_token" else CHECKED[kind](text, at)) or at
             good = end > at
         done[kind] = max(done[kind], end)
         if good:
@@ -175,6 +193,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_other, base_sha256, spans`` for each row of ``docs(doc_id, text)``.
 
     The base kinds are complete as their patterns say; other kinds add spans.
+    A web token's head has at most WEB_HEAD characters. Time grows with the
+    length of a text, whatever it holds.
     Null and empty texts hold none. Each row is answered for itself, so nulls
     in doc_id and repeated rows change nothing. Other columns are not read. An
     empty table gives no rows.
@@ -200,7 +220,12 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """All rows and columns of docs, with secrets in text replaced, and n_chars, where there is such a column, counted again for changed texts."""
+    """All rows and columns of docs, with secrets in text replaced, and n_chars, where there is such a column, counted again for changed texts.
+
+    Null and empty texts stay as they are, and so do rows without a secret.
+    Each row is treated for itself, so repeated rows stay repeated and nulls
+    in other columns stay. An empty table gives no rows.
+    """
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,10 @@
 """Spans against the patterns applied to the whole text."""
 
+import base64
 import hashlib
+import json
 import re
+import time
 import zlib
 
 import pytest
@@ -62,6 +65,53 @@ def test_checked_formats(text, kinds):
     assert [s[2] for s in scan.scan(text)] == kinds
 
 
+def plain_web_tokens(text):
+    """Every place tried for itself."""
+    found, done = [], 0
+    whole = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+    for at in range(len(text)):
+        m = whole.match(text, at) if at >= done else None
+        if m:
+            head = m[0].split(".")[0]
+            try:
+                fields = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+            except ValueError:
+                continue
+            if isinstance(fields, dict) and "alg" in fields:
+                found.append((at, m.end(), "web_token"))
+                done = m.end()
+    return found
+
+
+GOOD = "eyJhbGciOiJIUzI1NiJ9"
+WEB_BITS = [GOOD, "eyJ", "eyj", "EYJ", ".", ".eyJ", ".eyJzdWIiOiIxIn0", ".sig", "a", "_", " ", "é", "eyJub3RoaW5nIn0", f"{GOOD}.eyJzdWIiOiIxIn0.c2ln"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(WEB_BITS), max_size=12))
+def test_web_tokens_are_those_of_every_place(bits):
+    text = "".join(bits)
+    assert [s for s in scan.scan(text) if s[2] == "web_token"] == plain_web_tokens(text)
+
+
+@pytest.mark.parametrize(
+    "bit", ["eyJ", "eyJhYSI6", "eyJ.", "eyJa.eyJa", "-----BEGIN ", "-----BEGIN PRIVATE KEY-----", "token ", "token=", "AKIA", "akia", "ghp_", "0123456789abcdef", "0g"]
+)
+@pytest.mark.parametrize("end", ["", ".eyJzdWIiOiIxIn0.c2ln"])
+def test_time_grows_with_the_text(bit, end):
+    text = bit * (5_000_000 // len(bit)) + end
+    start = time.process_time()
+    scan.scan(text)
+    assert time.process_time() - start < 12
+
+
+def test_heads_nested_without_end_are_no_tokens():
+    head = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 3000).decode().rstrip("=")
+    assert scan.scan(f"{head}.eyJzdWIiOiIxIn0.c2ln") == []
+    long = base64.urlsafe_b64encode(json.dumps({"alg": "x" * 4000}).encode()).decode().rstrip("=")
+    assert scan.scan(f"{long}.eyJzdWIiOiIxIn0.c2ln") == []
+
+
 def test_query_and_redaction(spark):
     text = 'é password = "hunter22" and ' + SIGNED
     rows = [(1, text, 9, "x"), (1, text, 9, "x"), (None, "token: abc", None, None), (2, None, None, "y"), (3, "", 0, ""), (4, "clean " * 30000, 1, "z")]
