@@ -5,19 +5,21 @@ holds the ids of consecutive documents, each followed by an end id. Frequent
 pairs of neighbouring symbols are replaced by new symbols, round after round;
 no pair includes an end id, so every document stays a range of symbols. A shard
 stores its rules, how many ids each rule stands for, the symbols, and where
-each document's begin. All symbols fit 16 bits.
+each document's begin. Symbols are 16 bits wide where all ids of the
+vocabulary fit that, and 32 bits elsewhere.
 
 A shard's bytes, little-endian:
 
-    "GRS1"
+    "GRS1" for symbols of 16 bits, "GRS2" for 32
     4 uint32: documents D, rules R, symbols S, first nonterminal
     D int64 doc_id; D uint8 whether it is null; D uint32 ids with the end id;
-    D uint32 first symbol; R times 2 uint16 left and right side; R uint32 ids
-    that the rule stands for; S uint16 symbols
+    D uint32 first symbol; R times 2 symbols, left and right side; R uint32 ids
+    that the rule stands for; S symbols
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -37,9 +39,10 @@ from tokenizers import Tokenizer
 from spendgrain.llm.common import pieces, stored, text_bytes, within
 
 END = 0
-SYMBOLS = 1 << 16
+SYMBOLS = 1 << 16  # of 16 bits; where ids need 32, so many rules at most
+SHORT = 64  # ids of an expansion that is kept at hand while a shard is decoded
 LONGEST_KNOWN = 64  # longer stretches are encoded anew each time
-MAGIC = b"GRS1"
+WIDTHS = {b"GRS1": "<u2", b"GRS2": "<u4"}
 
 # Code points that some libraries count as white space, but space, tab and line ends.
 ODD_SPACE = (
@@ -62,10 +65,24 @@ def odd_numbers() -> list[str]:
     return [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("No", "Nl")]
 
 
+def parts_at_words(spec: dict) -> bool:
+    """Whether a tokenizer's file is byte-level BPE over unchanged text, cut by the library's own rule for words."""
+    steps, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    return (
+        spec.get("normalizer") is None
+        and (steps.get("type"), steps.get("add_prefix_space"), steps.get("use_regex")) == ("ByteLevel", False, True)
+        and model.get("type") == "BPE"
+        and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        and spec.get("truncation") is None
+        and spec.get("padding") is None
+    )
+
+
 class Encoder:
-    """Ids of texts by a byte-level BPE file of the tokenizers library.
+    """Ids of texts by a file of the tokenizers library.
 
-    No merge reaches from a word into white space, punctuation or digits after
+    Texts go to the library whole unless the file is byte-level BPE without
+    other rules. There no merge reaches from a word into white space, punctuation or digits after
     it, so each distinct stretch between such places is encoded once and
     remembered, as long as there is room; the most common ones come early. Texts
     with characters that libraries class differently, or with the string of a
@@ -82,16 +99,17 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.known: dict[str, bytes] = {}
         self.remembered = remembered
-        self.size = self.model.get_vocab_size()
+        self.size = 1 + max(self.model.get_vocab(with_added_tokens=True).values(), default=END)
+        self.by_word = parts_at_words(json.loads(self.model.to_str()))
 
     def _cuts(self, text: str) -> list[str]:
-        if self._ODD.search(text) or (self.special and self.special.search(text)):
+        if not self.by_word or self._ODD.search(text) or (self.special and self.special.search(text)):
             return [text]
         return self._CUT.findall(text)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; what is new in all of them goes to the library together."""
-        cuts = [self._cuts(t) if t else [] for t in texts]
+        cuts = [self._cuts(t) if t or not self.by_word else [] for t in texts]
         rows = [list(map(self.known.get, c)) for c in cuts]
         open_ = [k for k, r in enumerate(rows) if None in r]
         new = sorted({cuts[k][i] for k in open_ for i, x in enumerate(rows[k]) if x is None})
@@ -117,10 +135,16 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _sides(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Left and right symbols of pairs, which are two symbols in one number."""
+    bits = pairs.dtype.type(4 * pairs.dtype.itemsize)
+    return pairs >> bits, pairs & ((pairs.dtype.type(1) << bits) - pairs.dtype.type(1))
+
+
 def _places(seq: np.ndarray, keys: np.ndarray, open_: np.ndarray, chosen: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The chosen pairs, places without overlaps, which pair is at each, and which pairs have ``least`` of them; only those have places."""
-    left, right = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
-    left[chosen >> 16], right[chosen & 0xFFFF] = True, True
+    left, right = np.zeros((2, int(seq.max()) + 1), bool)
+    left[_sides(chosen)[0]], right[_sides(chosen)[1]] = True, True
     at = np.flatnonzero(open_ & left[seq[:-1]] & right[seq[1:]])
     if not len(chosen) or not len(at):
         return chosen, at[:0], at[:0], np.zeros(len(chosen), bool)
@@ -138,22 +162,22 @@ def _places(seq: np.ndarray, keys: np.ndarray, open_: np.ndarray, chosen: np.nda
 def _apart(pairs: np.ndarray) -> np.ndarray:
     """Pairs that cannot overlap: no symbol is the left side of one and the right side of another."""
     lefts, rights, out = set(), set(), []
-    for pair in pairs.tolist():
-        a, b = pair >> 16, pair & 0xFFFF
+    for pair, a, b in zip(pairs, *(x.tolist() for x in _sides(pairs)), strict=True):
         if a != b and a not in rights and b not in lefts:
             lefts.add(a)
             rights.add(b)
             out.append(pair)
-    return np.array(out, np.uint32)
+    return np.array(out, pairs.dtype)
 
 
 def _doubled(pairs: np.ndarray) -> np.ndarray:
     """Pairs of a symbol with itself."""
-    return pairs[pairs >> 16 == pairs & 0xFFFF]
+    left, right = _sides(pairs)
+    return pairs[left == right]
 
 
 def re_pair(ids: np.ndarray, first: int, rounds: int = 4, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and rules (left, right) of ids below ``first``.
+    """Symbols and rules (left, right) of ids below ``first``, of 16 bits if that is enough for all ids.
 
     A round counts all neighbouring pairs and replaces the most frequent ones
     from the left. The free symbols are spread over the first ``rounds`` rounds;
@@ -161,13 +185,17 @@ def re_pair(ids: np.ndarray, first: int, rounds: int = 4, least: int = 8) -> tup
     that overlaps leave with fewer than ``least`` places are not made; where
     that leaves none, pairs that cannot overlap are taken.
     """
-    seq = ids.astype(np.uint32)
-    rules = np.empty((0, 2), np.uint32)
+    if len(ids) and not 0 <= ids.min() <= ids.max() < first <= 1 << 31:
+        raise ValueError(f"ids must lie between 0 and {first}")
+    symbol, pair, most = (np.uint16, np.uint32, SYMBOLS) if first <= SYMBOLS else (np.uint32, np.uint64, first + SYMBOLS)
+    bits = pair(8 * symbol().itemsize)
+    seq = ids.astype(pair)
+    rules = np.empty((0, 2), symbol)
     for k in count():
-        room = -(-(SYMBOLS - first - len(rules)) // max(1, rounds - k))
+        room = -(-(most - first - len(rules)) // max(1, rounds - k))
         if len(seq) < 2 or room <= 0:
             break
-        keys = seq[:-1] << np.uint32(16) | seq[1:]
+        keys = seq[:-1] << bits | seq[1:]
         open_ = (seq[:-1] != END) & (seq[1:] != END)
         ordered = np.sort(keys[open_])
         if not len(ordered):
@@ -188,20 +216,32 @@ def re_pair(ids: np.ndarray, first: int, rounds: int = 4, least: int = 8) -> tup
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules = np.concatenate([rules, np.stack([chosen[used] >> 16, chosen[used] & 0xFFFF], 1)])
-    return seq.astype(np.uint16), rules.astype(np.uint16)
+        rules = np.concatenate([rules, np.stack(_sides(chosen[used]), 1).astype(symbol)])
+    return seq.astype(symbol), rules
+
 
+def lengths_of(rules: np.ndarray, first: int) -> np.ndarray:
+    """How many ids each symbol stands for; rules refer to earlier ones only."""
+    lengths = [1] * first
+    for a, b in rules.tolist():
+        lengths.append(lengths[a] + lengths[b])
+    return np.array(lengths, np.int64)
 
-def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """How many ids each symbol stands for, and all expansions end to end; rules refer to earlier ones only."""
-    lengths = np.ones(first + len(rules), np.int64)
-    own: list[np.ndarray] = []
-    single = np.arange(first, dtype=np.int32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        parts = [own[x - first] if x >= first else single[x : x + 1] for x in (a, b)]
-        own.append(np.concatenate(parts))
-        lengths[first + k] = len(own[-1])
-    return lengths, np.concatenate([single, *own])
+
+def unfolded(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, longest: int = 1) -> np.ndarray:
+    """The symbols, those that stand for more than ``longest`` ids replaced by their sides until none is left."""
+    first = len(lengths) - len(rules)
+    while len(symbols):
+        long = lengths[symbols] > longest
+        if not long.any():
+            break
+        sides = rules[symbols[long].astype(np.int64) - first]
+        after = np.cumsum(1 + long)
+        out = np.empty(after[-1], symbols.dtype)
+        out[after[~long] - 1] = symbols[~long]
+        out[after[long] - 2], out[after[long] - 1] = sides[:, 0], sides[:, 1]
+        symbols = out
+    return symbols
 
 
 @dataclass(frozen=True)
@@ -218,8 +258,9 @@ class Shard:
 
     @staticmethod
     def from_bytes(data: bytes) -> Shard:
-        if data[:4] != MAGIC:
+        if data[:4] not in WIDTHS:
             raise ValueError("not a grammar shard")
+        width = WIDTHS[data[:4]]
         d, r, s, first = struct.unpack_from("<4I", data, 4)
         at = 20
 
@@ -232,46 +273,58 @@ class Shard:
         ids, null = take("<i8", d), take("u1", d)
         names = [None if x else int(i) for i, x in zip(ids, null, strict=True)]
         counts, starts = take("<u4", d), take("<u4", d)
-        rules, lengths = take("<u2", 2 * r).reshape(-1, 2), take("<u4", r)
-        return Shard(names, counts, starts, rules, lengths, take("<u2", s), first)
+        rules, lengths = take(width, 2 * r).reshape(-1, 2), take("<u4", r)
+        lengths = np.concatenate([np.ones(first, np.int64), lengths])
+        return Shard(names, counts, starts, rules, lengths, take(width, s), first)
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lengths, every = expansions(self.rules, self.first)
-        if not (lengths[self.first :] == self.lengths).all():
-            raise ValueError("rules and expansion lengths differ")
-        return lengths, np.cumsum(lengths) - lengths, every
+    def ids(self) -> np.ndarray:
+        """Ids of all documents.
 
-    @staticmethod
-    def expand(symbols: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        lengths, begins, every = tables
-        n = lengths[symbols]
+        Memory is that of the answer and of the rules that stand for at most
+        SHORT ids, whose expansions are copied; longer ones are taken apart.
+        """
+        if not (lengths_of(self.rules, self.first) == self.lengths).all():
+            raise ValueError("rules and expansion lengths differ")
+        few = np.flatnonzero(self.lengths <= SHORT)
+        every = unfolded(few.astype(self.symbols.dtype), self.rules, self.lengths)
+        begins = np.zeros(len(self.lengths), np.int64)
+        begins[few] = np.cumsum(self.lengths[few]) - self.lengths[few]
+        symbols = unfolded(self.symbols, self.rules, self.lengths, SHORT)
+        n = self.lengths[symbols]
         ends = np.cumsum(n)
         if not len(ends):
             return np.empty(0, np.int32)
-        return every[np.arange(ends[-1]) + np.repeat(begins[symbols] - ends + n, n)]
+        return every[np.arange(ends[-1]) + np.repeat(begins[symbols] - ends + n, n)].astype(np.int32)
 
     def document(self, k: int, low: int = 0, high: int | None = None) -> np.ndarray:
-        """Ids low to high of the k-th document: only symbols that reach into the range are expanded."""
-        tables = self.tables()
+        """Ids low to high of the k-th document: only symbols that reach into the range are taken apart, level by level."""
         stop = self.starts[k + 1] if k + 1 < len(self.starts) else len(self.symbols)
         own = self.symbols[self.starts[k] : stop]
-        ends = np.cumsum(tables[0][own])
-        high = int(self.counts[k]) if high is None else high
-        a, b = np.searchsorted(ends, low, side="right"), np.searchsorted(ends, high, side="left") + 1
-        skipped = int(ends[a - 1]) if a else 0
-        return self.expand(own[a:b], tables)[low - skipped : high - skipped]
+        high = int(self.counts[k]) if high is None else min(high, int(self.counts[k]))
+        if low >= high:
+            return np.empty(0, np.int32)
+        while True:
+            ends = np.cumsum(self.lengths[own])
+            a, b = np.searchsorted(ends, low, side="right"), np.searchsorted(ends, high, side="left") + 1
+            skipped = int(ends[a - 1]) if a else 0
+            own, low, high = own[a:b], low - skipped, high - skipped
+            longest = int(self.lengths[own].max())
+            if longest == 1:
+                return own.astype(np.int32)
+            own = unfolded(own, self.rules, self.lengths, longest // 2)
 
 
 def shard_bytes(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, first: int, **options) -> bytes:
     """A shard of documents whose ids, each with its end id, lie end to end."""
     symbols, rules = re_pair(ids, first, **options)
-    lengths, _ = expansions(rules, first)
+    lengths = lengths_of(rules, first)
     ends = np.cumsum(lengths[symbols])
     begins = np.cumsum(counts) - counts
     starts = np.searchsorted(ends, begins, side="right")
-    head = struct.pack("<4s4I", MAGIC, len(doc_ids), len(rules), len(symbols), first)
+    magic, width = next((m, w) for m, w in WIDTHS.items() if np.dtype(w).itemsize == symbols.itemsize)
+    head = struct.pack("<4s4I", magic, len(doc_ids), len(rules), len(symbols), first)
     numbers = np.array([0 if i is None else i for i in doc_ids], "<i8")
-    parts = [numbers, np.array([i is None for i in doc_ids], "u1"), np.array(counts, "<u4"), starts.astype("<u4"), rules.astype("<u2"), lengths[first:].astype("<u4"), symbols.astype("<u2")]
+    parts = [numbers, np.array([i is None for i in doc_ids], "u1"), np.array(counts, "<u4"), starts.astype("<u4"), rules.astype(width), lengths[first:].astype("<u4"), symbols.astype(width)]
     return head + b"".join(p.tobytes() for p in parts)
 
 
@@ -281,10 +334,11 @@ SHARDS = "part int, number int, n_tokens long, payload binary"
 def encode_shards(docs: DataFrame, path: str, shard_tokens: int = 1 << 22, **options) -> DataFrame:
     """``part, number, n_tokens, payload`` of the shards of ``docs(doc_id, text)``, in ascending order of doc_id by part and number.
 
-    path: the tokenizer's file. A shard ends with the document that fills it,
+    path: the file of any tokenizer of the tokenizers library. A shard ends with the document that fills it,
     so memory is bounded by it or by the longest document. Null and empty texts
-    are an end id alone. Null doc_ids come first; rows with one doc_id are
-    ordered by text. Other columns are not read. An empty table gives no
+    are what the library gives for an empty text, and an end id. Null doc_ids
+    come first; rows with one doc_id, or none, are ordered by a hash of the text,
+    then text, and can lie in several parts. Other columns are not read. An empty table gives no
     shards.
     """
 
@@ -313,14 +367,17 @@ def encode_shards(docs: DataFrame, path: str, shard_tokens: int = 1 << 22, **opt
         if names:
             yield shard()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARDS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    return rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").mapInArrow(run, SHARDS)
 
 
 def decode_shards(shards: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in shards that were read back.
 
     start: the number of ids of all documents before it, by the shards' order.
+    Each document of a shard gives a row, so nulls and repeats in doc_id stay. A
+    payload that is no shard, or null, raises. No shards give no rows. Other
+    columns are not read.
     """
     heads = shards.select("part", "number", "n_tokens")
     parts = heads.groupBy("part").agg(F.sum("n_tokens").alias("held"))
@@ -335,7 +392,7 @@ def decode_shards(shards: DataFrame) -> DataFrame:
                 shard = Shard.from_bytes(data.as_py())
                 counts = shard.counts.astype(np.int64)
                 starts = np.cumsum(counts) - counts
-                ids = memoryview(shard.expand(shard.symbols, shard.tables()).astype("<u4").tobytes())
+                ids = memoryview(shard.ids().astype("<u4")).cast("B")
                 sums = [zlib.crc32(ids[4 * a : 4 * (a + n)]) for a, n in zip(starts.tolist(), counts.tolist(), strict=True)]
                 columns = [pa.array(shard.doc_ids, pa.int64()), pa.array(starts + at), pa.array(counts), pa.array(sums, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -1,5 +1,7 @@
 """Shards against the tokenizer itself, and exact round trips."""
 
+import json
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -14,6 +16,7 @@ from spendgrain.llm.registry import tokenizer_path
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
+OTHER = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
 
 
 @settings(max_examples=300, deadline=None, suppress_health_check=list(HealthCheck))
@@ -37,6 +40,56 @@ def test_round_trip_and_random_access(docs):
         assert shard.document(k).tolist() == wanted.tolist()
         low, high = len(wanted) // 3, len(wanted) - 1
         assert shard.document(k, low, high).tolist() == wanted[low:high].tolist()
+    assert shard.ids().tolist() == np.concatenate(ids).tolist()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([1, 4464, 4465, 65535, 65536, 70000, 70001, 99999]), max_size=60), min_size=1, max_size=6), st.sampled_from([65536, 65537, 100_000, 1 << 20]))
+def test_large_vocabularies(docs, first):
+    ids = [np.array([*(x for x in d if x < first), grammar.END]) for d in docs]
+    data = grammar.shard_bytes(list(range(len(docs))), [len(x) for x in ids], np.concatenate(ids), first, least=2)
+    shard = grammar.Shard.from_bytes(data)
+    assert shard.ids().tolist() == np.concatenate(ids).tolist()
+    assert [shard.document(k).tolist() for k in range(len(ids))] == [x.tolist() for x in ids]
+
+
+def test_large_vocabularies_are_compressed_too():
+    ids = np.tile([70000, 70001, 5, 70000, 70001, 0], 500)
+    symbols, rules = grammar.re_pair(ids, 100_000)
+    assert len(symbols) < len(ids) / 2 and rules.max() >= 70000
+
+
+@pytest.mark.parametrize("ids", [[1, 70000, 0], [-1, 0]])
+def test_ids_outside_the_vocabulary_are_refused(ids):
+    with pytest.raises(ValueError, match="ids must lie"):
+        grammar.re_pair(np.array(ids), 50_000)
+
+
+def test_memory_of_long_rules_is_that_of_the_answer():
+    ids = np.tile(np.append(np.random.default_rng(0).integers(1, 5000, 40_000), 0), 8)
+    data = grammar.shard_bytes(list(range(8)), [40_001] * 8, ids, 5000)
+    shard = grammar.Shard.from_bytes(data)
+    tracemalloc.start()
+    assert (shard.document(7, 39_000, 39_010) == ids[39_000:39_010]).all()
+    assert tracemalloc.get_traced_memory()[1] < 300_000
+    tracemalloc.reset_peak()
+    assert (shard.ids() == ids).all()
+    assert tracemalloc.get_traced_memory()[1] < 60 * len(ids)
+    tracemalloc.stop()
+
+
+@settings(max_examples=200, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.text(alphabet=st.one_of(st.sampled_from("ab AB e\u0301\n\t.'é1²_"), st.characters(codec="utf-8")), max_size=60))
+def test_other_tokenizers_encode_whole_texts(text):
+    path = tokenizer_path("word_bpe_49k.json")
+    assert grammar.encoder(path).encode(text).tolist() == OTHER.encode(text, add_special_tokens=False).ids
+
+
+def test_only_known_files_are_cut_into_words():
+    assert grammar.encoder(PATH).by_word and not grammar.encoder(tokenizer_path("word_bpe_49k.json")).by_word
+    spec = json.loads(LIBRARY.to_str())
+    changes = ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": spec["model"] | {"end_of_word_suffix": "x"}}, {"truncation": {"max_length": 3}})
+    assert not any(grammar.parts_at_words(spec | change) for change in changes)
 
 
 def test_frequent_pairs_become_symbols():
@@ -49,11 +102,10 @@ def test_rounds_go_on_while_pairs_are_frequent():
     ids = np.tile([*range(1, 201), 0], 5000)
     symbols, rules = grammar.re_pair(ids, 300)
     assert len(symbols) == 2 * 5000
-    lengths, _ = grammar.expansions(rules, 300)
-    assert lengths.max() == 200
+    assert grammar.lengths_of(rules, 300).max() == 200
     data = grammar.shard_bytes(list(range(5000)), [201] * 5000, ids, 300)
     shard = grammar.Shard.from_bytes(data)
-    assert (shard.expand(shard.symbols, shard.tables()) == ids).all() and shard.document(4999).tolist() == ids[:201].tolist()
+    assert (shard.ids() == ids).all() and shard.document(4999).tolist() == ids[:201].tolist()
 
 
 def test_rounds_go_on_while_symbols_are_free():
