@@ -4,14 +4,16 @@ DataFrame functions only. Calls and results meet in a hash join on their
 identifier. The order within a conversation is by (level, position): a call's
 level grows by one for each call it needs that stands after it, so calls that
 stand in a workable order need no iteration, and only conversations with such
-late needs take part in the rounds that find the levels. A call whose level
-exceeds the number of late needs of its conversation waits for itself. Steps
-are counted in two stages, so a conversation with a third of all turns is cut
+late needs take part in the rounds that find the levels. Chains are halved in
+each round; calls that no round can settle wait for themselves. Steps are
+counted in two stages, so a conversation with a third of all turns is cut
 into ranges.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,23 +92,78 @@ def _errors(schemas: Schemas) -> Column:
     return cases.otherwise(F.array(F.lit("unknown tool")))
 
 
+def _shortened(single: DataFrame) -> DataFrame:
+    """``conv, id, to, more, base`` with ``to`` the first call on the way that is no single; none for rows that go in circles.
+
+    single: calls that wait for one other, at a level of base at least and more
+    than that of ``to``. Ways double in length each round.
+    """
+    ways, moving = single, -1
+    while True:
+        on = ways.select(F.col("conv").alias("c"), F.col("id").alias("i"), F.col("to").alias("end"), F.col("more").alias("on_more"), F.col("base").alias("on_base"))
+        on = ways.join(on, (F.col("conv") == F.col("c")) & (F.col("to") == F.col("i")), "left")
+        further = F.col("i").isNotNull()
+        base = F.greatest("base", F.coalesce(F.col("on_base") + F.col("more"), F.col("base")))
+        more = F.col("more") + F.coalesce("on_more", F.lit(0))
+        new = stored(on.select("conv", "id", F.coalesce("end", "to").alias("to"), more.alias("more"), base.alias("base"), further.alias("further")), "ways")
+        ways, before, moving = new.drop("further"), moving, new.where("further").count()
+        if moving in (0, before):  # what still moves after a round in which no way ended, never ends
+            return new.where("not further").drop("further")
+
+
 def _levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """``conv, call_id, level, circular`` of the calls of conversations with late needs; edges: conv, need, call_id, late."""
+    """``conv, call_id, level, circular`` of the calls of conversations with late needs; edges: conv, need, call_id, late.
+
+    A round settles the calls without open needs, and hangs each call with one
+    open need on the call at the end of its chain; what is needed of a hanging
+    call is then needed of that end. Calls left when no round changes anything
+    wait for themselves, and so do those that hang on them. Chains and
+    circles of any length take a number of steps that grows with the logarithm;
+    only calls with several needs that nest deeply take a round per depth.
+    """
     late = edges.where("late = 1").groupBy("conv").agg(F.count("*").alias("bound"))
     late = late.select(F.col("conv").alias("own"), "bound")
-    edges = stored(edges.join(late, F.col("conv") == F.col("own"), "left_semi"), "edges")
-    level = calls.join(late, F.col("conv") == F.col("own")).select("conv", "call_id", F.lit(0).cast("long").alias("level"), "bound")
-    level = stored(level, "level")
+    every = stored(calls.join(late, F.col("conv") == F.col("own")).select("conv", F.col("call_id").alias("id"), "bound"), "level")
+    open_ = every.select("conv", "id", F.lit(0).cast("long").alias("base"))
+    edges = edges.join(late, F.col("conv") == F.col("own"), "left_semi")
+    edges = stored(edges.select("conv", F.col("call_id").alias("id"), "need", F.col("late").cast("long").alias("more")), "edges")
+    of = lambda x: (F.col("conv") == F.col("c")) & (F.col(x) == F.col("i"))
+    named = lambda df, *more: df.select(F.col("conv").alias("c"), F.col("id").alias("i"), *more)
+    settled, hanging = [], []
     while True:
-        of = level.select(F.col("conv").alias("c"), F.col("call_id").alias("n"), F.col("level").alias("below"))
-        pushed = edges.join(of, (F.col("conv") == F.col("c")) & (F.col("need") == F.col("n"))).groupBy("conv", "call_id").agg(F.max(F.col("below") + F.col("late")).alias("up"))
-        pushed = pushed.select(F.col("conv").alias("c"), F.col("call_id").alias("n"), "up")
-        raised = F.greatest("level", F.least(F.coalesce("up", F.lit(0)), F.col("bound") + 1))
-        new = level.join(pushed, (F.col("conv") == F.col("c")) & (F.col("call_id") == F.col("n")), "left")
-        new = stored(new.select("conv", "call_id", raised.alias("level"), "bound", (raised > F.col("level")).alias("changed")), "level")
-        level = new.drop("changed")
-        if new.where("changed").isEmpty():
-            return level.select("conv", "call_id", "level", (F.col("level") > F.col("bound")).alias("circular"))
+        free = stored(open_.join(named(edges).distinct(), of("id"), "left_anti").select("conv", "id", F.col("base").alias("level")), "free")
+        edges = edges.join(named(free, F.col("level").alias("below")), of("need"), "left")
+        waits = F.col("below").isNull()
+        left = edges.groupBy("conv", "id").agg(
+            F.max(F.col("below") + F.col("more")).alias("up"), F.count_if(waits).alias("needs"), F.max(F.when(waits, F.col("need"))).alias("to"), F.max(F.when(waits, F.col("more"))).alias("more")
+        )
+        left = named(left, "up", "needs", "to", "more")
+        state = stored(open_.join(left, of("id")).select("conv", "id", F.greatest("base", F.coalesce("up", F.lit(0))).alias("base"), "needs", "to", "more"), "open")
+        single = state.where("needs = 1").drop("needs")
+        found = [not free.isEmpty(), not single.isEmpty()]
+        if found[0]:
+            settled.append(free)
+        if not any(found):
+            break
+        ends = _shortened(single) if found[1] else single
+        if found[1]:
+            hanging.append(ends)
+        several = state.where("needs <> 1").select("conv", "id", "base")
+        kept = edges.where(waits).select("conv", "id", "need", "more").join(named(several), of("id"), "left_semi")
+        over = kept.join(named(ends, "to", F.col("more").alias("on"), F.col("base").alias("least")), of("need"), "left")
+        over = over.select("conv", "id", F.coalesce("to", "need").alias("need"), (F.col("more") + F.coalesce("on", F.lit(0))).alias("more"), (F.col("least") + F.col("more")).alias("up"))
+        edges = stored(over.groupBy("conv", "id", "need").agg(F.max("more").alias("more"), F.max("up").alias("up")), "edges")
+        gained = named(edges.groupBy("conv", "id").agg(F.max("up").alias("up")), "up")
+        open_ = several.join(gained, of("id"), "left").select("conv", "id", F.greatest("base", F.coalesce("up", F.lit(0))).alias("base"))
+        open_, edges = stored(open_, "several"), edges.drop("up")
+        if open_.isEmpty():
+            break
+    level = reduce(DataFrame.unionByName, settled) if settled else every.limit(0).select("conv", "id", F.col("bound").alias("level"))
+    for ends in reversed(hanging):
+        below = ends.join(level.select(F.col("conv").alias("c"), F.col("id").alias("i"), "level"), of("to"))
+        level = stored(level.unionByName(below.select("conv", "id", F.greatest("base", F.col("level") + F.col("more")).alias("level"))), "level")
+    out = every.join(named(level, "level"), of("id"), "left")
+    return out.select("conv", F.col("id").alias("call_id"), F.coalesce("level", F.col("bound") + 1).alias("level"), F.col("level").isNull().alias("circular"))
 
 
 def _numbered(rows: DataFrame, order: list[str], weight: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Linked tool calls against a plain loop."""
 
 import json
+import random
 from collections import defaultdict
 
+import pytest
+
 from spendgrain.llm import chat
 from spendgrain.llm.common import table
 
@@ -65,6 +68,68 @@ def test_a_long_chain_backwards(spark):
     assert {r.errors for r in got} == {"no result"}
 
 
+def plain_levels(calls, needs):
+    """calls: {id: position}; needs: {id: set of known ids}. The level of each call, None for those that wait for themselves."""
+    level = {}
+    while True:
+        ready = [c for c in calls if c not in level and all(n in level for n in needs[c])]
+        if not ready:
+            return {c: level.get(c) for c in calls}
+        for c in ready:
+            level[c] = max((level[n] + (calls[n] >= calls[c]) for n in needs[c]), default=0)
+
+
+def test_levels_against_a_plain_loop(spark):
+    rng = random.Random(7)
+    rows, wanted = [], {}
+    for k in range(60):
+        n = rng.choice([1, 2, 3, 5, 9, 16])
+        calls = {f"k{i}": rng.randrange(2 * n) for i in range(n)}
+        reach = rng.choice([1, 2, n])
+        names = list(calls)
+        needs = {c: {names[max(0, min(n - 1, i + rng.randint(-reach, reach)))] for _ in range(rng.choice([0, 1, 1, 2, 3]))} for i, c in enumerate(names)}
+        rows += [(f"v{k}", at, c, "t", "{}", sorted(needs[c])) for c, at in calls.items()]
+        level = plain_levels(calls, needs)
+        late = any(calls[m] >= calls[c] for c in calls for m in needs[c])
+        last = max((x for x in level.values() if x is not None), default=0) + 1
+        order = sorted(calls, key=lambda c: ((last if level[c] is None else level[c]) if late else 0, calls[c], "=" + c))
+        wanted[f"v{k}"] = [(c, level[c] is None) for c in order]
+    got = defaultdict(list)
+    for r in linked(spark, rows, [], {"t": {}}):
+        got[r.conv].append((r.call_id, "waits for itself" in r.errors))
+    assert got == wanted
+    assert sum(c for own in wanted.values() for _, c in own) > 20
+
+
+@pytest.mark.parametrize("chain", [True, False])
+def test_long_chains_and_circles_take_few_rounds(spark, monkeypatch, chain):
+    if chain:
+        n = 10_000
+        calls = [("c", i, f"k{i}", "t", "{}", [f"k{i + 1}"] if i < n - 1 else []) for i in range(n)]
+    else:
+        n = 1000
+        calls = [("c", i, f"k{i}", "t", "{}", [f"k{(i + 1) % n}"]) for i in range(n)]
+        calls += [("c", n + i, f"p{i}", "t", "{}", [f"p{i + 1}"] if i % 2 == 0 else []) for i in range(2000)]
+    written = []
+    own = chat.stored
+    monkeypatch.setattr(chat, "stored", lambda df, name: written.append(name) or own(df, name))
+    got = linked(spark, calls, [], {"t": {}})
+    assert len(written) <= 40
+    if chain:
+        assert [r.call_id for r in got] == [f"k{i}" for i in reversed(range(n))]
+    else:
+        assert [r.call_id for r in got[2000:]] == [f"k{i}" for i in range(n)]
+        assert all(("waits for itself" in r.errors) == (r.call_id[0] == "k") for r in got)
+
+
+def test_very_long_arguments_and_texts(spark):
+    words = "word " * 400_000
+    calls = [("a", 0, "x", "find_word", json.dumps({"word": words}), ["y"]), ("a", 1, "y", "find_word", words, None)]
+    got = linked(spark, calls, [("a", 2, "x", words)])
+    assert [(r.kind, r.call_id) for r in got] == [("call", "y"), ("call", "x"), ("result", "x")]
+    assert json.loads(got[1].json)["arguments"]["word"] == words == json.loads(got[2].json)["content"] == json.loads(got[0].json)["text"]
+
+
 def test_given_conversations(spark):
     turns = table(spark, "/root/testdata/sf0.01", "conversations")
     calls, results = chat.tool_events(turns)
