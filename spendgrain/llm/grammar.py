@@ -90,7 +90,10 @@ class Encoder:
     """
 
     _CUT = re.compile(r" ?[^\W\d_]+|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-    _ODD = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ODD_SPACE) + "".join(map(re.escape, odd_numbers())) + "]")
+    # Classes of characters up to U+FFFF are looked up in a table; with others among them each character is compared with every range.
+    _ODD = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ODD_SPACE) + "".join(re.escape(c) for c in odd_numbers() if c < "\U00010000") + "]")
+    _HIGH = re.compile("[\U00010000-\U0010ffff]")
+    _HIGH_ODD = frozenset(c for c in odd_numbers() if c >= "\U00010000")
 
     def __init__(self, path: str, remembered: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
@@ -103,10 +106,13 @@ class Encoder:
         self.by_word = parts_at_words(json.loads(self.model.to_str()))
 
     def _cuts(self, text: str) -> list[str]:
-        if not self.by_word or self._ODD.search(text) or (self.special and self.special.search(text)):
+        if not self.by_word or self._odd(text) or (self.special and self.special.search(text)):
             return [text]
         return self._CUT.findall(text)
 
+    def _odd(self, text: str) -> bool:
+        return bool(self._ODD.search(text)) or any(c in self._HIGH_ODD for c in self._HIGH.findall(text))
+
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; what is new in all of them goes to the library together."""
         cuts = [self._cuts(t) if t or not self.by_word else [] for t in texts]
