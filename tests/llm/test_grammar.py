@@ -30,6 +30,17 @@ def test_cases(text):
     assert grammar.encoder(PATH).encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a 𝟙𝟚 b", "x𐄇y 𐄇", "🙂 ok🙂", "𝒜𝒷 c", "½ 𝟘½", "a\x0bb", "a\u3000b 🙂", "㉈ ⅷ"])
+def test_characters_that_libraries_class_differently(text):
+    assert grammar.encoder(PATH).encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_odd_characters_are_found_one_by_one():
+    own = grammar.encoder(PATH)
+    odd = {*grammar.odd_numbers(), *(chr(c) for a, b in grammar.ODD_SPACE for c in range(a, b + 1))}
+    assert {c for c in map(chr, range(0x110000)) if own._odd(f"a{c}b")} == odd
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 6), max_size=60), min_size=1, max_size=6))
 def test_round_trip_and_random_access(docs):
