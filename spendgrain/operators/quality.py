@@ -37,22 +37,31 @@ def null_cells(t: Tables) -> DataFrame:
     return _per_dataset(t, "null_cells", count)
 
 
+# So many digests of repeated rows are sent to all tasks; more of them are joined by a shuffle.
+FEW_DIGESTS = 4 << 20
+
+
 def suspected_copies(df: DataFrame) -> DataFrame:
-    """The rows whose 128-bit digest another row shares, digests included: copies, and rarely others.
+    """The rows whose 64-bit digest another row shares, digests included: copies, and rarely others.
 
-    Only digests are shuffled and counted. Those that occur twice are written,
-    so that their size is known when the rows are looked up: where they are few,
-    Spark sends them to the rows, and only rows that match are moved.
+    The rows are computed once and written. Only digests are shuffled and
+    counted; those that occur twice are written as well, so that their number
+    is known when the rows are looked up: up to FEW_DIGESTS are sent to the
+    rows, and only rows that match are moved.
     """
+    folder, spark = shared_folder(df.sparkSession, "digests"), df.sparkSession
+    void = {c for c, kind in df.dtypes if kind == "void"}
+    df = df.select(*(F.col(f"`{c}`").cast("string").alias(c) if c in void else F.col(f"`{c}`") for c in df.columns))
+    df.write.parquet(f"{folder}/rows")
     cells = [F.col(f"`{c}`") for c in df.columns]
     # A NULL leaves the hash as it is, so the pattern of NULLs is hashed as well.
     empty = F.concat(F.lit(""), *(F.when(c.isNull(), "1").otherwise("0") for c in cells))
-    low, high = F.xxhash64(*cells, empty).alias("_low"), F.xxhash64(F.lit(1), empty, *cells).alias("_high")
-    folder = shared_folder(df.sparkSession, "digests")
-    digests = df.select(low, high).groupBy("_low", "_high").agg(F.count("*").alias("n"))
-    digests.where("n > 1").drop("n").write.parquet(folder)
-    repeated = df.sparkSession.read.schema("_low bigint, _high bigint").parquet(folder)
-    return df.select("*", low, high).join(repeated, ["_low", "_high"], "left_semi")
+    stored = spark.read.schema(df.schema).parquet(f"{folder}/rows").select("*", F.xxhash64(*cells, empty).alias("_digest"))
+    digests = stored.groupBy("_digest").agg(F.count("*").alias("n"))
+    digests.where("n > 1").select("_digest").write.parquet(f"{folder}/repeated")
+    repeated = spark.read.schema("_digest bigint").parquet(f"{folder}/repeated")
+    few = repeated.limit(FEW_DIGESTS + 1).count() <= FEW_DIGESTS
+    return stored.join(F.broadcast(repeated) if few else repeated, "_digest", "left_semi")
 
 
 def duplicate_rows(t: Tables) -> DataFrame:
