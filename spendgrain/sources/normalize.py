@@ -135,9 +135,10 @@ def unreadable_cells(raw: Mapping[str, DataFrame | list[DataFrame]], date_format
 def infer_date_formats(raw: Mapping[str, DataFrame], known: tuple[str, ...] = DATE_FORMATS) -> dict[str, dict[str, tuple[str, ...]]]:
     """By dataset and column, the pattern that reads most of the days that are not ISO ones.
 
-    One aggregate per table counts, for every text column of days, how many such
-    cells each known pattern reads: a pattern is ruled out by what it cannot be,
-    such as a thirteenth month. Columns of ISO days, or of none that any pattern
+    Equal cells of each text column of days are counted first, so a spelling is
+    tried once however many lines have it; the counts tell how many such cells
+    each known pattern reads: a pattern is ruled out by what it cannot be, such
+    as a thirteenth month. Columns of ISO days, or of none that any pattern
     reads, get no pattern. Where several read equally many and do not agree on all
     days, the column is refused: a SchemaError names it and the patterns.
     """
@@ -147,15 +148,20 @@ def infer_date_formats(raw: Mapping[str, DataFrame], known: tuple[str, ...] = DA
         columns = [c for c, kind in given.dtypes if c in DAYS and kind == "string" and name == "purchase_orders"]
         if not columns:
             continue
-        odd = {c: F.try_to_timestamp(F.col(c)).isNull() for c in columns}
-        read = {(c, f): F.when(odd[c], F.try_to_timestamp(F.col(c), F.lit(f)).cast("date")) for c in columns for f in known}
-        counts = given.agg(*(F.count(read[c, f]).alias(f"{c} {f}") for c, f in read)).head()
+        held = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("cell")) for c in columns))
+        cells = given.select(F.inline(held)).groupBy("column", "cell").agg(F.count("*").alias("n"))
+        odd = F.try_to_timestamp("cell").isNull()
+        read = {f: F.when(odd, F.try_to_timestamp("cell", F.lit(f)).cast("date")) for f in known}
+        sums = (F.sum(F.when(day.isNotNull(), F.col("n")).otherwise(0)).alias(f) for f, day in read.items())
+        counts = {row["column"]: row for row in cells.groupBy("column").agg(*sums).collect()}
         for c in columns:
-            most = max(counts[f"{c} {f}"] for f in known)
-            best = [f for f in known if most and counts[f"{c} {f}"] == most]
+            if c not in counts:
+                continue
+            most = max(counts[c][f] for f in known)
+            best = [f for f in known if most and counts[c][f] == most]
             if len(best) > 1:
-                differ = reduce(Column.__or__, (~read[c, best[0]].eqNullSafe(read[c, f]) for f in best[1:]))
-                if given.where(differ).limit(1).count():
+                differ = reduce(Column.__or__, (~read[best[0]].eqNullSafe(read[f]) for f in best[1:]))
+                if cells.where((F.col("column") == c) & differ).limit(1).count():
                     raise SchemaError(f"Days in {name}.{c} can be read as {' or '.join(best)}; say which")
             if best:
                 found.setdefault(name, {})[c] = (best[0],)
