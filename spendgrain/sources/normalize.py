@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spendgrain.functions.dates import DATE_FORMATS, parse_date
 from spendgrain.functions.text import filled, slug, yes_no
 from spendgrain.model import DATASETS, MONEY, QUALITY_INCIDENTS, QUANTITY, DateFormats, SchemaError
+from spendgrain.session import shared_folder
 from spendgrain.tables import Tables
 
 
@@ -196,13 +197,23 @@ def enrich_orders(orders: DataFrame, suppliers: DataFrame, materials: DataFrame)
     """Fill names, categories, amounts and expected dates of the order lines.
 
     No join is hinted: Spark broadcasts a dimension when its size allows and
-    otherwise sorts and merges, splitting hot keys at run time.
+    otherwise moves both sides, splitting hot keys at run time. What the lines
+    need of a dimension is written first, so that its size is known when joins
+    are chosen and a small one does not move the lines.
     """
-    vendor = suppliers.select(
-        "supplier_id", F.col("supplier_name").alias("_vendor"), F.col("category").alias("_vendor_category")
+
+    def sized(dimension: DataFrame, name: str) -> DataFrame:
+        folder = shared_folder(dimension.sparkSession, name)
+        dimension.write.parquet(folder)
+        return dimension.sparkSession.read.schema(dimension.schema).parquet(folder)
+
+    vendor = sized(
+        suppliers.select("supplier_id", F.col("supplier_name").alias("_vendor"), F.col("category").alias("_vendor_category")),
+        "vendors",
     )
-    item = materials.select(
-        "material_id", F.col("material_name").alias("_item"), F.col("category").alias("_item_category")
+    item = sized(
+        materials.select("material_id", F.col("material_name").alias("_item"), F.col("category").alias("_item_category")),
+        "items",
     )
     quantity = F.coalesce("quantity", F.lit(0).cast(QUANTITY))
     price = F.coalesce("unit_price_ngn", F.lit(0).cast(MONEY))
