@@ -18,6 +18,7 @@ from spendgrain.operators.sourcing import constrained_savings, optimization_savi
 from spendgrain.operators.spend import price_variance
 from spendgrain.params import PRESETS, AllocationPolicy, SourcingRules
 from spendgrain.plans import marts
+from spendgrain.plans.shared import keep_lines
 from spendgrain.tables import MONTH_COLUMN, Tables
 
 # Metric names and units of the summary.
@@ -42,6 +43,9 @@ BOOTSTRAP_ROWS = (
     ("Bootstrap P95 Price Savings", "p95", "NGN"),
 )
 
+# Order columns that the figures of a filtered view use.
+KPI_COLUMNS = ("supplier_id", "material_name", "category", "unit_price_ngn", "total_amount_ngn")
+
 
 def _measures(df: DataFrame, **columns: str) -> DataFrame:
     """Named values of a one-row frame, one row each."""
@@ -171,8 +175,8 @@ def filtered_kpis(
     *,
     price_limit: int | None = None,
 ) -> DataFrame:
-    """Spend, maverick spend, price savings and supplier count of the filtered lines."""
-    view = filtered_view(t, categories, start, end)
+    """Spend, maverick spend, price savings and supplier count of the filtered lines, which are joined and written once."""
+    view = keep_lines(filtered_view(t, categories, start, end), *KPI_COLUMNS)
     totals = view.orders("total_amount_ngn", "supplier_id").agg(
         F.coalesce(F.sum("total_amount_ngn"), F.lit(0)).alias("spend"),
         F.countDistinct("supplier_id").alias("suppliers"),

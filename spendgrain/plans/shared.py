@@ -13,6 +13,13 @@ SUMMARY_COLUMNS = (
 )
 
 
+def keep_lines(t: Tables, *columns: str) -> Tables:
+    """The tables with the given columns of the lines written to the shared folder: what joins the lines need is made once."""
+    folder = f"{shared_folder(t.spark, 'shared')}/lines"
+    t.orders(*columns).write.parquet(folder)
+    return Tables(t.suppliers(), t.materials(), t.spark.read.parquet(folder), t.incidents())
+
+
 def read_once(t: Tables, *columns: str) -> Tables:
     """The tables with the given columns of the lines, and the base marts that build on them, written to the shared folder.
 
@@ -20,10 +27,7 @@ def read_once(t: Tables, *columns: str) -> Tables:
     aggregated once. Everything else reads narrow files, and a lost executor
     repeats only its scan of them.
     """
-    folder = shared_folder(t.spark, "shared")
-    t.orders(*(columns or SUMMARY_COLUMNS)).write.parquet(f"{folder}/lines")
-    lines = t.spark.read.parquet(f"{folder}/lines")
-    once = Tables(t.suppliers(), t.materials(), lines, t.incidents())
+    folder, once = shared_folder(t.spark, "shared"), keep_lines(t, *(columns or SUMMARY_COLUMNS))
     for name, mart in marts.BASES.items():
         mart(once).write.parquet(f"{folder}/{name}")
     return WithBases(once, {name: t.spark.read.parquet(f"{folder}/{name}") for name in marts.BASES})
