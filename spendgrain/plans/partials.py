@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from spendgrain.functions.dates import month_label
 from spendgrain.plans import marts
+from spendgrain.session import shared_folder
 from spendgrain.sinks.writers import NO_MONTH, drop_months, months_of, present_months
 from spendgrain.tables import MONTH_COLUMN, Tables
 
@@ -88,12 +89,22 @@ def partial_view(
     categories: Sequence[str] | DataFrame = (),
     start: dt.date | None = None,
     end: dt.date | None = None,
+    *,
+    keep_edges: bool = False,
 ) -> DataFrame:
     """Partials of the lines that ``summary.filtered_view`` would keep.
 
     Whole months come from the stored partials, pruned to the range; lines are
-    read only of the months the range covers in part.
+    read only of the months the range covers in part. With ``keep_edges`` the
+    partials of these are written to the shared folder, so that an answer which
+    uses the view several times reads and joins the lines once.
     """
+
+    def wanted(rows: DataFrame) -> DataFrame:
+        if isinstance(categories, DataFrame):
+            return rows.join(categories, categories.columns, "left_semi")
+        return rows.where(F.col("category").isin(*categories) if categories else F.col("category").isNotNull())
+
     rows = t.spark.read.parquet(folder).withColumn(MONTH_COLUMN, F.col(MONTH_COLUMN).cast("string"))
     if start is not None and end is not None:
         whole, edges = split_range(start, end)
@@ -102,7 +113,10 @@ def partial_view(
         rows = rows.where(F.col(MONTH_COLUMN).between(*whole) if whole else F.lit(False))
         if edges:
             lines = months_of(t.where_orders(F.col("po_date").between(F.lit(start), F.lit(end)), "po_date"), edges)
-            rows = rows.unionByName(month_partials(lines).select(*rows.columns))
-    if isinstance(categories, DataFrame):
-        return rows.join(categories, categories.columns, "left_semi")
-    return rows.where(F.col("category").isin(*categories) if categories else F.col("category").isNotNull())
+            found = wanted(month_partials(lines))
+            if keep_edges:
+                at = shared_folder(t.spark, "edges")
+                found.write.parquet(at)
+                found = t.spark.read.parquet(at)
+            return wanted(rows).unionByName(found.select(*rows.columns))
+    return wanted(rows)
