@@ -7,7 +7,7 @@ supplier with many orders and many incidents is never counted twice.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,15 +52,31 @@ def on_time_pct() -> Column:
     return half_up(percent(F.col("on_time"), F.col("delivered")), 2)
 
 
+def merged(keys: list[str], *parts: DataFrame) -> DataFrame:
+    """One row per group of all measures that the parts, each with one row per group, have of it.
+
+    The few rows per group meet in a union, not a join, so groups with NULL
+    keys stay. A measure that no part has of a group is NULL.
+    """
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.groupBy(*keys).agg(*(F.max(c).alias(c) for c in rows.columns if c not in keys))
+
+
+def distinct_count(rows: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+    """Per group how many values a column has. Only keys and values are shuffled; groups without any value are left out."""
+    return rows.select(*keys, column).where(F.col(column).isNotNull()).distinct().groupBy(*keys).agg(F.count("*").alias(name))
+
+
 def supplier_orders(t: Tables) -> DataFrame:
-    """Order activity per supplier, with exact sums."""
-    return (
-        t.orders(
-            "supplier_id", "po_number", "total_amount_ngn", "actual_delivery_date", "expected_delivery_date"
-        )
+    """Order activity per supplier, with exact sums.
+
+    Sums combine before they are shuffled; they do not travel with the order
+    numbers that are counted.
+    """
+    sums = (
+        t.orders("supplier_id", "total_amount_ngn", "actual_delivery_date", "expected_delivery_date")
         .groupBy("supplier_id")
         .agg(
-            F.countDistinct("po_number").alias("total_orders"),
             F.count("*").alias("order_rows"),
             F.sum("total_amount_ngn").alias("spend"),
             F.count("total_amount_ngn").alias("priced_rows"),
@@ -68,6 +84,8 @@ def supplier_orders(t: Tables) -> DataFrame:
             delivered_lines().alias("delivered"),
         )
     )
+    numbers = distinct_count(t.orders("supplier_id", "po_number"), ["supplier_id"], "po_number", "total_orders")
+    return merged(["supplier_id"], sums, numbers).withColumn("total_orders", F.coalesce("total_orders", F.lit(0)))
 
 
 def supplier_incidents(t: Tables) -> DataFrame:
@@ -121,55 +139,28 @@ def supplier_performance(t: Tables, *, compat: bool = False) -> DataFrame:
 def category_month(t: Tables) -> DataFrame:
     """Distinct orders and suppliers, spend and average per category and month.
 
-    Lines are reduced per order and supplier first. Both counts then follow
-    from that grain without repeating a row for each of them.
+    Lines are shuffled once per count: reduced per order, with the sums, and
+    reduced per supplier.
     """
     keys = ["category", "year", "month"]
     lines = (
         t.orders("category", "po_date", "po_number", "supplier_id", "total_amount_ngn")
         .where("po_date IS NOT NULL")
-        .select(
-            "category",
-            year_label(F.col("po_date")).alias("year"),
-            month_number(F.col("po_date")).alias("month"),
-            "po_number",
-            "supplier_id",
-            "total_amount_ngn",
-        )
+        .withColumns({"year": year_label(F.col("po_date")), "month": month_number(F.col("po_date"))})
     )
-    per_order = lines.groupBy(*keys, "po_number", "supplier_id").agg(
-        F.sum("total_amount_ngn").alias("spend"), F.count("total_amount_ngn").alias("priced")
+    per_order = lines.groupBy(*keys, "po_number").agg(F.sum("total_amount_ngn").alias("spend"), F.count("total_amount_ngn").alias("priced"))
+    orders = per_order.groupBy(*keys).agg(
+        F.count("po_number").alias("total_orders"), F.sum("spend").alias("spend"), F.sum("priced").alias("priced")
     )
-    return distinct_pair(per_order, keys, "po_number", "supplier_id").select(
+    return merged(keys, orders, distinct_count(lines, keys, "supplier_id", "unique_suppliers")).select(
         *keys,
-        F.col("first_count").alias("total_orders"),
+        "total_orders",
         money(F.col("spend"), 2).alias("total_spend_ngn"),
         half_up(ratio(F.col("spend"), F.col("priced")), 2).alias("avg_order_value"),
-        F.col("second_count").alias("unique_suppliers"),
+        F.coalesce("unique_suppliers", F.lit(0)).alias("unique_suppliers"),
     )
 
 
-def distinct_pair(rows: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
-    """Per group the sums of spend and priced, and how many values of two columns there are.
-
-    Rows are unique by keys and both columns. Each count is a grouping of its
-    own over one column; the few rows per group meet in a union, not a join,
-    so groups with NULL keys stay.
-    """
-    def counted(column: str, name: str, *sums: str) -> DataFrame:
-        own = rows.groupBy(*keys, column).agg(*(F.sum(x).alias(x) for x in sums or ("priced",)))
-        shown = {x: F.sum(x) if x in sums else F.lit(None) for x in ("spend", "priced")}
-        counts = {c: F.count(column) if c == name else F.lit(None) for c in ("first_count", "second_count")}
-        return own.groupBy(*keys).agg(
-            shown["spend"].cast("decimal(38,2)").alias("spend"),
-            shown["priced"].cast("bigint").alias("priced"),
-            *(value.cast("bigint").alias(c) for c, value in counts.items()),
-        )
-
-    both = counted(first, "first_count", "spend", "priced").unionByName(counted(second, "second_count"))
-    return both.groupBy(*keys).agg(*(F.max(c).alias(c) for c in ("spend", "priced", "first_count", "second_count")))
-
-
 def overpayment(spend: Column, average: Column, lowest: Column) -> Column:
     """Spend above what the lowest price would have cost."""
     return half_up(as_double(spend) * (average - lowest) / F.nullif(average, F.lit(0.0)), 0)
@@ -202,19 +193,20 @@ def savings_opportunities(t: Tables, *, min_orders: int = 5, min_pct: float = 5.
 
 @base_mart
 def price_stats(t: Tables) -> DataFrame:
-    """Price spread of each material between its suppliers."""
-    stats = (
-        t.orders("material_name", "category", "supplier_id", "unit_price_ngn", "total_amount_ngn")
-        .groupBy("material_name", "category")
+    """Price spread of each material between its suppliers, who are counted apart from the prices."""
+    keys = ["material_name", "category"]
+    prices = (
+        t.orders(*keys, "unit_price_ngn", "total_amount_ngn")
+        .groupBy(*keys)
         .agg(
-            F.countDistinct("supplier_id").alias("supplier_count"),
             as_double(F.min("unit_price_ngn")).alias("lowest"),
             mean("unit_price_ngn").alias("average"),
             as_double(F.max("unit_price_ngn")).alias("highest"),
             F.sum("total_amount_ngn").alias("spend"),
         )
     )
-    return price_columns(stats)
+    counts = distinct_count(t.orders(*keys, "supplier_id"), keys, "supplier_id", "supplier_count")
+    return price_columns(merged(keys, prices, counts).withColumn("supplier_count", F.coalesce("supplier_count", F.lit(0))))
 
 
 def price_columns(stats: DataFrame) -> DataFrame:
@@ -238,18 +230,16 @@ def price_columns(stats: DataFrame) -> DataFrame:
 def supplier_category(t: Tables) -> DataFrame:
     """Volume, cost, delivery and quality per category and supplier.
 
-    Lines are first reduced to one row per category, supplier and order.
-    That grain counts orders without a distinct and meets the incidents of
-    the same order and supplier exactly once per category. Lines without a
-    category take no part.
+    Sums combine before they are shuffled. Orders are counted, and meet the
+    incidents of the same order and supplier exactly once per category, in one
+    row per category, supplier and order, without any sums; these rows are
+    moved to the incidents once. Lines without a category take no part.
     """
     keys = ["category", "supplier_id", "supplier_name"]
-    per_order = (
-        t.orders(
-            *keys, "po_number", "quantity", "total_amount_ngn", "actual_delivery_date", "expected_delivery_date"
-        )
+    sums = (
+        t.orders(*keys, "quantity", "total_amount_ngn", "actual_delivery_date", "expected_delivery_date")
         .where("category IS NOT NULL")
-        .groupBy(*keys, "po_number")
+        .groupBy(*keys)
         .agg(
             F.sum("quantity").alias("quantity"),
             F.sum("total_amount_ngn").alias("spend"),
@@ -257,24 +247,28 @@ def supplier_category(t: Tables) -> DataFrame:
             delivered_lines().alias("delivered"),
         )
     )
+    lines = t.orders(*keys, "po_number").where("category IS NOT NULL AND po_number IS NOT NULL")
+    per_order = lines.repartition("po_number", "supplier_id").distinct()
     incidents = (
         t.incidents("po_number", "supplier_id", "incident_id", "cost_impact_ngn")
         .groupBy("po_number", "supplier_id")
         .agg(F.countDistinct("incident_id").alias("incidents"), F.sum("cost_impact_ngn").alias("quality_cost"))
     )
-    per_supplier = (
+    counts = (
         per_order.join(incidents, ["po_number", "supplier_id"], "left")
         .groupBy(*keys)
         .agg(
-            F.sum("quantity").alias("quantity"),
-            F.sum("spend").alias("spend"),
-            F.sum("on_time").alias("on_time"),
-            F.sum("delivered").alias("delivered"),
-            F.coalesce(F.sum("incidents"), F.lit(0)).alias("quality_incident_count"),
-            F.coalesce(F.sum("quality_cost"), F.lit(0)).alias("quality_cost"),
+            F.sum("incidents").alias("quality_incident_count"),
+            F.sum("quality_cost").alias("quality_cost"),
             F.count("po_number").alias("total_orders"),
         )
-        .where(F.round("quantity", 2) > 0)
+    )
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    filled = {c: F.coalesce(c, F.lit(0)) for c in ("quality_incident_count", "quality_cost", "total_orders")}
+    per_supplier = (
+        sums.where(F.round("quantity", 2) > 0)
+        .join(counts.withColumnsRenamed({k: f"_{k}" for k in keys}), same, "left")
+        .withColumns(filled)
     )
     return per_supplier.join(t.suppliers("supplier_id", "risk_level"), "supplier_id").select(
         *keys,

@@ -137,11 +137,14 @@ class StarTables(Tables):
     Every join is a left join on the dimension's key, so leaving one out
     never changes the rows. Dimensions are joined one table at a time: each
     is then judged by the size of its own files, and Spark broadcasts it
-    only when that is below the configured threshold.
+    only when that is below the configured threshold. With ``whole``, for
+    questions that leave out no lines by a dimension, orders are joined first,
+    while the lines that move to them hold no names yet.
     """
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
+    def __init__(self, spark: SparkSession, folder: str, *, whole: bool = False) -> None:
         bounded_tasks(spark)
+        self._joins = {"orders": _JOINS["orders"]} | _JOINS if whole else _JOINS
         self._session = spark
         self._folder = folder
         self._read: dict[str, DataFrame] = {}
@@ -159,7 +162,7 @@ class StarTables(Tables):
     def _view(self, base: DataFrame, expressions: dict[str, tuple[tuple[str, ...], str]], columns) -> DataFrame:
         names = columns or tuple(expressions)
         needed = {join for name in names for join in expressions[name][0]}
-        for join, (table, shown, condition) in _JOINS.items():
+        for join, (table, shown, condition) in self._joins.items():
             if join in needed:
                 base = base.join(self.table(table).selectExpr(*shown), F.expr(condition), "left")
         return base.selectExpr(*(f"{expressions[name][1]} AS {name}" for name in names))

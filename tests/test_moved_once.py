@@ -1,14 +1,17 @@
 """Tasks of bounded size, and rows that are joined once however often they are used."""
 
 import datetime as dt
+import re
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
 from spendgrain.operators import quality, summary
-from spendgrain.plans import partials
+from spendgrain.plans import marts, partials
 from spendgrain.session import TASK_BYTES, bounded_tasks
 from spendgrain.sources.normalize import infer_date_formats, normalize
 from spendgrain.sources.star import STAR_SCHEMAS, StarTables
+from spendgrain.tables import Tables
 
 
 def physical(df) -> str:
@@ -98,3 +101,64 @@ def test_lines_are_cut_by_small_dimensions_before_orders_are_joined(spark, tmp_p
     star = StarTables(spark, small_star(spark, tmp_path))
     plan = star.orders("po_date", "category")._jdf.queryExecution().analyzed().toString()
     assert plan.index("o_orderkey") < plan.index("p_partkey")
+
+
+def test_lines_move_to_orders_before_they_get_names(spark, tmp_path):
+    star = StarTables(spark, small_star(spark, tmp_path), whole=True)
+    plan = star.orders("po_date", "material_name", "supplier_name")._jdf.queryExecution().analyzed().toString()
+    assert plan.index("s_suppkey") < plan.index("p_partkey") < plan.index("o_orderkey")
+    plain = StarTables(spark, str(tmp_path)).orders()
+    assert sorted(map(str, star.orders().collect())) == sorted(map(str, plain.collect()))
+
+
+def sums_by(plan: str, *keys: str) -> list[str]:
+    """The aggregates of a plan that add something up by all of these keys, and others."""
+    found = re.findall(r"HashAggregate\(keys=\[(.*?)\], functions=\[(.*?)\]", plan)
+    return [names for names, sums in found if sums and all(re.search(rf"\b{k}#", names) for k in keys)]
+
+
+def odd_tables(spark) -> Tables:
+    """Orders that come in several lines, with nulls in every key; incidents of two orders of one supplier."""
+    day = dt.date(2024, 1, 2)
+    rows = [
+        ("A", 1, "S1", "bolt", "P1", 1), ("A", 1, "S1", "bolt", "P1", 2), ("A", 1, "S1", "nut", "P2", 3), ("A", 1, None, "nut", "P1", 4),
+        ("A", 1, "S1", None, None, 5), ("A", None, None, "bolt", "P3", 6), (None, 1, "S1", "bolt", "P1", 7), ("B", 2, "S2", None, None, 8),
+    ]
+    found = [(c, s, n, m, p, Decimal(q), Decimal(q), Decimal(10 * q), day, day, day) for c, s, n, m, p, q in rows]
+    orders = (
+        "category string, supplier_id int, supplier_name string, material_name string, po_number string, quantity decimal(18,3), "
+        "unit_price_ngn decimal(18,2), total_amount_ngn decimal(18,2), po_date date, actual_delivery_date date, expected_delivery_date date"
+    )
+    suppliers = [(k, f"S{k}", "R", "C", "Low", 4.0) for k in (1, 2)]
+    incidents = [("I1", "P1", 1, Decimal(5)), ("I2", "P1", 1, Decimal(6)), ("I3", "P2", 1, Decimal(7)), ("I4", None, 1, Decimal(9))]
+    return Tables(
+        spark.createDataFrame(suppliers, "supplier_id int, supplier_name string, category string, country string, risk_level string, quality_rating double"),
+        spark.createDataFrame([], "material_id int"),
+        spark.createDataFrame(found, orders),
+        spark.createDataFrame(incidents, "incident_id string, po_number string, supplier_id int, cost_impact_ngn decimal(18,2)"),
+    )
+
+
+def test_sums_do_not_travel_with_what_is_counted(spark):
+    t = odd_tables(spark)
+    assert not sums_by(physical(marts.supplier_orders(t)), "po_number")
+    assert not sums_by(physical(marts.price_stats(t)), "supplier_id")
+    assert not sums_by(physical(marts.supplier_category(t)), "category", "po_number")
+    assert not sums_by(physical(marts.category_month(t)), "po_number", "supplier_id")
+
+
+def test_counts_and_sums_meet_again_with_nulls_and_repeats(spark):
+    t = odd_tables(spark)
+    rows = {(r["category"], r["supplier_id"], r["supplier_name"]): r for r in marts.supplier_category(t).collect()}
+    shown = ("total_quantity", "total_spend_ngn", "quality_incident_count", "total_quality_cost_ngn", "total_orders")
+    assert {k: tuple(r[c] for c in shown) for k, r in rows.items()} == {
+        ("A", 1, "S1"): (11.0, 110.0, 3, 18.0, 2),
+        ("A", 1, None): (4.0, 40.0, 2, 11.0, 1),
+        ("B", 2, "S2"): (8.0, 80.0, 0, 0.0, 0),
+    }
+    found = {r["supplier_id"]: (r["total_orders"], r["order_rows"], r["spend"], r["on_time"]) for r in marts.supplier_orders(t).collect()}
+    assert found == {1: (2, 6, 220, 6), 2: (0, 1, 80, 1), None: (1, 1, 60, 1)}
+    found = {(r["material_name"], r["category"]): (r["supplier_count"], r["min_price"], r["max_price"]) for r in marts.price_stats(t).collect()}
+    assert found == {("bolt", "A"): (1, 1.0, 6.0), ("nut", "A"): (1, 3.0, 4.0), (None, "A"): (1, 5.0, 5.0), ("bolt", None): (1, 7.0, 7.0), (None, "B"): (1, 8.0, 8.0)}
+    found = {r["category"]: (r["total_orders"], r["total_spend_ngn"], r["unique_suppliers"]) for r in marts.category_month(t).collect()}
+    assert found == {"A": (3, 210.0, 1), None: (1, 70.0, 1), "B": (0, 80.0, 1)}
