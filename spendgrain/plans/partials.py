@@ -27,17 +27,26 @@ LINE_COLUMNS = (
     *KEYS, "po_date", "po_number", "quantity", "unit_price_ngn", "total_amount_ngn", "actual_delivery_date", "expected_delivery_date"
 )
 
+# The lines of a month are brought together in so many parts, each a file at most.
+PARTS = 16
+
 # A distinct count from a sketch of 2^14 registers is off by 0.8 % of itself (one standard deviation).
 SKETCH_BITS = 14
 SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
 
 
 def month_partials(t: Tables) -> DataFrame:
-    """One row per month, category, supplier and material; lines without a day have a month of their own. Reads the lines once, shuffles sums."""
-    month = F.coalesce(month_label(F.col("po_date")), F.lit(NO_MONTH)).alias(MONTH_COLUMN)
+    """One row per month, category, supplier and material; lines without a day have a month of their own.
+
+    Few lines agree in all keys, and a line is narrower than sums and a sketch,
+    so the lines are shuffled, once, to where their partials are stored from.
+    """
+    placed = {MONTH_COLUMN: F.coalesce(month_label(F.col("po_date")), F.lit(NO_MONTH)), "part": F.pmod(F.xxhash64(*KEYS), F.lit(PARTS))}
     return (
         t.orders(*LINE_COLUMNS)
-        .groupBy(month, *KEYS)
+        .withColumns(placed)
+        .repartition(*placed)
+        .groupBy(*placed, *KEYS)
         .agg(
             F.count("*").alias("lines"),
             F.count("total_amount_ngn").alias("priced"),
@@ -51,12 +60,13 @@ def month_partials(t: Tables) -> DataFrame:
             marts.delivered_lines().alias("delivered"),
             F.hll_sketch_agg("po_number", F.lit(SKETCH_BITS)).alias("orders"),
         )
+        .drop("part")
     )
 
 
 def write_partials(t: Tables, folder: str) -> None:
     """Replace all partials."""
-    month_partials(t).hint("rebalance", MONTH_COLUMN).write.mode("overwrite").partitionBy(MONTH_COLUMN).parquet(folder)
+    month_partials(t).write.mode("overwrite").partitionBy(MONTH_COLUMN).parquet(folder)
 
 
 def refresh_partials(t: Tables, folder: str, months: Sequence[str]) -> None:
@@ -66,7 +76,7 @@ def refresh_partials(t: Tables, folder: str, months: Sequence[str]) -> None:
     lines any more is removed. Running it again gives the same partials.
     """
     kept = months_of(t, sorted(set(months)))
-    writer = month_partials(kept).hint("rebalance", MONTH_COLUMN).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = month_partials(kept).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(MONTH_COLUMN).parquet(folder)
     drop_months(t.spark, folder, set(months) - present_months(kept))
 

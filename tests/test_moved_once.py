@@ -162,3 +162,13 @@ def test_counts_and_sums_meet_again_with_nulls_and_repeats(spark):
     assert found == {("bolt", "A"): (1, 1.0, 6.0), ("nut", "A"): (1, 3.0, 4.0), (None, "A"): (1, 5.0, 5.0), ("bolt", None): (1, 7.0, 7.0), (None, "B"): (1, 8.0, 8.0)}
     found = {r["category"]: (r["total_orders"], r["total_spend_ngn"], r["unique_suppliers"]) for r in marts.category_month(t).collect()}
     assert found == {"A": (3, 210.0, 1), None: (1, 70.0, 1), "B": (0, 80.0, 1)}
+
+
+def test_lines_move_once_to_where_their_partials_are_stored(spark, tmp_path):
+    t = odd_tables(spark)
+    plan = physical(partials.month_partials(t))
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_COL" in plan
+    partials.write_partials(t, str(tmp_path))
+    stored = spark.read.parquet(str(tmp_path))
+    assert sorted((r["lines"], r["spend"]) for r in stored.collect()) == [(1, 30), (1, 40), (1, 50), (1, 60), (1, 70), (1, 80), (2, 30)]
+    assert "part" not in stored.columns and len(stored.inputFiles()) <= partials.PARTS
