@@ -83,10 +83,10 @@ def save_tables(t: Tables, database: str) -> None:
             frame.write.mode("overwrite").saveAsTable(table)
 
 
-def write_marts(frames: Mapping[str, DataFrame], folder: str, fmt: str = "csv") -> None:
-    """One directory per mart, as CSV with a header, Parquet or JSON lines."""
+def write_marts(frames: Mapping[str, DataFrame], folder: str, fmt: str = "csv", **options) -> None:
+    """One directory per mart, as CSV with a header, Parquet or JSON lines, with options of Spark's writer."""
     for name, frame in frames.items():
-        writer = frame.write.mode("overwrite")
+        writer = frame.write.mode("overwrite").options(**options)
         if fmt == "csv":
             writer = writer.option("header", True)
         writer.format(fmt).save(f"{folder}/{name}")

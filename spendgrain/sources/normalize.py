@@ -199,7 +199,8 @@ def enrich_orders(orders: DataFrame, suppliers: DataFrame, materials: DataFrame)
     No join is hinted: Spark broadcasts a dimension when its size allows and
     otherwise moves both sides, splitting hot keys at run time. What the lines
     need of a dimension is written first, so that its size is known when joins
-    are chosen and a small one does not move the lines.
+    are chosen and a small one does not move the lines. Materials, which are more,
+    come first: lines that move to them hold no names of suppliers yet.
     """
 
     def sized(dimension: DataFrame, name: str) -> DataFrame:
@@ -219,16 +220,17 @@ def enrich_orders(orders: DataFrame, suppliers: DataFrame, materials: DataFrame)
     price = F.coalesce("unit_price_ngn", F.lit(0).cast(MONEY))
     filled_columns = {
         "supplier_name": F.coalesce("supplier_name", "_vendor"),
-        "material_name": F.coalesce("material_name", "_item"),
-        "category": F.coalesce(
-            F.nullif(F.col("category"), F.lit("")), "_item_category", "_vendor_category", F.lit("Unclassified")
-        ),
+        "category": F.coalesce("category", "_vendor_category", F.lit("Unclassified")),
         "quantity": quantity,
         "unit_price_ngn": price,
         "total_amount_ngn": F.coalesce("total_amount_ngn", (quantity * price).try_cast(MONEY)),
         "expected_delivery_date": F.coalesce("expected_delivery_date", F.date_add("po_date", 30)),
     }
-    joined = orders.join(vendor, "supplier_id", "left").join(item, "material_id", "left")
+    of_items = {
+        "material_name": F.coalesce("material_name", "_item"),
+        "category": F.coalesce(F.nullif(F.col("category"), F.lit("")), "_item_category"),
+    }
+    joined = orders.join(item, "material_id", "left").withColumns(of_items).join(vendor, "supplier_id", "left")
     return joined.select(*(filled_columns.get(c, F.col(c)).alias(c) for c in orders.columns))
 
 

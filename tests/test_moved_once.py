@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from spendgrain.operators import quality, summary
 from spendgrain.plans import marts, partials
 from spendgrain.session import TASK_BYTES, bounded_tasks
+from spendgrain.sinks.writers import write_marts
 from spendgrain.sources.normalize import infer_date_formats, normalize
+from spendgrain.sources.readers import load_landing
 from spendgrain.sources.star import STAR_SCHEMAS, StarTables
 from spendgrain.tables import Tables
 
@@ -172,3 +174,18 @@ def test_lines_move_once_to_where_their_partials_are_stored(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path))
     assert sorted((r["lines"], r["spend"]) for r in stored.collect()) == [(1, 30), (1, 40), (1, 50), (1, 60), (1, 70), (1, 80), (2, 30)]
     assert "part" not in stored.columns and len(stored.inputFiles()) <= partials.PARTS
+
+
+def test_lines_move_to_materials_before_they_get_names_of_suppliers(spark):
+    orders = normalize(raw(spark, [("P", "2024-01-02", "S1", "M1", "2"), ("Q", None, "S9", None, "1")]))[0].orders()
+    plan = orders._jdf.queryExecution().optimizedPlan().toString()
+    outer, inner = (part.split("\n")[0] for part in plan.split("Join LeftOuter")[1:])
+    assert "supplier_id" in outer and "material_id" in inner
+
+
+def test_landed_files_may_be_compressed(spark, tmp_path):
+    rows = spark.range(5).select(F.col("id").cast("string").alias("Vendor ID"), F.lit("a, b").alias("Vendor Name")).coalesce(1)
+    write_marts({"vendors.csv": rows}, str(tmp_path), compression="gzip", maxRecordsPerFile=2)
+    files = [f.name for f in (tmp_path / "vendors.csv").iterdir() if f.name.endswith(".csv.gz") and f.name.startswith("part")]
+    assert len(files) == 3
+    assert sorted(map(tuple, load_landing(spark, str(tmp_path))["suppliers"].collect())) == sorted(map(tuple, rows.collect()))
