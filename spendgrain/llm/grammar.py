@@ -27,7 +27,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,10 @@ from spendgrain.llm.common import pieces, stored, text_bytes, within
 
 END = 0
 SYMBOLS = 1 << 16  # of 16 bits; where ids need 32, so many rules at most
+CELLS = 1 << 22  # of a table in which pairs are looked up; more sides of pairs are searched for
 SHORT = 64  # ids of an expansion that is kept at hand while a shard is decoded
-LONGEST_KNOWN = 64  # longer stretches are encoded anew each time
+LONGEST_KNOWN = 64  # longer stretches, in bytes, are encoded anew each time
+LINE_END = "\u010a"  # how byte-level files write a line end
 WIDTHS = {b"GRS1": "<u2", b"GRS2": "<u4"}
 
 # Code points that some libraries count as white space, but space, tab and line ends.
@@ -65,6 +67,9 @@ def odd_numbers() -> list[str]:
     return [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("No", "Nl")]
 
 
+ODD_NUMBERS = odd_numbers()
+
+
 def parts_at_words(spec: dict) -> bool:
     """Whether a tokenizer's file is byte-level BPE over unchanged text, cut by the library's own rule for words."""
     steps, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
@@ -87,48 +92,123 @@ class Encoder:
     remembered, as long as there is room; the most common ones come early. Texts
     with characters that libraries class differently, or with the string of a
     special token, are encoded whole.
+
+    Stretches are found, told apart and replaced by their ids in columns, for all
+    texts of a call together. New ones go to the library as lines of many, where
+    a line end is a token of its own.
     """
 
-    _CUT = re.compile(r" ?[^\W\d_]+|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+    # Kinds of bytes: 0 beyond ASCII, 1 letters, 2 others, 3 white space. A stretch ends before white space that follows something
+    # else, and between a letter and another ASCII character.
+    _KIND = np.zeros(256, np.uint8)
+    _KIND[:128] = 2
+    _KIND[[*range(65, 91), *range(97, 123)]] = 1
+    _KIND[[9, 10, 13, 32]] = 3
+    _APART = np.zeros(16, bool)
+    _APART[[0 << 2 | 3, 1 << 2 | 3, 2 << 2 | 3, 1 << 2 | 2]] = True
     # Classes of characters up to U+FFFF are looked up in a table; with others among them each character is compared with every range.
-    _ODD = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ODD_SPACE) + "".join(re.escape(c) for c in odd_numbers() if c < "\U00010000") + "]")
+    _ODD = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ODD_SPACE) + "".join(re.escape(c) for c in ODD_NUMBERS if c < "\U00010000") + "]")
     _HIGH = re.compile("[\U00010000-\U0010ffff]")
-    _HIGH_ODD = frozenset(c for c in odd_numbers() if c >= "\U00010000")
+    _HIGH_ODD = frozenset(c for c in ODD_NUMBERS if c >= "\U00010000")
+    _MAYBE_ODD = np.isin(np.arange(256), [c.encode()[0] for c in (*ODD_NUMBERS, *(chr(c) for a, b in ODD_SPACE for c in range(a, b + 1)))])  # first bytes of odd characters
+    _LINE = re.compile(rb" ?[^ \t\n\r]+")  # what can stand between line ends
 
     def __init__(self, path: str, remembered: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.model = Tokenizer.from_file(path)
         special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.known: dict[str, bytes] = {}
+        self.special_bytes = [x.encode() for x in special]
+        self.known: dict[bytes, int] = {}  # the number of each remembered stretch, in the order of their ids
+        self.ids, self.counts = np.empty(0, np.int32), np.empty(0, np.int64)
         self.remembered = remembered
         self.size = 1 + max(self.model.get_vocab(with_added_tokens=True).values(), default=END)
-        self.by_word = parts_at_words(json.loads(self.model.to_str()))
-
-    def _cuts(self, text: str) -> list[str]:
-        if not self.by_word or self._odd(text) or (self.special and self.special.search(text)):
-            return [text]
-        return self._CUT.findall(text)
+        spec = json.loads(self.model.to_str())
+        self.by_word = parts_at_words(spec)
+        apart = self.by_word and spec["model"].get("unk_token") != LINE_END and not any("\n" in x for x in special)
+        self.line_end = self.model.token_to_id(LINE_END) if apart else None
 
     def _odd(self, text: str) -> bool:
         return bool(self._ODD.search(text)) or any(c in self._HIGH_ODD for c in self._HIGH.findall(text))
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; what is new in all of them goes to the library together."""
-        cuts = [self._cuts(t) if t or not self.by_word else [] for t in texts]
-        rows = [list(map(self.known.get, c)) for c in cuts]
-        open_ = [k for k, r in enumerate(rows) if None in r]
-        new = sorted({cuts[k][i] for k in open_ for i, x in enumerate(rows[k]) if x is None})
-        found = self.model.encode_batch_fast(new, add_special_tokens=False) if new else []
-        own = {c: np.array(e.ids, np.int32).tobytes() for c, e in zip(new, found, strict=True)}
-        for k in open_:
-            rows[k] = [own[c] if x is None else x for c, x in zip(cuts[k], rows[k], strict=True)]
+    def _whole(self, column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The numbers of texts that are not cut."""
+        raw = data.tobytes()
+        if not self.by_word or any(x in raw for x in self.special_bytes):
+            some = np.arange(len(column))
+        else:
+            some = np.flatnonzero(np.diff(np.searchsorted(np.flatnonzero(self._MAYBE_ODD[data]), offsets)))
+        if not self.by_word or not len(some):
+            return some
+        texts = (t or "" for t in column.take(pa.array(some)).to_pylist())
+        return some[[self._odd(t) or bool(self.special and self.special.search(t)) for t in texts]]
+
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Where stretches begin inside texts."""
+        kinds = self._KIND[data]
+        kinds[1:][(data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)] = 1  # U+00C0 to U+00FF are letters but for two
+        cut = self._APART[kinds[:-1] << 2 | kinds[1:]]
+        cut[offsets[(offsets > 0) & (offsets < len(data))] - 1] = False
+        for k in whole:
+            cut[offsets[k] : offsets[k + 1]] = False
+        return np.flatnonzero(cut) + 1
+
+    def _library(self, new: list[bytes], alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches, and how many each has; those not marked ``alone`` are not odd and may share a text of the library."""
+        fits = np.array([self.line_end is not None and not a and bool(self._LINE.fullmatch(x)) for x, a in zip(new, alone, strict=True)], bool)
+        lines, rest = [new[i].decode() for i in np.flatnonzero(fits)], [new[i].decode() for i in np.flatnonzero(~fits)]
+        some = ["\n".join(lines[i : i + 128]) + "\n" for i in range(0, len(lines), 128)]
+        found = [np.array(e.ids, np.int32) for i in range(0, len(some), 64) for e in self.model.encode_batch_fast(some[i : i + 64], add_special_tokens=False)]
+        joined = np.concatenate([np.empty(0, np.int32), *found])
+        ends = np.flatnonzero(joined == self.line_end) if lines else np.empty(0, np.int64)
+        if len(ends) != len(lines):
+            raise ValueError("the library's ids do not part at line ends")
+        single = [np.array(e.ids, np.int32) for e in self.model.encode_batch_fast(rest, add_special_tokens=False)]
+        ids = np.concatenate([np.delete(joined, ends), *single])
+        counts = np.empty(len(new), np.int64)
+        counts[fits], counts[~fits] = np.diff(ends, prepend=-1) - 1, [len(x) for x in single]
+        begins = np.empty(len(new), np.int64)
+        order = np.concatenate([np.flatnonzero(fits), np.flatnonzero(~fits)])
+        begins[order] = np.cumsum(counts[order]) - counts[order]
+        return ids[_ranges(begins, counts)], counts
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where those of each text end; null is empty."""
+        data, offsets = text_bytes(column)
+        if not len(column):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        whole = self._whole(column, data, offsets)
+        cuts = self._cuts(data, offsets, whole) if self.by_word and len(data) else np.empty(0, np.int64)
+        first = np.arange(len(offsets)) + np.searchsorted(cuts, offsets)  # the first stretch of each text; each has at least one
+        starts = np.append(np.sort(np.concatenate([offsets[:-1], cuts]), kind="stable"), offsets[-1])
+        every = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        codes, distinct = every.indices.to_numpy(), every.dictionary.to_numpy(zero_copy_only=False).tolist()
+        alone = np.zeros(len(distinct), bool)
+        alone[codes[first[whole]]] = True
+
+        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        open_ = np.flatnonzero(number < 0)
+        number[open_] = len(self.known) + np.arange(len(open_))
+        new = [distinct[i] for i in open_]
+        new_ids, new_counts = self._library(new, alone[open_])
+        ids, counts = np.concatenate([self.ids, new_ids]), np.concatenate([self.counts, new_counts])
         if len(self.known) < self.remembered:
-            self.known.update((c, ids) for c, ids in own.items() if len(c) <= LONGEST_KNOWN)
-        return [np.frombuffer(b"".join(r), np.int32) for r in rows]
+            short = np.array([len(x) <= LONGEST_KNOWN for x in new], bool)
+            self.ids, self.counts = np.concatenate([self.ids, new_ids[np.repeat(short, new_counts)]]), np.concatenate([self.counts, new_counts[short]])
+            self.known.update(zip((new[i] for i in np.flatnonzero(short)), count(len(self.known))))
+
+        begins = np.cumsum(counts) - counts
+        held = counts[number][codes]
+        return ids[_ranges(begins[number][codes], held)], np.cumsum(held)[first[1:] - 1]
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
+        return self.encode_column(pa.array([text], pa.string()))[0]
+
+
+def _ranges(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each of ``begins`` on, as many as counted, end to end."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + counts, counts)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -147,22 +227,43 @@ def _sides(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs >> bits, pairs & ((pairs.dtype.type(1) << bits) - pairs.dtype.type(1))
 
 
-def _places(seq: np.ndarray, keys: np.ndarray, open_: np.ndarray, chosen: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _found(seq: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of chosen pairs, which are in ascending order, and which pair is at each."""
+    left, right = _sides(chosen)
+    lefts, rights = (np.unique(x, return_inverse=True) for x in (left, right))
+    at = seq.astype(np.intp)
+    # Every left and right side has a number, 0 is for other symbols.
+    row, column = np.zeros((2, int(at.max()) + 1), np.int32)
+    row[lefts[0]], column[rights[0]] = np.arange(1, len(lefts[0]) + 1), np.arange(1, len(rights[0]) + 1)
+    width = len(rights[0]) + 1
+    if (len(lefts[0]) + 1) * width <= CELLS:
+        table = np.full((len(lefts[0]) + 1) * width, -1, np.int32)
+        table[(lefts[1] + 1) * width + rights[1] + 1] = np.arange(len(chosen))
+        row *= np.int32(width)
+        rule = table[row[at[:-1]] + column[at[1:]]]
+        places = np.flatnonzero(rule >= 0)
+        return places, rule[places]
+    places = np.flatnonzero((row[at[:-1]] > 0) & (column[at[1:]] > 0))
+    keys = seq[places] << seq.dtype.type(4 * seq.itemsize) | seq[places + 1]
+    rule = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
+    hit = chosen[rule] == keys
+    return places[hit], rule[hit]
+
+
+def _places(seq: np.ndarray, chosen: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The chosen pairs, places without overlaps, which pair is at each, and which pairs have ``least`` of them; only those have places."""
-    left, right = np.zeros((2, int(seq.max()) + 1), bool)
-    left[_sides(chosen)[0]], right[_sides(chosen)[1]] = True, True
-    at = np.flatnonzero(open_ & left[seq[:-1]] & right[seq[1:]])
-    if not len(chosen) or not len(at):
+    at, rule = _found(seq, chosen) if len(chosen) else np.empty((2, 0), np.int64)
+    if not len(at):
         return chosen, at[:0], at[:0], np.zeros(len(chosen), bool)
-    rule = np.minimum(np.searchsorted(chosen, keys[at]), len(chosen) - 1)
-    hit = chosen[rule] == keys[at]
-    at, rule = at[hit], rule[hit]
-    starts = np.concatenate([[True], np.diff(at) != 1])
-    offset = np.arange(len(at)) - np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
-    own = offset % 2 == 0
+    number = np.arange(len(at), dtype=np.int32)
+    offset = number - np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, number, 0))
+    own = offset & 1 == 0
     at, rule = at[own], rule[own]
     used = np.bincount(rule, minlength=len(chosen)) >= least
-    return chosen, at[used[rule]], rule[used[rule]], used
+    if not used.all():
+        own = used[rule]
+        at, rule = at[own], rule[own]
+    return chosen, at, rule, used
 
 
 def _apart(pairs: np.ndarray) -> np.ndarray:
@@ -212,7 +313,7 @@ def re_pair(ids: np.ndarray, first: int, rounds: int = 4, least: int = 8) -> tup
         frequent = frequent[np.argsort(-counts[frequent], kind="stable")]
         every = ordered[edges[frequent]]
         for choose in (lambda p: p, _apart, _doubled):
-            chosen, at, rule, used = _places(seq, keys, open_, np.sort(choose(every)[:room]), least)
+            chosen, at, rule, used = _places(seq, np.sort(choose(every)[:room]), least)
             if len(at):
                 break
         else:
@@ -300,7 +401,7 @@ class Shard:
         ends = np.cumsum(n)
         if not len(ends):
             return np.empty(0, np.int32)
-        return every[np.arange(ends[-1]) + np.repeat(begins[symbols] - ends + n, n)].astype(np.int32)
+        return every[_ranges(begins[symbols], n)].astype(np.int32)
 
     def document(self, k: int, low: int = 0, high: int | None = None) -> np.ndarray:
         """Ids low to high of the k-th document: only symbols that reach into the range are taken apart, level by level."""
@@ -359,14 +460,14 @@ def encode_shards(docs: DataFrame, path: str, shard_tokens: int = 1 << 22, **opt
 
         for batch in batches:
             _, offsets = text_bytes(batch.column(1))
-            for i, j in pieces(offsets, 1 << 20):
+            for i, j in pieces(offsets, 1 << 22):
                 some = batch.slice(i, j - i)
-                found = own.encode_all([t or "" for t in some.column(1).to_pylist()])
-                for name, ids in zip(some.column(0).to_pylist(), found, strict=True):
+                ids, ends = own.encode_column(some.column(1))
+                for name, a, b in zip(some.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                     names.append(name)
-                    counts.append(len(ids) + 1)
-                    parts += [ids, end]
-                    held += len(ids) + 1
+                    counts.append(b - a + 1)
+                    parts += [ids[a:b], end]
+                    held += b - a + 1
                     if held >= shard_tokens:
                         yield shard()
                         names, counts, held, parts, number = [], [], 0, [], number + 1

@@ -5,6 +5,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -41,6 +42,60 @@ def test_odd_characters_are_found_one_by_one():
     assert {c for c in map(chr, range(0x110000)) if own._odd(f"a{c}b")} == odd
 
 
+class Counted:
+    """A library that counts the texts it is given."""
+
+    def __init__(self, model):
+        self.model, self.texts = model, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.model.encode_batch_fast(texts, **options)
+
+
+def test_new_words_go_to_the_library_as_lines():
+    own = grammar.Encoder(PATH)
+    own.model = counted = Counted(own.model)
+    text = "".join(f" {w}" for w in map("".join, np.random.default_rng(0).choice(list("abcdefgh"), (10_000, 9)).tolist()))
+    assert own.encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert counted.texts < 200
+    counted.texts = 0
+    assert own.encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert not counted.texts
+
+
+@settings(max_examples=200, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.one_of(st.sampled_from("ab AB \n\t\r.'é×1²_\xa0"), st.characters(codec="utf-8")), max_size=30), st.just("x<|endoftext|>"), st.just("endoftext|>")), max_size=8))
+def test_columns_of_texts(texts):
+    for path, library, remembered in ((PATH, LIBRARY, 3), (PATH, LIBRARY, 600_000), (tokenizer_path("word_bpe_49k.json"), OTHER, 600_000)):
+        own = grammar.encoder(path)
+        own.remembered = remembered
+        ids, ends = own.encode_column(pa.array([None, *texts], pa.string()).slice(1))
+        own.remembered = 600_000
+        found = [x.tolist() for x in np.split(ids, ends)[: len(texts)]]
+        assert found == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_unknown_bytes_are_no_line_ends(tmp_path):
+    spec = json.loads(LIBRARY.to_str())
+    vocab = {x: i for i, x in enumerate(["a", "b", "\u010a", "\u0120"])}
+    spec["model"] |= {"vocab": vocab, "merges": [], "unk_token": "\u010a"}
+    spec["added_tokens"] = []
+    path = tmp_path / "small.json"
+    path.write_text(json.dumps(spec))
+    text = "ab ba\nxa ab"
+    assert grammar.Encoder(str(path)).encode(text).tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("first", [50, 100_000])
+def test_pairs_are_found_by_table_and_by_search(monkeypatch, first):
+    ids = np.random.default_rng(0).integers(0, 40, 50_000)
+    symbols, rules = grammar.re_pair(ids, first)
+    monkeypatch.setattr(grammar, "CELLS", 0)
+    searched = grammar.re_pair(ids, first)
+    assert len(rules) and (searched[0] == symbols).all() and (searched[1] == rules).all()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 6), max_size=60), min_size=1, max_size=6))
 def test_round_trip_and_random_access(docs):
