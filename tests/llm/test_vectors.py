@@ -1,8 +1,11 @@
 """Near vectors and top-k against all pairs."""
 
 import math
+from pathlib import Path
+from uuid import uuid4
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spendgrain.llm import near_vectors, topk
@@ -59,6 +62,61 @@ def test_links_and_components(spark, monkeypatch, tile):
     assert near_vectors.near_vectors(table(spark, [])).count() == 0
 
 
+def test_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "CELL", 8)
+    test_links_and_components(spark, monkeypatch, 40)
+
+
+def folder_bytes(*folders):
+    return sum(p.stat().st_size for f in folders for p in Path(f).rglob("*") if p.is_file())
+
+
+def test_pairs_of_tiles_copy_no_vectors(spark, monkeypatch, tmp_path):
+    """What is shuffled and stored stays near the size of the input, however many tiles it has."""
+    monkeypatch.setattr(near_vectors, "TILE", 32)
+    monkeypatch.setattr("spendgrain.llm.common.shared_folder", lambda _, name: f"{tmp_path}/{name}-{uuid4().hex}")
+    x = np.random.default_rng(3).normal(size=(2000, 64))
+    rows = table(spark, [(i, [float(c) for c in v], 1) for i, v in enumerate(x)])
+    own = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    before = folder_bytes(*own)
+    assert near_vectors.near_vectors(rows).where("n_links = 0").count() == 2000
+    assert folder_bytes(*own) - before + folder_bytes(tmp_path) < 4 * x.nbytes
+
+
+def test_guests_meet_all_they_are_near_to(monkeypatch):
+    monkeypatch.setattr(near_vectors, "BAND", 8)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(700, 32))
+    x[300:] = x[rng.integers(0, 90, 400)] + rng.normal(0, 0.25, (400, 32))
+    x[650:] = -x[:50]
+    x = x.astype(np.float32)
+    units = near_vectors.unit_rows(x)
+    wanted = np.triu(units @ units.T >= 0.9, 1)
+    wanted = wanted | wanted.T
+    held = rng.integers(1, 4, 700)
+    axes = np.linalg.eigh(units.T @ units)[1][:, ::-1]
+    for pivots in (units[rng.choice(700, 40, False)], np.eye(1, 32)):
+        cell, angle = near_vectors.nearest(units, pivots)
+        tiles = []
+        for at in np.array_split(rng.permutation(700), 3):
+            at = at[np.argsort(angle[at], kind="stable")]
+            rows = np.empty(len(at), near_vectors.ROW)
+            for field, values in (("id", at), ("h", -at), ("held", held[at]), ("angle", angle[at]), ("cell", cell[at])):
+                rows[field] = values
+            tiles.append(near_vectors.Tile(pa.py_buffer(rows.tobytes()), pa.py_buffer(x[at].tobytes()), axes))
+        links, label = np.zeros(700, int), np.arange(700)
+        i, j = [], []
+        for a, low in enumerate(tiles):
+            for high in tiles[a:]:
+                found = near_vectors._links_of(low, high, pivots, 0.9, 8)
+                np.add.at(links, found.column("least_id").to_numpy(), found.column("links").to_numpy())
+                i.append(found.column("least_id").to_numpy())
+                j.append(found.column("to_id").to_numpy())
+        assert (links == wanted @ held).all()
+        label = near_vectors._smallest_reachable(700, np.concatenate(i), np.concatenate(j))
+        assert (label == near_vectors._smallest_reachable(700, *np.nonzero(wanted))).all()
+
+
 def test_bounds_never_lose_a_pair():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 64)) * np.linspace(3, 0.2, 64)
