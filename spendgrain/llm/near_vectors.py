@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from spendgrain.llm.common import small_batches, stored
 from spendgrain.llm.components import connected_components
 
-TILE, TILE_BYTES, TILES, BLOCK = 65536, 16 << 20, 16, 1024  # a tile's most rows and bytes, tiles of a table large enough, rows compared at once
+TILE, TILE_BYTES, TILES, BLOCK = 32768, 8 << 20, 16, 1024  # a tile's most rows and bytes, tiles of a table large enough, rows compared at once
 PIVOTS, PIVOT_BYTES, CELL = 65536, 32 << 20, 256  # most pivots of a table, and bytes of a length; rows of a cell, at least
 LEADING, BAND = 16, 256  # dimensions multiplied first; rows of a cell that guests are chosen for together
 NEAR = 1e-9  # products that close to the threshold are formed again from the given components
@@ -228,12 +228,21 @@ def leading(units: np.ndarray, axes: np.ndarray) -> np.ndarray:
 
 
 class Vectors(NamedTuple):
-    """Unit vectors, the same with 32 bits, and what ``leading`` gives."""
+    """Vectors as given, as unit vectors of 32 bits, and what ``leading`` gives of them."""
 
-    units: np.ndarray
+    given: np.ndarray
     rough: np.ndarray
     leading: np.ndarray
 
+    @classmethod
+    def of(cls, given: np.ndarray, axes: np.ndarray) -> Vectors:
+        rough = np.empty(given.shape, np.float32)
+        ahead = np.empty((len(given), min(LEADING, given.shape[1]) + 1), np.float32)
+        for x in range(0, len(given), BLOCK):
+            units = unit_rows(given[x : x + BLOCK])
+            rough[x : x + BLOCK], ahead[x : x + BLOCK] = units, leading(units, axes)
+        return cls(given, rough, ahead)
+
 
 def _true(flags: np.ndarray) -> np.ndarray:
     """Places of the few that are true, looked for eight at a time."""
@@ -252,14 +261,15 @@ def _near(x: Vectors, of_x: np.ndarray, y: Vectors, of_y: np.ndarray, threshold:
     product = x.leading.take(of_x, 0) @ y.leading.take(of_y, 0).T
     at = _true((product >= np.float32(threshold - ROUGH)).ravel())
     if len(at) * 8 > product.size:
-        product = x.units[of_x] @ y.units[of_y].T
+        product = unit_rows(x.given[of_x]) @ unit_rows(y.given[of_y]).T
         i, j = np.nonzero(product >= threshold - NEAR)
         return i, j, product[i, j]
     i, j = np.divmod(at, max(1, len(of_y)))
-    if len(i):
-        likely = np.einsum("ij,ij->i", x.rough.take(of_x[i], 0), y.rough.take(of_y[j], 0)) >= threshold - _slack(x.rough.shape[1])
-        i, j = i[likely], j[likely]
-    p = np.einsum("ij,ij->i", x.units[of_x[i]], y.units[of_y[j]])
+    likely = np.einsum("ij,ij->i", x.rough.take(of_x[i], 0), y.rough.take(of_y[j], 0)) >= threshold - _slack(x.rough.shape[1])
+    i, j = i[likely], j[likely]
+    if not len(i):
+        return i, j, np.empty(0)
+    p = np.einsum("ij,ij->i", unit_rows(x.given[of_x[i]]), unit_rows(y.given[of_y[j]]))
     ok = p >= threshold - NEAR
     return i[ok], j[ok], p[ok]
 
@@ -271,7 +281,7 @@ def _slack(d: int) -> float:
 
 def near_in_block(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row pairs of two blocks of turned unit vectors, and their products, that may reach the threshold."""
-    x, y = (Vectors(v, v.astype(np.float32), leading(v, np.eye(v.shape[1]))) for v in (a, b))
+    x, y = (Vectors.of(v, np.eye(v.shape[1])) for v in (a, b))
     return _near(x, np.arange(len(a)), y, np.arange(len(b)), threshold)
 
 
@@ -310,9 +320,7 @@ class Tile:
     def __init__(self, rows: pa.Buffer, given: pa.Buffer, axes: np.ndarray):
         self.rows = np.frombuffer(rows, ROW)
         self.angle, self.held = (np.ascontiguousarray(self.rows[c]) for c in ("angle", "held"))
-        self.given = _numbers(given, len(self.rows), len(axes))
-        units = unit_rows(self.given)
-        self.vectors = Vectors(units, units.astype(np.float32), leading(units, axes))
+        self.vectors = Vectors.of(_numbers(given, len(self.rows), len(axes)), axes)
         cell = self.rows["cell"]
         order = np.argsort(cell, kind="stable")
         starts = np.flatnonzero(np.diff(cell[order], prepend=-1))
@@ -360,7 +368,7 @@ def _links_of(a: Tile, b: Tile, pivots: np.ndarray, threshold: float, block: int
                 ok = hosts.angle[x[i]] < guests.angle[y[j]] if own else hosts.angle[x[i]] <= guests.angle[y[j]]
             close = np.flatnonzero(np.abs(p - threshold) <= NEAR)
             if len(close):
-                given = hosts.given[x[i[close]]].astype(np.float64), guests.given[y[j[close]]].astype(np.float64)
+                given = hosts.vectors.given[x[i[close]]].astype(np.float64), guests.vectors.given[y[j[close]]].astype(np.float64)
                 ok[close] &= (given[0] * given[1]).sum(1) / np.sqrt((given[0] ** 2).sum(1) * (given[1] ** 2).sum(1)) >= threshold
             i, j = i[ok], j[ok]
             links[own + x] += np.bincount(i, guests.held[y[j]], len(x)).astype(np.int64)
@@ -394,7 +402,7 @@ def _links(tiles: DataFrame, axes: dict[int, np.ndarray], pivots: dict[int, np.n
         known: dict[int, Tile] = {}
         for batch in batches:
             for r in range(len(batch)):
-                row = {c: batch.column(c)[r] for c in batch.schema.names}
+                row = {c: batch.column(c)[r] for c in ("d", "tile", "tile_", "rows", "given", "rows_", "given_")}
                 d, low, high = (row[c].as_py() for c in ("d", "tile", "tile_"))
                 for name, end in ((low, ""), (high, "_")):
                     if name not in known:
@@ -406,7 +414,7 @@ def _links(tiles: DataFrame, axes: dict[int, np.ndarray], pivots: dict[int, np.n
     tiles = tiles.coalesce(_parts(tiles.count()))
     others = tiles.select(*(F.col(c).alias(f"{c}_") for c in tiles.columns))
     met = (F.col("tile") <= F.col("tile_")) & (F.col("tile_") <= F.col("last")) & (F.col("low_") <= F.col("high") + far) & (F.col("low") <= F.col("high_") + far)
-    return tiles.join(others, met).select("tile", "tile_", "d", "rows", "given", "rows_", "given_").mapInArrow(run, LINKS)
+    return tiles.join(others, met).mapInArrow(run, LINKS)
 
 
 def _parts(tiles: int) -> int:
